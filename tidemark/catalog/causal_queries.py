@@ -158,9 +158,9 @@ def prop_manifests(i: Inputs):
 def a8(i: Inputs):
     manifests, chunks = prop_manifests(i)
     out = sinks.scratch_folder(i.spark, "export")
-    sinks.export_vaults(i.registers(), manifests, chunks, out)
+    rows = settle(sinks.export_rows(i.registers(), manifests, chunks))
+    sinks.export_vaults(rows, out)
     written = i.spark.read.parquet(out).select("vault_id", "path").distinct()
-    rows = sinks.export_rows(i.registers(), manifests, chunks)
     report = sinks.export_report(rows)
     files = written.groupBy("vault_id").agg(F.count(F.lit(1)).alias("_n"))
     return report.join(files, "vault_id", "left").where(
@@ -273,7 +273,8 @@ def b7(i: Inputs):
 
 
 @query("b8_history_query", """select event_id, ms, cnt, node from history where
- (ms,cnt,node) > (1704500000000,0,'d1') and (ms,cnt,node) < (1706000000000,0,'d1')
+ (ms>1704500000000 or (ms=1704500000000 and cnt||node>'0d1'))
+ and (ms<1706000000000 or (ms=1706000000000 and cnt||node<'0d1'))
  order by ms desc, cnt desc, node desc, event_id limit 100""")
 def b8(i: Inputs):
     at = lambda ms: F.struct(F.lit(ms).cast("long").alias("ms"), F.lit(0).cast("long").alias("cnt"),

@@ -187,10 +187,10 @@ FIXTURES.update({
  max_by(updated_ms, arrival) updated_ms from (select *, max(head_seq) over (
  partition by vault_id, device order by arrival) top from head_reports)
  where head_seq>=top group by 1,2""",
-    "safe": """select vault_id, min(head_seq) filter (1706659200000-updated_ms<=30*86400000) safe_seq,
- count(*) filter (1706659200000-updated_ms<=30*86400000) active_devices from heads group by 1""",
+    "safe": """select vault_id, min(head_seq) filter (1706659200000-updated_ms<=2592000000) safe_seq,
+ count(*) filter (1706659200000-updated_ms<=2592000000) active_devices from heads group by 1""",
     "retained": """select h.*, coalesce(active_devices,0) active_devices,
- case when created_ms >= 1706659200000-10*86400000 then 'young'
+ case when created_ms >= 1706659200000-864000000 then 'young'
  when server_seq > safe_seq then 'protected' else 'expired' end reason
  from history h left join safe using (vault_id)""",
     "hashed_refs": """select reason, vault_id, unnest([blob_ref, 'c'||k, 'c'||((k*7)%100)]) ref

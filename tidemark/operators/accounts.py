@@ -171,11 +171,15 @@ def trial_grants(signups: DataFrame, granted: DataFrame) -> DataFrame:
         granted.select("user_id").distinct(), "user_id", "left_anti")
 
 
-def promo_eligible(users: DataFrame, plans: DataFrame, attempts: DataFrame) -> DataFrame:
-    """P14. Attempts ``(attempt_id, user_id, plan_id, code)`` that match the plan's code or
-    whose user's e-mail is on the plan's list ``(required_code, emails)``."""
+def promo_eligible(users: DataFrame, plans: DataFrame, allowed: DataFrame,
+                   attempts: DataFrame) -> DataFrame:
+    """P14. Attempts ``(attempt_id, user_id, plan_id, code)`` that match the plan's
+    ``required_code`` or whose user's e-mail is allowed: ``allowed`` holds one row
+    ``(plan_id, email)`` per listed address, however long a list is."""
     j = attach(attempts, users.select("user_id", "email"), ["user_id"])
-    j = attach(j, plans.select("plan_id", "required_code", "emails"), ["plan_id"])
+    j = attach(j, plans.select("plan_id", "required_code"), ["plan_id"])
+    listed = allowed.select("plan_id", "email").distinct().withColumn("_listed", F.lit(True))
+    j = j.join(listed, ["plan_id", "email"], "left")
     by_code = F.coalesce(F.lower("code") == F.lower("required_code"), F.lit(False))
-    by_mail = F.coalesce(F.array_contains("emails", F.col("email")), F.lit(False))
-    return j.select("attempt_id", "user_id", "plan_id", (by_code | by_mail).alias("eligible"))
+    return j.select("attempt_id", "user_id", "plan_id",
+                    (by_code | F.coalesce("_listed", F.lit(False))).alias("eligible"))

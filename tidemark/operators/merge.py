@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Any
 
@@ -19,6 +20,7 @@ from ..functions.paths import classify_text, conflict_copy_path
 from ..plans.folds import fold_rounds
 from ..plans.ordered import DAY_MS, number_rows, time_bucket
 from ..plans.skew import attach
+from ..session import settle
 from .causal import FILE, current_values
 
 # A policy gets (accumulated value, next value, base text or None) and returns a dict with
@@ -58,8 +60,8 @@ def resolve_lww(conflicts: DataFrame, blobs: DataFrame) -> DataFrame:
     """M3. Live, differing values: newest wins; each loser is a copy, or lossy when its
     blob is not stored anywhere. One row per loser."""
     shape = conflicts.groupBy(*FILE).agg(F.max("tombstone").alias("_t"), F.max(_value()).alias("w"))
-    losers = attach(conflicts, shape, FILE).where(
-        (~F.col("_t")) & (hlc() < F.col("w.at")) & (F.col("blob_ref") != F.col("w.blob_ref")))
+    losers = settle(attach(conflicts, shape, FILE).where(
+        (~F.col("_t")) & (hlc() < F.col("w.at")) & (F.col("blob_ref") != F.col("w.blob_ref"))))
     stored = blobs.select(F.col("blob_id").alias("blob_ref")).distinct().withColumn(
         "_have", F.lit(True))
     reach = attach(losers, stored, ["blob_ref"])
@@ -90,7 +92,7 @@ def _resolve_closed(conflicts: DataFrame, blobs: DataFrame) -> DataFrame:
     marked = attach(conflicts, oldest, FILE).withColumn("_same", same)
     turn = marked.groupBy(*FILE).agg(
         F.min(F.when(~F.col("_same"), _value())).alias("b"))
-    led = attach(conflicts, turn, FILE)
+    led = attach(conflicts, settle(turn), FILE)
     pair = led.groupBy(*FILE).agg(
         F.max(F.when(F.col("b").isNull() | (hlc() < F.col("b.at")), _value())).alias("a"),
         F.first("b").alias("b"))
@@ -99,8 +101,8 @@ def _resolve_closed(conflicts: DataFrame, blobs: DataFrame) -> DataFrame:
     winner = F.when(b.isNull(), a).when(a["tombstone"] & newer_is_live, b).when(
         b["tombstone"], a).otherwise(b)
     loser = F.when(b.isNull(), F.lit(None)).when(b["tombstone"], b).otherwise(a)
-    out = pair.select(*FILE, winner.alias("w"), loser.alias("l")).withColumn(
-        "blob_ref", F.col("l.blob_ref"))
+    out = settle(pair.select(*FILE, winner.alias("w"), loser.alias("l")).withColumn(
+        "blob_ref", F.col("l.blob_ref")))
     stored = blobs.select(F.col("blob_id").alias("blob_ref")).distinct().withColumn(
         "_have", F.lit(True))
     out = attach(out, stored, ["blob_ref"])
@@ -155,13 +157,13 @@ def _resolve_rounds(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | No
         F.lit("").alias("loser_ref"), F.lit(0).cast("long").alias("loser_ms"),
         F.lit("").alias("loser_node"), F.lit(False).alias("stop"))
 
+    columns = state.columns
+
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [_fold_pair(r, policy) for r in pdf.astype(object).where(
             pdf.notna(), None).to_dict("records")]
-        return pd.DataFrame(rows, columns=state.columns)
+        return pd.DataFrame(rows, columns=columns)
 
-    columns = state.columns
-    state = state.select(*columns)
     done = fold_rounds(ranked, FILE, "rank", state, step, done="stop")
     copy = conflict_copy_path("path", "loser_ms", "loser_node")
     return done.select(
@@ -176,8 +178,6 @@ def _fold_pair(row: dict[str, Any], policy: Policy) -> dict[str, Any]:
     out = policy(ours, theirs, row["base_text"])
     state = {k: v for k, v in row.items() if not k.startswith("next_")}
     if out["winner"] == "merged":
-        import hashlib
-
         top = max((ours["ms"], ours["cnt"]), (theirs["ms"], theirs["cnt"]))
         state.update(text=out["text"], blob_ref=hashlib.sha256(out["text"].encode()).hexdigest(),
                      ms=top[0], cnt=top[1] + 1, tombstone=False, reachable=True,

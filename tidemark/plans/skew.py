@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 256
@@ -30,8 +30,7 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
         *keys, F.struct(*payload).alias("_hot"))
     unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
     spread = rows.join(F.broadcast(hot_lookup), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | unmatched,
-                        1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)))
+        "_salt", F.when(F.col("_hot").isNotNull() | unmatched, 1 + _salt(rows)).otherwise(F.lit(0)))
     cold = lookup.select(*keys, F.lit(0).cast("long").alias("_salt"),
                          F.struct(*payload).alias("_cold"))
     joined = spread.join(cold, [*keys, "_salt"], "left")
@@ -39,6 +38,10 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
     return joined.select(*rows.columns, *[found[c].alias(c) for c in payload])
 
 
-def distinct_pairs(df: DataFrame, *cols: str) -> DataFrame:
-    """Distinct combinations, combined map-side before the shuffle."""
-    return df.select(*cols).distinct()
+def _salt(rows: DataFrame) -> Column:
+    """Spread rows over the salts, identical copies too: they differ in input partition.
+
+    Both parts come out the same when a lost task runs again.
+    """
+    plain = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.lit(SALTS))

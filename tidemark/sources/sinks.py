@@ -42,7 +42,7 @@ def export_rows(records: DataFrame, manifests: DataFrame, chunks: DataFrame) ->
     sized = settle(current_values(records))
     wanted = sized.where("n_values = 1 and not tombstone").select(
         F.col("blob_ref").alias("manifest")).distinct()
-    content = reassemble(manifests.join(wanted, "manifest", "left_semi"), chunks)
+    content = settle(reassemble(manifests.join(wanted, "manifest", "left_semi"), chunks))
     joined = attach(sized.withColumnRenamed("blob_ref", "manifest"),
                     content.select("manifest", "content"), ["manifest"])
     status = (F.when(F.col("n_values") > 1, "conflict").when(F.col("tombstone"), "tombstone")
@@ -51,12 +51,10 @@ def export_rows(records: DataFrame, manifests: DataFrame, chunks: DataFrame) ->
         "content", F.when(F.col("status") == "exported", F.col("content")))
 
 
-def export_vaults(records: DataFrame, manifests: DataFrame, chunks: DataFrame,
-                  path: str) -> None:
-    """A8. Write live single-value files, one folder per vault."""
-    (export_rows(records, manifests, chunks).where("status = 'exported'")
-     .select("vault_id", "path", "content").write.mode("overwrite")
-     .partitionBy("vault_id").parquet(path))
+def export_vaults(rows: DataFrame, path: str) -> None:
+    """A8. Write the exported ones of ``export_rows``, one folder per vault."""
+    (rows.where("status = 'exported'").select("vault_id", "path", "content")
+     .write.mode("overwrite").partitionBy("vault_id").parquet(path))
 
 
 def export_report(rows: DataFrame) -> DataFrame:
