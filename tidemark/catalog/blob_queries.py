@@ -172,7 +172,7 @@ def d4(i: Inputs):
 
 @query("d4_dedup_stats_cdc")
 def d4_cdc(i: Inputs):
-    return blobs.dedup_stats(blobs.cdc_chunks(corpus(i), **CHUNK))
+    return blobs.dedup_stats(blobs.cdc_chunks(corpus(i), **CHUNK, keep_bytes=False))
 
 
 @query("d5_reassemble", """with g as (select doc_id, bool_and(hash not like '0%') ok, cast(sum(strlen(piece)) as bigint) total
@@ -192,7 +192,7 @@ def d6(i: Inputs):
     half = F.expr("cast(length(content) div 2 as int)")
     edited = corpus(i).withColumn("content", F.concat(
         F.substr("content", F.lit(1), half), F.lit(" [edited] "), F.substr("content", half + 1)))
-    return blobs.transfer_plan(edited, blobs.cdc_chunks(corpus(i), **CHUNK), **CHUNK)
+    return blobs.transfer_plan(edited, blobs.cdc_chunks(corpus(i), **CHUNK, keep_bytes=False), **CHUNK)
 
 
 # M -------------------------------------------------------------------------------------

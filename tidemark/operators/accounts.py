@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import Running, first_per_key, running, time_bucket
-from ..plans.skew import attach
+from ..plans.skew import attach, attach_small
 
 
 def owns_vault(requests: DataFrame, vaults: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def vault_count_violations(vaults: DataFrame, caps: DataFrame) -> DataFrame:
 def apply_grants(subs: DataFrame, grants: DataFrame, plans: DataFrame) -> DataFrame:
     """P7. Subscriptions after grants ``(sub_id, user_id, plan_id, at, days, reason)``."""
     p = plans.select("plan_id", "period_days", F.lit(0).cast("long").alias("amount_kopecks"))
-    g = attach(grants, p, ["plan_id"])
+    g = attach_small(grants, p, ["plan_id"])
     days = F.coalesce("days", "period_days").cast("int")
     granted = g.select(
         "sub_id", "user_id", "plan_id", F.lit("G").alias("status"), F.col("at").alias("started"),
@@ -177,7 +177,7 @@ def promo_eligible(users: DataFrame, plans: DataFrame, allowed: DataFrame,
     ``required_code`` or whose user's e-mail is allowed: ``allowed`` holds one row
     ``(plan_id, email)`` per listed address, however long a list is."""
     j = attach(attempts, users.select("user_id", "email"), ["user_id"])
-    j = attach(j, plans.select("plan_id", "required_code"), ["plan_id"])
+    j = attach_small(j, plans.select("plan_id", "required_code"), ["plan_id"])
     listed = allowed.select("plan_id", "email").distinct().withColumn("_listed", F.lit(True))
     j = j.join(listed, ["plan_id", "email"], "left")
     by_code = F.coalesce(F.lower("code") == F.lower("required_code"), F.lit(False))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.cdc import cut_points
 from ..plans.ordered import number_rows, text_bucket
+from ..plans.skew import spread
 from .causal import FILE, live_refs
 
 CHUNK_MIN, CHUNK_AVG, CHUNK_MAX = 512 << 10, 1 << 20, 4 << 20
+FLUSH_BYTES = 32 << 20
+CHUNK_COLUMNS = ["file_id", "ord", "off", "size", "hash", "bytes"]
 CHUNK_SCHEMA = "file_id string, ord bigint, off bigint, size bigint, hash string, bytes binary"
 
 
@@ -70,24 +73,33 @@ def heal_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> DataF
 
 
 def cdc_chunks(files: DataFrame, low: int = CHUNK_MIN, avg: int = CHUNK_AVG,
-               high: int = CHUNK_MAX) -> DataFrame:
-    """D1 / U4. ``(file_id, content)`` to content-defined chunks, in parallel over files."""
+               high: int = CHUNK_MAX, keep_bytes: bool = True) -> DataFrame:
+    """D1 / U4. ``(file_id, content)`` to content-defined chunks, in parallel over files.
+
+    ``keep_bytes=False`` leaves ``bytes`` null when only hashes and sizes are needed.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
         for pdf in batches:
             for file_id, content in zip(pdf["file_id"], pdf["content"]):
-                data = bytes(content)
-                ends = cut_points(data, low, avg, high)
-                starts = [0, *ends[:-1]]
-                parts = [data[a:b] for a, b in zip(starts, ends)]
-                yield pd.DataFrame({
-                    "file_id": file_id, "ord": range(len(ends)), "off": starts,
-                    "size": [len(p) for p in parts],
-                    "hash": [hashlib.sha256(p).hexdigest() for p in parts], "bytes": parts})
+                at = 0
+                for n, end in enumerate(cut_points(content, low, avg, high)):
+                    part = content[at:end]
+                    rows.append((file_id, n, at, end - at, hashlib.sha256(part).hexdigest(),
+                                 part if keep_bytes else None))
+                    at = end
+                held += len(content)
+                if held > FLUSH_BYTES:
+                    yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
 
     rows = files.select(F.col("file_id").cast("string").alias("file_id"),
                         F.col("content").cast("binary").alias("content"))
-    return rows.mapInPandas(split, CHUNK_SCHEMA)
+    return spread(rows, "file_id").mapInPandas(split, CHUNK_SCHEMA)
 
 
 def build_manifest(chunks: DataFrame, key: str = "file_id") -> DataFrame:
@@ -148,6 +160,6 @@ def reassemble(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
 def transfer_plan(files: DataFrame, known: DataFrame, low: int = CHUNK_MIN, avg: int = CHUNK_AVG,
                   high: int = CHUNK_MAX) -> DataFrame:
     """D6. Bytes and chunks to send: distinct new chunks only."""
-    fresh = cdc_chunks(files, low, avg, high).select("hash", "size").distinct()
+    fresh = cdc_chunks(files, low, avg, high, keep_bytes=False).select("hash", "size").distinct()
     return fresh.join(known.select("hash").distinct(), "hash", "left_anti").agg(
         F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

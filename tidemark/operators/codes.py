@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordered import first_per_key, number_rows, time_bucket
-from ..plans.skew import attach
+from ..plans.skew import attach, attach_small
 
 # Reasons a discount is refused, in the order they are checked.
 REASONS = ("not_found", "code_inactive", "code_not_started", "code_expired", "code_exhausted",
@@ -33,7 +33,7 @@ def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame,
     done = past.groupBy("code_key").agg(F.count(F.lit(1)).alias("redeemed"))
     once = first_per_key(keyed, ["code_key", "user_id"], ["seq"]).join(
         past.select("code_key", "user_id").distinct(), ["code_key", "user_id"], "left_anti")
-    j = attach(once, known.join(done, "code_key", "left"), ["code_key"])
+    j = attach_small(once, known.join(done, "code_key", "left"), ["code_key"])
     open_now = F.col("is_active") & (
         F.col("expires_at").isNull() | (F.col("at_ts") < F.col("expires_at")))
     queued = number_rows(j.where(open_now), ["code_key"], ["seq"], time_bucket("seq", width), "_n")
@@ -49,7 +49,7 @@ def preview_discounts(orders: DataFrame, codes: DataFrame, past: DataFrame) -> D
     known = codes.withColumn("code_key", F.lower("code"))
     per_code = past.groupBy("code_key").agg(F.count(F.lit(1)).alias("_used"))
     per_user = past.groupBy("code_key", "user_id").agg(F.count(F.lit(1)).alias("_mine"))
-    j = attach(keyed, known.join(per_code, "code_key", "left"), ["code_key"])
+    j = attach_small(keyed, known.join(per_code, "code_key", "left"), ["code_key"])
     j = attach(j, per_user, ["code_key", "user_id"])
     at = F.col("at_ts")
     checks = (F.col("code").isNull(), ~F.col("is_active"), at < F.col("starts_at"),

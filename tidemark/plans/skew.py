@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 256
 SALTS = 64
+SMALL_ROWS = 100_000
 
 
 def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
@@ -38,6 +39,32 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
     return joined.select(*rows.columns, *[found[c].alias(c) for c in payload])
 
 
+def attach_small(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
+                 max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``attach`` for a lookup that is usually small, such as a catalogue.
+
+    Its rows are counted first, up to the bound. Within it the lookup is broadcast, which
+    leaves ``rows`` where they are; beyond it the shuffle join of ``attach`` takes over.
+    """
+    held = lookup.persist()
+    if held.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(held), list(keys), "left").select(
+            *rows.columns, *[c for c in lookup.columns if c not in keys])
+    return attach(rows, held, keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan of fewer files than the cluster has cores more tasks.
+
+    Costly per-row work over a handful of files would otherwise run in as many tasks. Large
+    inputs, and frames that are no plain scan, pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(df.inputFiles()) < cores:
+        return df.repartition(cores, *keys)
+    return df
+
+
 def _salt(rows: DataFrame) -> Column:
     """Spread rows over the salts, identical copies too: they differ in input partition.
 
