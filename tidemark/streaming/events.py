@@ -135,7 +135,8 @@ def suppress_echo_batch(ops: DataFrame, ttl_ms: int = 2_000) -> DataFrame:
 
 
 def _judge_echo(tries: DataFrame, ttl_ms: int) -> DataFrame:
-    keys, order, bucket = ["device", "path"], ["ms", "seq"], time_bucket("ms", HOUR_MS)
+    keys, bucket = ["device", "path"], time_bucket("ms", HOUR_MS)
+    order = ["ms", "seq", F.desc("old")]
     is_mark = F.col("d") > 0
     led = running(tries, keys, order, bucket,
                   [Running("_m", "max", F.when(is_mark, F.col("ms")), before=True)])

@@ -68,7 +68,7 @@ def stream_history(folder: str) -> Callable[[DataFrame, int], None]:
         first = fresh.groupBy(*FILE).agg(F.min("server_seq").alias("_first"))
         past = _load(spark, folder)
         if past is not None:
-            past = past.where(F.col("batch") != batch)
+            past = past.where(F.col("batch") < batch)
             fresh = fresh.join(past.select(*FILE, *HLC), [*FILE, *HLC], "left_anti")
             first = first.join(past.select(*FILE).distinct(), FILE, "left_anti")
         op = (F.when(F.col("tombstone"), "delete")
