@@ -97,3 +97,17 @@ def test_fold_rounds_handles_groups_of_any_size(spark):
     out = fold_rounds(df, ["g"], "rank", state,
                       lambda p: p.assign(body=p["body"] + ">" + p["next_body"]))
     assert {r.g: r.body for r in out.collect()} == {"a": "a1", "b": "b1>b2>b3>b4", "c": "c1>c2"}
+
+
+def test_record_layout_prunes_keyspaces_and_cursors(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 10 < 7, "big").otherwise("small").alias("vault_id"), F.lit("config").alias("ns"),
+        F.col("id").alias("server_seq"))
+    sinks.write_records(df, str(tmp_path / "r"), 8)
+    assert len(list((tmp_path / "r" / "vault_id=big" / "ns=config").glob("*.parquet"))) >= 4
+    part = gates.delta_since(gates.with_keyspace(spark.read.parquet(str(tmp_path / "r")), "big", "config"), 4000)
+    plan = part._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(vault_id" in plan and "GreaterThan(server_seq,4000)" in plan
+    assert part.count() == df.where("vault_id = 'big' and server_seq > 4000").count()

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from ..fixtures import VAULT_KEYS, Inputs, to_biz, to_blob_chunks, to_file_events
 from ..functions import rejections
 from ..operators import accounts, codes, ops
-from ..plans.skew import attach
 from ..session import settle
 from ..sources.sinks import scratch_folder
 from ..streaming import events as ev
@@ -395,7 +394,9 @@ def e2(i: Inputs):
 
 @query("e2_suppress_echo_stream")
 def e2_stream(i: Inputs):
-    return drained(i, ev.suppress_echo(echo_ops(event_stream(i)), 7_200_000), "echo")
+    out = scratch_folder(i.spark, "echo")
+    reg.run_available(echo_ops(event_stream(i)), ev.suppress_echo(out, 7_200_000), f"{out}/progress")
+    return i.spark.read.parquet(f"{out}/rows").select("device", "event_id", "suppressed")
 
 
 @query("e3_dedupe_chunks", "select blob_id, off from blob_chunks group by 1,2")
@@ -509,7 +510,7 @@ def e10_stream(i: Inputs):
     return drained(i, ev.business_counts(to_biz(event_stream(i))), "business")
 
 
-@query("e11_late_guard", "select event_id from events where event_id%13<=5")
+@query("e11_late_guard", "select event_id from events where (event_id%13)*60000 <= 300000")
 def e11(i: Inputs):
     stream = event_stream(i).withColumn("ms", F.unix_millis("ts")).withColumn(
         "received_ms", F.col("ms") - (F.col("event_id") % 13) * 60000)

@@ -266,8 +266,8 @@ def prop_texts(i: Inputs):
 
 
 def text_bases(i: Inputs):
-    base = prop_texts(i).limit(1).select(F.lit("base").alias("blob_ref"), F.lit(
-        "line 0\nsame\nline 1\nsame too\nline 2").alias("text"))
+    base = i.spark.createDataFrame([("base", "line 0\nsame\nline 1\nsame too\nline 2")],
+                                   "blob_ref string, text string")
     return prop_texts(i).unionByName(base)
 
 

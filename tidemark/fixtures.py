@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.hlc import stamp
+from .session import SETTINGS
 from .plans.ordered import DAY_MS, HOUR_MS, Running, number_rows, running, time_bucket
 
 NOW_MS = 1_706_659_200_000
@@ -22,7 +23,8 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         sc = spark.sparkContext
         if sc.master.startswith("local"):
             spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
@@ -97,7 +99,7 @@ class Inputs:
 
     def _arr(self) -> DataFrame:
         w = self.w().withColumn("_late", F.col("rn") + (F.col("event_id") * 13) % 11)
-        return number_rows(w, VAULT_KEYS, ["_late", "rn"], time_bucket("_late", 64),
+        return number_rows(w, VAULT_KEYS, ["_late", "rn"], time_bucket("_late", 4096),
                            "arrival").drop("_late")
 
     def refs(self) -> DataFrame:

@@ -36,7 +36,7 @@ def register_join(writes: DataFrame, ctx: DataFrame) -> DataFrame:
 
 
 def register_join_arrival(writes: DataFrame, ctx: DataFrame, arrival: str = "arrival",
-                          width: int = 4096, keys: list[str] = FILE) -> DataFrame:
+                          width: int = 1 << 16, keys: list[str] = FILE) -> DataFrame:
     """C2. Server semantics: only a later-arriving context drops a value.
 
     ``ctx`` carries the arrival of the write it belongs to. Scanning arrivals backwards, a
@@ -69,7 +69,7 @@ def put_results(writes: DataFrame, seq: str = "server_seq", keys: list[str] = FI
 
 
 def assign_seq(writes: DataFrame, keyspace: tuple[str, ...] = ("vault_id", "ns"),
-               batch: str = "batch_id", item: str = "item_idx", width: int = 256) -> DataFrame:
+               batch: str = "batch_id", item: str = "item_idx", width: int = 1 << 12) -> DataFrame:
     """C4. Sequence per keyspace over batches and items; retries use numbers up too."""
     return number_rows(writes, list(keyspace), [batch, item], time_bucket(batch, width),
                        "server_seq")

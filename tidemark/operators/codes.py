@@ -22,7 +22,7 @@ def promo_redeemable(codes: DataFrame, now: Column) -> DataFrame:
 
 
 def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame,
-                  width: int = 4096) -> DataFrame:
+                  width: int = 1 << 16) -> DataFrame:
     """P16. Accepted redemptions in arrival order: one per (code, user), within each cap.
 
     ``attempts``: ``(seq, user_id, typed_code, at_ts)``; ``past``: ``(code_key, user_id)``.

@@ -15,7 +15,7 @@ DAY = 86_400_000
 FRESH_DAYS = 90
 
 
-def upsert_heads(reports: DataFrame, width: int = 4096) -> DataFrame:
+def upsert_heads(reports: DataFrame, width: int = 1 << 16) -> DataFrame:
     """H1. Stored head per device: a report below the stored seq is refused, an equal one
     replaces it. The stored seq is the running maximum, so accepted reports are those not
     below it and the last of them wins.
@@ -164,5 +164,5 @@ def restore_versions(picks: DataFrame, latest: DataFrame, now_ms: int | Column,
     top = latest.groupBy("vault_id").agg(F.max(F.struct("ms", "cnt")).alias("_top"))
     rows = attach(picks.drop("ms", "cnt", "node"), top, ["vault_id"])
     rows = rows.withColumn("_wall", F.greatest(wall, F.col("_top.ms") + 1))
-    stamped = stamp_hlc(rows, "vault_id", "_wall", ["event_id"], time_bucket("event_id", 4096))
+    stamped = stamp_hlc(rows, "vault_id", "_wall", ["event_id"], time_bucket("event_id", 1 << 16))
     return stamped.withColumn("node", F.lit(device)).drop("_top", "_wall")

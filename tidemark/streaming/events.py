@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.gates import skew_guard
 from ..plans.ordered import DAY_MS, HOUR_MS, Running, running, time_bucket
-from ..session import ensure_checkpoint_dir
+from ..session import settle
 
 
 # E1 ------------------------------------------------------------------------------------
@@ -44,114 +43,106 @@ def debounce_batch(events: DataFrame, gap_us: int = 3_000_000,
 
 
 # E2 ------------------------------------------------------------------------------------
-ECHO_OUT = "device string, event_id bigint, suppressed boolean"
-ECHO_STATE = "paths array<string>, counts array<bigint>, until array<bigint>"
+def suppress_echo(folder: str, ttl_ms: int = 2_000) -> Callable[[DataFrame, int], None]:
+    """E2. ``foreachBatch`` body. Per path our own writes announce (``mark``) how many
+    events to swallow; marks lapse ``ttl`` after the last one. A rename may use either name.
 
+    ``ops``: ``(device, ts, seq, kind, path, old_path, n, event_id)``. Between batches only
+    the open count and the last mark of each path are kept, as one row that the next batch
+    reads as a mark. Every batch has its own folders, so a batch may run again.
+    """
 
-def _consume(live: dict[str, list[int]], path: str | None, at: int) -> bool:
-    held = live.get(path) if path else None
-    if held is None or at >= held[1]:
-        live.pop(path, None)
-        return False
-    held[0] -= 1
-    if held[0] <= 0:
-        live.pop(path)
-    return True
-
+    def apply(ops: DataFrame, batch: int) -> None:
+        spark = ops.sparkSession
+        held = _load_batch(spark, f"{folder}/state", batch - 1)
+        tries = _echo_tries(ops)
+        if held is not None:
+            tries = held.select(*tries.columns).unionByName(tries)
+        judged = _settle_echo(tries, ttl_ms)
+        _echo_verdicts(judged).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        order = F.struct("ms", "seq", (~F.col("old")).alias("late"))
+        last = judged.groupBy("device", "path").agg(
+            F.max(F.struct(order.alias("at"), "held", "last_mark")).alias("l"))
+        last.where("l.held > 0").select(
+            "device", "path", F.col("l.last_mark").alias("ms"), F.lit(-1).cast("long").alias("seq"),
+            F.lit(-1).cast("long").alias("event_id"), F.col("l.held").alias("d"),
+            F.lit(False).alias("second"), F.lit(False).alias("old")).write.mode(
+            "overwrite").parquet(f"{folder}/state/batch={batch}")
+
+    return apply
+
+
+def _load_batch(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{folder}/batch={batch}")
+    except AnalysisException:
+        return None
 
-def suppress_echo(ops: DataFrame, ttl_ms: int = 2_000, delay: str = "10 seconds") -> DataFrame:
-    """E2. Per device: our own writes announce (``mark``) how many events of a path to
-    swallow; marks lapse ``ttl`` after the last one. A rename may use either name's mark.
 
-    ``ops``: ``(device, ts, seq, kind, path, old_path, n, event_id)``.
-    """
+def suppress_echo_batch(ops: DataFrame, ttl_ms: int = 2_000) -> DataFrame:
+    """E2 over a stored log: each event with whether it was swallowed."""
+    return _echo_verdicts(_settle_echo(_echo_tries(ops), ttl_ms))
 
-    def react(key: tuple[Any, ...], batches: Iterator[pd.DataFrame],
-              state: GroupState) -> Iterator[pd.DataFrame]:
-        live: dict[str, list[int]] = {}
-        if state.exists:
-            paths, counts, until = state.get
-            live = {p: [c, u] for p, c, u in zip(paths, counts, until)}
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out = []
-        for ts, kind, path, old, n, event in zip(pdf["ts"], pdf["kind"], pdf["path"],
-                                                 pdf["old_path"], pdf["n"], pdf["event_id"]):
-            at = ts.value // 1_000_000
-            if kind == "mark":
-                held = live.get(path)
-                before = held[0] if held and at < held[1] else 0
-                live[path] = [before + int(n), at + ttl_ms]
-            else:
-                old = old if isinstance(old, str) else None
-                out.append((key[0], event, _consume(live, old, at) or _consume(live, path, at)))
-        now = pdf["ts"].max().value // 1_000_000
-        live = {p: h for p, h in live.items() if h[1] > now}
-        if live:
-            state.update(([*live], [h[0] for h in live.values()], [h[1] for h in live.values()]))
-            state.setTimeoutTimestamp(max(max(h[1] for h in live.values()),
-                                          state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["device", "event_id", "suppressed"])
-
-    return ops.withWatermark("ts", delay).groupBy("device").applyInPandasWithState(
-        react, ECHO_OUT, ECHO_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
+def _echo_verdicts(judged: DataFrame) -> DataFrame:
+    return judged.where("d < 0").groupBy("device", "event_id").agg(
+        F.max("suppressed").alias("suppressed"))
 
-def suppress_echo_batch(ops: DataFrame, ttl_ms: int = 2_000) -> DataFrame:
-    """E2, batch twin without grouped Python.
 
-    Per path the open count is a sum of marks minus events, held at zero: the running sum
-    less its running minimum. Marks closer than the ttl form one era with one such sum. A
-    rename counts on its new name only if its old name did not swallow it, so old names are
-    settled first and the scan repeats until no rename changes its mind.
-    """
-    ensure_checkpoint_dir(ops.sparkSession)
+def _echo_tries(ops: DataFrame) -> DataFrame:
+    """One row per mark and per name an event could be swallowed under (old names first)."""
     at = ops.withColumn("ms", F.unix_millis("ts"))
-    moved = F.col("old_path").isNotNull()
-    direct = at.select("device", "path", "ms", "seq", "event_id",
-                       F.when(F.col("kind") == "mark", F.col("n")).otherwise(-1).cast("long").alias("d"),
-                       (moved & (F.col("kind") != "mark")).alias("second"))
-    first = at.where(moved & (F.col("kind") != "mark")).select(
-        "device", F.col("old_path").alias("path"), "ms", "seq", "event_id",
-        F.lit(-1).cast("long").alias("d"), F.lit(False).alias("second"))
-    tries = direct.withColumn("old", F.lit(False)).unionByName(
-        first.withColumn("old", F.lit(True))).checkpoint()
+    event = F.col("kind") != "mark"
+    renamed = event & F.col("old_path").isNotNull()
+    own = at.select("device", "path", "ms", F.col("seq").cast("long").alias("seq"), "event_id",
+                    F.when(event, -1).otherwise(F.col("n")).cast("long").alias("d"),
+                    renamed.alias("second"), F.lit(False).alias("old"))
+    return own.unionByName(at.where(renamed).select(
+        "device", F.col("old_path").alias("path"), "ms", F.col("seq").cast("long").alias("seq"),
+        "event_id", F.lit(-1).cast("long").alias("d"), F.lit(False).alias("second"),
+        F.lit(True).alias("old")))
+
+
+def _settle_echo(tries: DataFrame, ttl_ms: int) -> DataFrame:
+    """Judge all tries. A rename counts on its new name only if its old name did not swallow
+    it, so the scan repeats until no rename changes its mind; a verdict depends on earlier
+    ones only, so it ends."""
+    tries = settle(tries)
     eaten = tries.where("false").select("event_id")
     while True:
-        settled = tries.join(eaten.withColumn("second", F.lit(True)), ["event_id", "second"],
-                             "left_anti")
-        judged = _judge_echo(settled, ttl_ms).checkpoint()
+        open_tries = tries.join(eaten.withColumn("second", F.lit(True)), ["event_id", "second"],
+                                "left_anti")
+        judged = settle(_judge_echo(open_tries, ttl_ms))
         now = judged.where("old and suppressed").select("event_id")
-        same = now.exceptAll(eaten).unionByName(eaten.exceptAll(now)).limit(1).count() == 0
-        if same:
-            break
+        if now.exceptAll(eaten).unionByName(eaten.exceptAll(now)).limit(1).count() == 0:
+            return judged
         eaten = now
-    return judged.where("d < 0").groupBy("device", "event_id").agg(
-        F.max("suppressed").alias("suppressed"))
 
 
 def _judge_echo(tries: DataFrame, ttl_ms: int) -> DataFrame:
+    """Per path the open count is marks minus events, held at zero: the running sum less its
+    running minimum, within one era of marks that are less than the ttl apart."""
     keys, bucket = ["device", "path"], time_bucket("ms", HOUR_MS)
     order = ["ms", "seq", F.desc("old")]
     is_mark = F.col("d") > 0
     led = running(tries, keys, order, bucket,
                   [Running("_m", "max", F.when(is_mark, F.col("ms")), before=True)])
     live = F.col("_m").isNotNull() & (F.col("ms") - F.col("_m") < ttl_ms)
+    led = led.withColumn("last_mark", F.when(is_mark, F.col("ms")).otherwise(F.col("_m")))
     opens = F.when(is_mark & ~live, F.struct("ms", "seq"))
-    eras = running(led.withColumn("_live", live).withColumn("_o", opens), keys, order, bucket,
-                   [Running("_era", "max", F.col("_o"))]).checkpoint()
-    idle = eras.where((F.col("d") < 0) & ~F.col("_live")).withColumn("suppressed", F.lit(False))
-    busy = eras.where((F.col("d") > 0) | F.col("_live"))
+    eras = settle(running(led.withColumn("_live", live).withColumn("_o", opens), keys, order,
+                          bucket, [Running("_era", "max", F.col("_o"))]))
+    idle = eras.where(~is_mark & ~F.col("_live")).withColumn("suppressed", F.lit(False)).withColumn(
+        "held", F.lit(0).cast("long"))
+    busy = eras.where(is_mark | F.col("_live"))
     summed = running(busy, [*keys, "_era"], order, bucket, [Running("_s", "sum", F.col("d"))])
     floor = running(summed, [*keys, "_era"], order, bucket,
                     [Running("_f", "min", F.col("_s"), before=True)])
-    held = F.col("_s") - F.col("d") - F.least(F.lit(0), F.coalesce("_f", F.lit(0)))
-    judged = floor.withColumn("suppressed", (F.col("d") < 0) & (held > 0))
-    cols = [*tries.columns, "suppressed"]
+    debt = F.least(F.lit(0), F.coalesce("_f", F.lit(0)))
+    before = F.col("_s") - F.col("d") - debt
+    judged = floor.withColumn("suppressed", (F.col("d") < 0) & (before > 0)).withColumn(
+        "held", F.greatest(before + F.col("d"), F.lit(0)))
+    cols = [*tries.columns, "suppressed", "held", "last_mark"]
     return judged.select(*cols).unionByName(idle.select(*cols))
 
 
