@@ -40,15 +40,43 @@ def test_number_rows_descending_and_text_buckets(spark, hot):
     assert [r.w for r in words.orderBy(text_bucket("w"), "w").collect()] == by_text
 
 
-@pytest.mark.parametrize("hot_keys", [1, 256])
-def test_attach_equals_a_left_join(hot, hot_keys):
+@pytest.mark.parametrize("limit,least", [(1, 10), (256, 10), (256, 10**6)])
+def test_attach_equals_a_left_join(hot, limit, least):
+    rows = hot.withColumn("k", F.when(F.col("seq") % 50 != 0, F.col("k")))
     lookup = hot.where("k <> 'k3'").groupBy("k").agg(F.max("v").alias("top"))
-    want = hot.join(lookup, "k", "left")
-    got = attach(hot, lookup, ["k"], hot_keys)
+    want = rows.join(lookup, "k", "left")
+    got = attach(rows, lookup, ["k"], limit, least)
     assert got.count() == 3000
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
+def test_hot_keys_are_few_and_largest(hot):
+    from tidemark.plans.skew import hot_keys
+
+    assert [r.k for r in hot_keys(hot, ["k"], 256, 500)] == ["hot"]
+    assert len(hot_keys(hot, ["k"], 3, 0)) == 3
+    assert hot_keys(hot, ["k"], 256, 10**6) == []
+
+
+def test_semi_and_anti_joins_for_hot_keys(hot, monkeypatch):
+    from tidemark.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    known = hot.where("k in ('hot', 'k1')").select("k")
+    assert skew.keep_known(hot, known, ["k"]).count() == hot.where("k in ('hot', 'k1')").count()
+    assert skew.drop_known(hot, known, ["k"]).count() == hot.where("k not in ('hot', 'k1')").count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_register_join_with_every_key_hot(spark, monkeypatch, seed):
+    from tests.helpers import frames, keys_of, lattice, random_log
+    from tidemark.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+    log = random_log(seed, 80, files=1)
+    assert keys_of(causal.register_join(*frames(spark, log))) == lattice(log)
+
+
 @pytest.mark.parametrize("bound", [2, 1000])
 def test_attach_small_on_both_sides_of_its_bound(hot, bound):
     lookup = hot.groupBy("k").agg(F.max("v").alias("top"))

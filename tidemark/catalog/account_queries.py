@@ -387,12 +387,24 @@ def echo_ops(frame):
                     F.when(mark, 1 + F.col("event_id") % 2).otherwise(0).alias("n"))
 
 
-@query("e2_suppress_echo_batch")
+ECHO = """with o as (select device, path, epoch_us(ts)//1000 ms, event_id, case when kind='created' then 1+event_id%2
+ else -1 end d from file_events where kind<>'typing'), m as (select *, max(case when d>0 then ms end) over (
+ partition by device, path order by ms, event_id rows between unbounded preceding and 1 preceding) lm from o),
+ e as (select *, lm is not null and ms-lm<7200000 live from m), f as (select *, sum(case when d>0 and not live then 1
+ else 0 end) over (partition by device, path order by ms, event_id) era, d>0 or live busy from e),
+ s as (select *, sum(d) over (partition by device, path, era order by ms, event_id) s from f where busy),
+ g as (select *, least(0, coalesce(min(s) over (partition by device, path, era order by ms, event_id
+ rows between unbounded preceding and 1 preceding),0)) debt from s)
+ select device, event_id, s-d-debt>0 suppressed from g where d<0
+ union all select device, event_id, false from f where not busy"""
+
+
+@query("e2_suppress_echo_batch", ECHO)
 def e2(i: Inputs):
     return ev.suppress_echo_batch(echo_ops(i.events()), 7_200_000)
 
 
-@query("e2_suppress_echo_stream")
+@query("e2_suppress_echo_stream", ECHO)
 def e2_stream(i: Inputs):
     out = scratch_folder(i.spark, "echo")
     reg.run_available(echo_ops(event_stream(i)), ev.suppress_echo(out, 7_200_000), f"{out}/progress")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
 from ..plans.ordered import DAY_MS, Running, running, time_bucket
+from ..plans.skew import keep_known
 from .causal import FILE
 
 
@@ -34,7 +35,7 @@ def merge_base(conflicts: DataFrame, explicit: DataFrame, synced: DataFrame,
     the file's oldest value."""
     oldest = conflicts.groupBy(*FILE).agg(F.min(hlc()).alias("_o")).select(
         *FILE, "_o.ms", "_o.cnt", "_o.node", F.concat_ws("/", *FILE).alias("probe_id"))
-    found = history_base(history.join(oldest.select(*FILE), FILE, "left_semi"), oldest)
+    found = history_base(keep_known(history, oldest, FILE), oldest)
     return (oldest.select(*FILE)
             .join(explicit.select(*FILE, F.col("blob_ref").alias("_a")), FILE, "left")
             .join(synced.select(*FILE, F.col("blob_ref").alias("_b")), FILE, "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cdc import cut_points
 from ..plans.ordered import number_rows, text_bucket
-from ..plans.skew import spread
+from ..plans.skew import attach, drop_known, flag, spread
 from .causal import FILE, live_refs
 
 CHUNK_MIN, CHUNK_AVG, CHUNK_MAX = 512 << 10, 1 << 20, 4 << 20
@@ -22,7 +22,8 @@ CHUNK_SCHEMA = "file_id string, ord bigint, off bigint, size bigint, hash string
 
 def blobs_exist(ids: DataFrame, blobs: DataFrame) -> DataFrame:
     """J1. Requested ids that are stored."""
-    return ids.join(blobs.select("blob_id").distinct(), "blob_id", "left_semi")
+    return ids.select("blob_id").distinct().join(
+        blobs.select("blob_id").distinct(), "blob_id", "left_semi")
 
 
 def upload_plan(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def prefetch_plan(records: DataFrame, cache: DataFrame, batch: int = 8) -> DataF
     """J4. Distinct live manifests missing locally, in numbered batches per vault."""
     refs = records.where(~F.col("tombstone") & (F.col("blob_ref") != "")).select(
         "vault_id", F.col("blob_ref").alias("ref")).distinct()
-    missing = refs.join(cache.select(F.col("blob_id").alias("ref")).distinct(), "ref", "left_anti")
+    missing = drop_known(refs, cache.select(F.col("blob_id").alias("ref")), ["ref"])
     numbered = number_rows(missing, ["vault_id"], ["ref"], text_bucket("ref"), "_n")
     return numbered.select("vault_id", "ref",
                            F.expr(f"(_n - 1) div {batch}").alias("batch_no"))
@@ -50,10 +51,9 @@ def prefetch_plan(records: DataFrame, cache: DataFrame, batch: int = 8) -> DataF
 def missing_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
     """J5. Referenced refs per vault, flagged present on the remote and in the local cache."""
     refs = live_refs(records).select("vault_id", "ref").distinct()
-    r = remote.select(F.col("blob_id").alias("ref")).distinct().withColumn("on_remote", F.lit(True))
-    l = local.select(F.col("blob_id").alias("ref")).distinct().withColumn("in_cache", F.lit(True))
-    return (refs.join(r, "ref", "left").join(l, "ref", "left")
-            .fillna(False, ["on_remote", "in_cache"]))
+    remote_refs = remote.select(F.col("blob_id").alias("ref"))
+    local_refs = local.select(F.col("blob_id").alias("ref"))
+    return flag(flag(refs, remote_refs, ["ref"], "on_remote"), local_refs, ["ref"], "in_cache")
 
 
 def verify_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
@@ -144,14 +144,15 @@ def reassemble(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     has another size. Incomplete manifests are settled before any bytes are moved.
     """
     sizes = chunks.select("hash", F.octet_length("bytes").cast("long").alias("_stored"))
-    checked = manifests.join(sizes.groupBy("hash").agg(F.max("_stored").alias("_stored")),
-                             "hash", "left")
+    checked = attach(manifests, sizes.groupBy("hash").agg(F.max("_stored").alias("_stored")),
+                     ["hash"])
     verdict = checked.groupBy("manifest").agg(
         F.min((F.col("_stored").isNotNull() & (F.col("_stored") == F.col("size")))).alias("ok"),
         F.sum("size").alias("total"))
     whole = manifests.join(verdict.where("ok").select("manifest"), "manifest", "left_semi")
-    unique = chunks.dropDuplicates(["hash"])
-    parts = whole.join(unique, "hash").groupBy("manifest").agg(
+    # A chunk many files share is one of a few broadcast rows of at most one chunk size each.
+    unique = chunks.select("hash", "bytes").dropDuplicates(["hash"])
+    parts = attach(whole, unique, ["hash"], limit=16).groupBy("manifest").agg(
         F.sort_array(F.collect_list(F.struct("ord", "bytes"))).alias("_p"))
     content = F.aggregate("_p", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["bytes"]))
     return verdict.join(parts.select("manifest", content.alias("content")), "manifest", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
 from ..plans.ordered import Running, running, time_bucket
-from ..plans.skew import attach
+from ..plans.skew import attach, keep_known
 from .blobs import reassemble
 from .causal import FILE
 
@@ -138,8 +138,7 @@ def stability_frontier(heads: DataFrame, head_ctx: DataFrame, now_ms: int,
 
 def file_versions(history: DataFrame, file_ids: DataFrame, newest_first: bool = False) -> DataFrame:
     """H11. All readable versions of the asked files."""
-    v = history.join(file_ids.select("file_id").distinct(), "file_id", "left_semi").where(
-        F.col("ms").isNotNull())
+    v = keep_known(history, file_ids, ["file_id"]).where(F.col("ms").isNotNull())
     return v.orderBy("file_id", hlc().desc()) if newest_first else v
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import attach
+from ..plans.skew import attach, keep_known
 
 
 def _leaves(value: Any, path: tuple[str, ...] = ()) -> Iterator[tuple[str, str]]:
@@ -135,7 +135,7 @@ def settings_pull(local: DataFrame, remote: DataFrame, kind_of: Column,
         "kind is not null")
     cols = ["doc", "path", "val", "present", "ms", "cnt", "node"]
     touched = ours.groupBy("doc").agg(F.countDistinct("record_id").alias("records"))
-    before = field_map_state(local.join(touched.select("doc"), "doc", "left_semi").select(*cols))
+    before = field_map_state(keep_known(local.select(*cols), touched, ["doc"]))
     after = field_map_state(before.select(*cols).unionByName(ours.select(*cols)))
     shown = lambda df, name: df.where("present").select("doc", "path", F.col("val").alias(name))
     delta = shown(before, "_a").join(shown(after, "_b"), ["doc", "path"], "full_outer").where(

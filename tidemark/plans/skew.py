@@ -6,37 +6,66 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 HOT_KEYS = 256
+HOT_ROWS = 1_000_000
 SALTS = 64
 SMALL_ROWS = 100_000
 
 
-def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],
-           hot_keys: int = HOT_KEYS) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int, least: int) -> list[Row]:
+    """The at most ``limit`` most frequent keys with more than ``least`` rows.
+
+    One map-side combined count; never more than ``limit`` keys reach the driver.
+    """
+    n = F.count(F.lit(1)).alias("_n")
+    return (rows.groupBy(*keys).agg(n).where(F.col("_n") > least)
+            .orderBy(F.desc("_n"), *keys).limit(limit).select(*keys).collect())
+
+
+def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS,
+           least: int | None = None) -> DataFrame:
     """Left join of ``rows`` with ``lookup``, which holds at most one row per key.
 
-    The ``hot_keys`` most frequent keys are found with a map-side combined count; their
-    lookup rows (never more than ``hot_keys`` of them) are broadcast. Rows of hot keys then
-    carry their values already and are spread by a salt in the shuffle join that serves
-    all other keys, each of which holds less than ``1 / hot_keys`` of the rows.
+    Hot keys are looked for first. Without any this is a plain join. Otherwise the lookup
+    rows of the hot keys (no more than ``limit``) are broadcast; rows of hot keys carry
+    their values already and are spread by a salt in the shuffle join that serves all other
+    keys, each of which is either small or holds less than ``1 / limit`` of the rows.
     """
     keys = list(keys)
     payload = [c for c in lookup.columns if c not in keys]
-    hot = (rows.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(hot_keys)
-           .select(*keys))
+    found = hot_keys(rows, keys, limit, HOT_ROWS if least is None else least)
+    if not found:
+        return rows.join(lookup, keys, "left").select(*rows.columns, *payload)
+    hot = rows.sparkSession.createDataFrame(found, rows.select(*keys).schema)
     hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi").select(
         *keys, F.struct(*payload).alias("_hot"))
     unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
-    spread = rows.join(F.broadcast(hot_lookup), keys, "left").withColumn(
+    spread_rows = rows.join(F.broadcast(hot_lookup), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNotNull() | unmatched, 1 + _salt(rows)).otherwise(F.lit(0)))
     cold = lookup.select(*keys, F.lit(0).cast("long").alias("_salt"),
                          F.struct(*payload).alias("_cold"))
-    joined = spread.join(cold, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[found[c].alias(c) for c in payload])
+    joined = spread_rows.join(cold, [*keys, "_salt"], "left")
+    value = F.coalesce("_hot", "_cold")
+    return joined.select(*rows.columns, *[value[c].alias(c) for c in payload])
+
+
+def flag(rows: DataFrame, known: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """``rows`` with whether their key occurs in ``known``; safe for hot keys on both sides."""
+    marks = known.select(*keys).distinct().withColumn(out, F.lit(True))
+    return attach(rows, marks, keys).withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def keep_known(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Semi join for rows whose keys may be hot."""
+    return flag(rows, known, keys, "_known").where("_known").drop("_known")
+
+
+def drop_known(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Anti join for rows whose keys may be hot."""
+    return flag(rows, known, keys, "_known").where("not _known").drop("_known")
 
 
 def attach_small(rows: DataFrame, lookup: DataFrame, keys: Sequence[str],

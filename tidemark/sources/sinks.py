@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blobs import reassemble
 from ..operators.causal import FILE, current_values
-from ..plans.skew import attach
+from ..plans.skew import attach, drop_known
 from ..session import ensure_checkpoint_dir, settle
 
 
@@ -27,7 +27,7 @@ def write_registers(current: DataFrame, updates: DataFrame, touched: DataFrame,
     table is laid out by a hash of the file key, and written to a new folder so that a
     failed job leaves the current version whole.
     """
-    kept = current.join(touched.select(*FILE).distinct(), FILE, "left_anti")
+    kept = drop_known(current, touched, FILE)
     bucket = F.pmod(F.xxhash64(*FILE), F.lit(buckets)).cast("int")
     (kept.unionByName(updates.select(*current.columns)).withColumn("bucket", bucket)
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
