@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions.hlc import stamp
 from .session import SETTINGS
+from .plans.skew import attach, spread
 from .plans.ordered import DAY_MS, HOUR_MS, Running, number_rows, running, time_bucket
 
 NOW_MS = 1_706_659_200_000
@@ -206,7 +207,8 @@ class Inputs:
             F.expr("listagg(text, '\n') within group (order by turn)").alias("body"))
 
     def fixed_chunks(self) -> DataFrame:
-        d = self.table("documents").select("doc_id", "text", F.explode(F.sequence(
+        d = spread(self.table("documents").select("doc_id", "text"), "doc_id")
+        d = d.select("doc_id", "text", F.explode(F.sequence(
             F.lit(0), F.expr("cast((length(text) + 255) div 256 as int) - 1"))).alias("ord"))
         piece = F.substr("text", F.col("ord") * 256 + 1, F.lit(256))
         d = d.select("doc_id", F.col("ord").cast("long").alias("ord"), piece.alias("piece"))
@@ -235,8 +237,6 @@ class Inputs:
         last = self.table("events").where("event_id % 3 = 0").groupBy(
             F.concat(F.lit("s"), F.col("user_id") % 50).alias("sid"),
             F.col("event_type").alias("elem")).agg(F.max("event_id").alias("last"))
-        from .plans.skew import attach
-
         return attach(self.orset_adds(), last, ["sid", "elem"]).where(
             "dot < last - 2").select("sid", "elem", "dot").distinct()
 
