@@ -437,6 +437,18 @@ def e4(i: Inputs):
     return ev.assemble_blobs(ev.dedupe_chunks(announced(i.blob_chunks()), None))
 
 
+@query("e4_adopt_ids", """with u as (select o_custkey upload_id, o_orderkey seq, case when o_orderstatus='O' then
+ o_orderkey end b from orders) select upload_id, seq, coalesce(last_value(b ignore nulls) over (partition by upload_id
+ order by seq), -1) blob_id from u""")
+def e4_ids(i: Inputs):
+    ups = i.table("orders").select(
+        F.col("o_custkey").alias("upload_id"), F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey")).alias("blob_id"))
+    ok, refused = ev.adopt_ids(ups)
+    return ok.select("upload_id", "seq", "blob_id").unionByName(
+        refused.select("upload_id", "seq", F.lit(-1).cast("long").alias("blob_id")))
+
+
 def put_stream(i: Inputs):
     """The write log with context maps, as files a stream reads."""
     ctx = i.c().groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "h"))).alias("context"))

@@ -10,7 +10,7 @@ from ..functions.paths import is_hidden
 from ..operators import asof, blobs, causal, merge, retention, settings, text
 from ..plans.ordered import first_per_key
 from ..session import settle
-from .causal_queries import IS_TEXT, COPY, nested, prop_manifests
+from .causal_queries import COPY, IS_TEXT, VAULT_UUID, nested, prop_manifests
 from .registry import query
 
 CHUNK = dict(low=256, avg=1024, high=4096)
@@ -489,6 +489,27 @@ def s8(i: Inputs):
     return settings.whole_file_merge(v).select("doc", "ms", "content")
 
 
+@query("s8_whole_file_diff", """with t as (select doc, max_by(val,(ms,event_id,node)) content from leaves where present
+ group by 1), n as (select doc, max_by(val,(ms,event_id,node)) content from leaves group by 1)
+ select n.doc, n.content from n left join t using (doc) where t.content is distinct from n.content""")
+def s8_diff(i: Inputs):
+    v = timed_leaves(i).withColumnRenamed("val", "content")
+    state = settings.whole_file_merge(v.where("present"))
+    return settings.whole_file_diff(state, settings.whole_file_merge(v)).select("doc", "content")
+
+
+@query("s9_orset_pull", """with a as (select distinct sid, elem from orset_adds where dot%2=0),
+ b as (select distinct sid, elem from orset_adds x where not exists (select 1 from orset_removed r
+ where r.sid=x.sid and r.elem=x.elem and r.dot=x.dot)), d as (select coalesce(a.sid,b.sid) sid from a full join b
+ on a.sid=b.sid and a.elem=b.elem where a.sid is null or b.sid is null)
+ select sid, sid in (select sid from d) changed from (select sid from orset_adds where dot%2=1 union
+ select sid from orset_removed)""")
+def s9_sets(i: Inputs):
+    adds, gone = i.orset_adds(), i.orset_removed()
+    return settings.orset_pull(adds.where("dot % 2 = 0"), gone.where("false"),
+                               adds.where("dot % 2 = 1"), gone)[1]
+
+
 def pulled(i: Inputs):
     """Leaf writes split into what a device holds and what it pulls."""
     rows = timed_leaves(i).withColumn("record_id", F.col("event_id")).withColumn(
@@ -620,6 +641,16 @@ def h11(i: Inputs):
     return retention.file_versions(i.history(), ids).select("event_id", "file_id", "ms", "op")
 
 
+@query("h11_path_versions", """select event_id, ms from history where file_id='f7' order by ms desc""")
+def h11_path(i: Inputs):
+    from ..functions.paths import file_id
+
+    h = i.history().withColumn("file_id", F.when(F.col("file_id") == "f7", file_id(
+        VAULT_UUID, F.lit("notes/seven.md"))).otherwise(F.col("file_id")))
+    vaults = h.select("vault_id").distinct().withColumn("vault_uuid", F.lit(VAULT_UUID))
+    return retention.path_versions(h, vaults, "notes/seven.md").select("event_id", "ms")
+
+
 @query("h12_content_at", """select h.event_id, case when h.tombstone or k%10=4 then '' else sha256(props) end hash
  from history h join events using (event_id)""")
 def h12(i: Inputs):

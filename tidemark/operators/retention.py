@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
+from ..functions.paths import file_id_for
 from ..plans.ordered import Running, running, time_bucket
 from ..plans.skew import attach, keep_known
 from .blobs import reassemble
@@ -142,6 +143,13 @@ def file_versions(history: DataFrame, file_ids: DataFrame, newest_first: bool =
     return v.orderBy("file_id", hlc().desc()) if newest_first else v
 
 
+def path_versions(history: DataFrame, vaults: DataFrame, path: str) -> DataFrame:
+    """H11. Versions of one path in every vault. ``vaults``: ``(vault_id, vault_uuid)``; the
+    file key is derived from the path, so nothing but the key is compared."""
+    keys = vaults.select("vault_id", file_id_for("vault_uuid", F.lit(path)).alias("file_id"))
+    return keep_known(history, keys, FILE).orderBy("vault_id", hlc().desc())
+
+
 def content_at(versions: DataFrame, manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     """H12. Bytes of each version; null once retention dropped a chunk."""
     wanted = versions.select(F.col("blob_ref").alias("manifest")).where(

@@ -115,16 +115,43 @@ def orset_render(adds: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def whole_file_merge(versions: DataFrame, key: str = "doc") -> DataFrame:
-    """S8. Newest content per resource; ``writes`` tells how often content really changed
-    hands, since an equal newer version writes nothing."""
+    """S8. Newest content per resource."""
     return versions.groupBy(key).agg(
         F.max(F.struct(_clock().alias("at"), "content")).alias("t")).select(
         key, "t.at.ms", "t.at.cnt", "t.at.node", "t.content")
 
 
+def whole_file_diff(state: DataFrame, snapshot: DataFrame, key: str = "doc") -> DataFrame:
+    """S8. Snapshot rows to write: unknown resources or other content; equal writes nothing."""
+    held = state.select(key, F.col("content").alias("_c"))
+    return snapshot.join(held, key, "left").where(
+        ~F.col("content").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def orset_pull(adds: DataFrame, removed: DataFrame, pulled_adds: DataFrame,
+               pulled_removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S9 for set resources. (members after the join, per touched set: changed).
+
+    Dots join by union, so nothing but the member lists before and after is compared.
+    """
+    dots = ["sid", "elem", "dot"]
+    touched = pulled_adds.select("sid").union(pulled_removed.select("sid")).distinct()
+    before = orset_merge(adds, removed).withColumn("_a", F.lit(True))
+    after = orset_merge(adds.select(*dots).union(pulled_adds.select(*dots)),
+                        removed.select(*dots).union(pulled_removed.select(*dots)))
+    delta = before.join(after.withColumn("_b", F.lit(True)), ["sid", "elem"], "full_outer").where(
+        F.col("_a").isNull() | F.col("_b").isNull()).select("sid").distinct().withColumn(
+        "_changed", F.lit(True))
+    report = touched.join(delta, "sid", "left").select(
+        "sid", F.coalesce("_changed", F.lit(False)).alias("changed"))
+    return after, report
+
+
 def settings_pull(local: DataFrame, remote: DataFrame, kind_of: Column,
                   tag: str = "settings") -> tuple[DataFrame, DataFrame]:
-    """S9 / U3. Fold pulled leaf writes into the local ones.
+    """S9 / U3. Fold pulled leaf writes into the local ones (sets: ``orset_pull``).
+
+    A whole-file resource is a single leaf with an empty path, so it folds the same way.
 
     ``local`` and ``remote``: ``(doc, path, val, present, ms, cnt, node)``; remote also
     ``(envelope, record_id)``. ``kind_of`` is a column over ``doc`` giving the merge kind,

@@ -154,6 +154,16 @@ def dedupe_chunks(chunks: DataFrame, delay: str | None = "10 minutes") -> DataFr
     return chunks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["blob_id", "off"])
 
 
+def adopt_ids(chunks: DataFrame, width: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """E4. (chunks, refused): only the first chunk of a blob names it, later ones of the same
+    upload (``upload_id, seq``) take its name; chunks before any name are refused."""
+    named = F.when(F.col("blob_id").isNotNull(), F.struct("seq", "blob_id"))
+    led = running(chunks, ["upload_id"], ["seq"], time_bucket("seq", width),
+                  [Running("_id", "max", named)])
+    led = led.withColumn("blob_id", F.col("_id.blob_id")).drop("_id")
+    return led.where("blob_id is not null"), led.where("blob_id is null")
+
+
 def assemble_blobs(chunks: DataFrame, first_off: int = 0) -> DataFrame:
     """E4. Per blob: bytes received, and whether it is whole.
 
