@@ -89,9 +89,9 @@ def test_echo_stream_equals_a_simulation(spark, tmp_path):
         rows.append((rnd.choice("de"), at(i * 0.5), i, kind, f"p{rnd.randrange(2)}", old, 1 if kind == "mark" else 0, i))
     df = spark.createDataFrame(rows, ECHO)
     body = ev.suppress_echo(str(tmp_path / "out"), 2000)
-    reg.run_available(files_stream(spark, df, tmp_path / "s", 4, "ts"), body, str(tmp_path / "cp"))
+    reg.run_available(files_stream(spark, df, tmp_path / "s", 3, "ts"), body, str(tmp_path / "cp"))
     out = spark.read.parquet(str(tmp_path / "out" / "rows"))
-    assert out.select("batch").distinct().count() == 4
+    assert out.select("batch").distinct().count() == 3
     assert {(r.device, r.event_id): r.suppressed for r in out.collect()} == simulate_echo(rows, 2000)
 
 
