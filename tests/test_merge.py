@@ -64,6 +64,15 @@ def test_overlapping_edits_fall_back_to_lww(spark):
     assert (r.strategy, r.winner_ref, r.loser_ref) == ("lww", "r2", "r1")
 
 
+def test_a_merge_is_newer_than_the_values_after_it(spark):
+    conf = conflict(spark, f=[(1, "a", "r1"), (2, "b", "r2"), (3, "c", "r3")])
+    texts = spark.createDataFrame([("r0", "1\n2\n3\n4"), ("r1", "A\n2\n3\n4"), ("r2", "1\n2\nB\n4"), ("r3", "X\n2\n3\n4")],
+                                  "blob_ref string, text string")
+    base = spark.createDataFrame([("v", "f", "r0")], "vault_id string, file_id string, base_ref string")
+    r = merge.resolve(conf, stored(spark, "r3"), base, texts).head()
+    assert (r.strategy, r.text, r.loser_ref) == ("lww", "A\n2\nB\n4", "r3")
+
+
 def test_policy_hook(spark):
     remove = lambda ours, theirs, base: {"winner": "ours" if ours["tombstone"] else "theirs", "strategy": "remove-wins"}
     out = merge.resolve(conflict(spark, f=[(1, "a", ""), (2, "b", "x")]), stored(spark), policy=remove)

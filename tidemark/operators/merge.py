@@ -120,8 +120,10 @@ def _resolve_closed(conflicts: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def _default_pair(ours: dict[str, Any], theirs: dict[str, Any],
                   base: str | None) -> dict[str, Any]:
+    clock = lambda v: (v["ms"], v["cnt"], v["node"])
+    newer = "ours" if clock(ours) >= clock(theirs) else "theirs"
     if (ours["blob_ref"], ours["tombstone"]) == (theirs["blob_ref"], theirs["tombstone"]):
-        return {"winner": "theirs", "strategy": "same-blob"}
+        return {"winner": newer, "strategy": "same-blob"}
     if ours["tombstone"] != theirs["tombstone"]:
         return {"winner": "theirs" if ours["tombstone"] else "ours",
                 "strategy": "tombstone-loses"}
@@ -130,7 +132,7 @@ def _default_pair(ours: dict[str, Any], theirs: dict[str, Any],
         merged = None if b"\0" in head[0] + head[1] else merge3(base, ours["text"], theirs["text"])
         if merged is not None:
             return {"winner": "merged", "strategy": "3-way-merge", "text": merged}
-    return {"winner": "theirs", "strategy": "lww"}
+    return {"winner": newer, "strategy": "lww"}
 
 
 STATE = ["path", "ms", "cnt", "node", "blob_ref", "tombstone", "text", "reachable"]
@@ -151,9 +153,11 @@ def _resolve_rounds(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | No
         *FILE, "rank", *STATE)
     base_text = base.join(texts.select(F.col("blob_ref").alias("base_ref"),
                                        F.col("text").alias("base_text")), "base_ref", "left")
-    state = ranked.where("rank = 1").join(
+    newest = conflicts.groupBy(*FILE).agg(F.max(F.struct("ms", "cnt")).alias("_top"))
+    state = ranked.where("rank = 1").join(newest, FILE).join(
         base_text.select(*FILE, "base_text"), FILE, "left").select(
-        *FILE, *STATE, "base_text", F.lit("same-blob").alias("strategy"),
+        *FILE, *STATE, "base_text", F.col("_top.ms").alias("top_ms"),
+        F.col("_top.cnt").alias("top_cnt"), F.lit("same-blob").alias("strategy"),
         F.lit("").alias("loser_ref"), F.lit(0).cast("long").alias("loser_ms"),
         F.lit("").alias("loser_node"), F.lit(False).alias("stop"))
 
@@ -178,9 +182,9 @@ def _fold_pair(row: dict[str, Any], policy: Policy) -> dict[str, Any]:
     out = policy(ours, theirs, row["base_text"])
     state = {k: v for k, v in row.items() if not k.startswith("next_")}
     if out["winner"] == "merged":
-        top = max((ours["ms"], ours["cnt"]), (theirs["ms"], theirs["cnt"]))
+        # A merge is stamped now, after every value of the file.
         state.update(text=out["text"], blob_ref=hashlib.sha256(out["text"].encode()).hexdigest(),
-                     ms=top[0], cnt=top[1] + 1, tombstone=False, reachable=True,
+                     ms=row["top_ms"], cnt=max(row["top_cnt"], ours["cnt"]) + 1, tombstone=False, reachable=True,
                      strategy=out["strategy"])
         return state
     winner, loser = (theirs, ours) if out["winner"] == "theirs" else (ours, theirs)

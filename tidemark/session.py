@@ -32,7 +32,9 @@ def build(master: str | None = None, partitions: int | None = None, app: str = "
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
-    for key, value in {**SETTINGS, **extra}.items():
+    # Folders of checkpoints nothing refers to any more are removed.
+    core = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**SETTINGS, **core, **extra}.items():
         b = b.config(key, value)
     return b.getOrCreate()
 
