@@ -149,8 +149,8 @@ def _resolve_rounds(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | No
         "reachable", F.lit(True))
     full = attach(attach(conflicts.select(*FILE, *STATE[:6]), texts, ["blob_ref"]), stored,
                   ["blob_ref"]).withColumn("reachable", F.coalesce("reachable", F.lit(False)))
-    ranked = number_rows(full, FILE, [hlc()], time_bucket("ms", DAY_MS), "rank").select(
-        *FILE, "rank", *STATE)
+    ranked = settle(number_rows(settle(full), FILE, [hlc()], time_bucket("ms", DAY_MS), "rank")
+                    .select(*FILE, "rank", *STATE))
     base_text = base.join(texts.select(F.col("blob_ref").alias("base_ref"),
                                        F.col("text").alias("base_text")), "base_ref", "left")
     newest = conflicts.groupBy(*FILE).agg(F.max(F.struct("ms", "cnt")).alias("_top"))
