@@ -12,6 +12,7 @@ byte per document id; u8 token counts; u8 block offsets and end; blocks.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import scratch, stored
 from .files import open_fs, put
 
@@ -108,9 +110,34 @@ class WordCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
+    def _run_of_letters(self, word: bytes) -> str | None:
+        """A word that the normalizer leaves alone and that is one piece, in the model's byte letters."""
+        if word.isalpha():
+            return word.decode()
+        text = word.decode()
+        if not text.isalpha() or not unicodedata.is_normalized("NFC", text) or "".join(map(str.lower, text)) != text:
+            return None
+        return word.decode("latin-1").translate(self.letters)
+
+    def _stems(self, words: list[bytes]) -> None:
+        """Runs of letters go straight to the tokenizer's model, the rest through all its steps."""
+        rest = []
+        for w in words:
+            piece = self._run_of_letters(w)
+            if piece is None:
+                rest.append(w)
+            else:
+                self.stems[w] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+        plain = [x for x in rest if b"<|" not in x]
+        self.stems.update(zip(plain, self._ids(plain)))
+        for x in rest:
+            if b"<|" in x:
+                self.stems[x] = next(self._ids([x]))
+
     def _ids(self, words: list[bytes]) -> Iterator[bytes]:
         for a in range(0, len(words), 256):
             part = [w.decode() for w in words[a:a + 256]]
@@ -128,11 +155,7 @@ class WordCoder:
             s = w.rstrip(_SIGNS)
             stems.append((s, w[len(s):]) if s and s[-1:].isalnum() and b"<|" not in w else (w, b""))
         new = list({x for pair in stems for x in pair if x and x not in self.stems})
-        plain = [x for x in new if b"<|" not in x]
-        self.stems.update(zip(plain, self._ids(plain)))
-        for x in new:
-            if b"<|" in x:
-                self.stems[x] = next(self._ids([x]))
+        self._stems(new)
         self.stems.setdefault(b"", b"")
         self.words.update((w, self.stems[s] + self.stems[t]) for w, (s, t) in zip(words, stems))
 
