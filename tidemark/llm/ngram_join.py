@@ -7,6 +7,8 @@ hash orders; only then are the sets themselves compared.
 
 * Rarity comes from a sketch of fixed size (two hash rows of 2^20 counters, 4 MB), so it can be
   broadcast whatever the corpus. Its error changes the order, the same way for all, never a result.
+* How many elements two sets must share follows from their sizes, so the shared one must stand at a
+  place that leaves room for the rest: a test on the two places, made before a pair is formed.
 * Equal sets are one node. Documents that share a prefix element are first compared with the
   smallest of them only. What is then still in different components is compared in further rounds,
   with the next 15, 240, ... of the group; pairs already connected are left out. So a group
@@ -193,15 +195,18 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     by_token = Window.partitionBy("token").orderBy("doc")
     ranked = (known.join(reps.select(F.col("rep").alias("doc"), "set_key"), ["doc", "set_key"], "left_semi")
-              .select("doc", "n", F.explode("first").alias("token"))
-              .select("token", "doc", "n", F.first("doc").over(by_token).alias("lead"),
-                      F.first("n").over(by_token).alias("lead_n"), F.dense_rank().over(by_token).alias("place")))
+              .select("doc", "n", F.posexplode("first").alias("at", "token"))
+              .select("token", "doc", "n", "at", F.first("doc").over(by_token).alias("lead"),
+                      F.first("n").over(by_token).alias("lead_n"), F.first("at").over(by_token).alias("lead_at"),
+                      F.dense_rank().over(by_token).alias("place")))
     groups = stored(ranked.where("place > 1"), "groups")
 
-    def near(n, m):  # sizes of similar sets differ by the threshold at most
-        return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * percent
+    def near(n, at, m, other_at):
+        """Sets of n and m must share so many elements, so one among the first of each that may be missed."""
+        least = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+        return (F.col(at) <= F.col(n) - least) & (F.col(other_at) <= F.col(m) - least)
 
-    pairs = (groups.where(near(F.col("lead_n"), F.col("n")))
+    pairs = (groups.where(near("n", "at", "lead_n", "lead_at"))
              .select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
     done, up_to, labels = 1, 1, None
     while True:
@@ -211,18 +216,18 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         done, up_to = up_to, up_to * 16
         left = (groups.where(F.col("place") > done)
                 .join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-                .select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("component")))
+                .select("token", "doc", "n", "at", "place", F.coalesce("component", "doc").alias("component")))
         split = (left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .where("low < high").select("token"))
         left = stored(left.join(split, "token", "left_semi"), "left")
         if left.isEmpty():
             break
         lead = left.where(F.col("place") <= up_to).select(
-            "token", F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"),
-            F.col("component").alias("a_component"))
+            "token", F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"),
+            F.col("place").alias("a_place"), F.col("component").alias("a_component"))
         pairs = (left.join(lead, "token").where((F.col("place") > F.col("a_place"))
                                                 & (F.col("component") != F.col("a_component"))
-                                                & near(F.col("n"), F.col("a_n")))
+                                                & near("n", "at", "a_n", "a_at"))
                  .select("a", F.col("doc").alias("b")).distinct())
     whole = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(
