@@ -1,6 +1,7 @@
 """A training corpus out of `documents`: rules, near duplicates, repeated passages, test items, tokens.
 
-Each stage takes what the one before it kept. All but the last return the columns of documents.
+Each stage takes what the one before it kept. All but the last return the columns of documents. A
+stage begins when the one before it is written, so it first removes that one's work tables.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, ngram_join, repeats, rules, seeds
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import release, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host is not rejected."""
+    release(spark)
     return rules.keep(docs)
 
 
@@ -23,6 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that share an id one stays; rows without an id are in no group and stay.
     """
+    release(spark)
     groups = ngram_join.similar_documents(docs)
     heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__head"))
     kept = docs.join(heads, F.col("doc_id") == F.col("__head"), "left_semi")
@@ -33,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that stand earlier; ``n_chars`` follows the text."""
+    release(spark)
     kept = repeats.remove_repeats(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
@@ -41,11 +45,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of `benchmark`."""
+    release(spark)
     return seeds.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the kept texts."""
+    release(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -59,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        folder = scratch(spark, "stage")
+        folder = scratch(spark, "stage", work=False)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return docs

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_CHARS = 2_000_000
-#: Words and chunks kept between runs, at most so many; then the caches start anew.
-CACHED = 400_000
+#: Words and chunks kept between runs, at most so many in all; then the caches start anew.
+CACHED = 500_000
 _SPACE = r"\p{White_Space}"
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|"
@@ -198,7 +198,7 @@ class Vocabulary:
         A text is cut at single spaces between other characters, where no word can lie across, so
         that a chunk is looked up once and kept; other texts are cut into words as a whole.
         """
-        if max(len(self.words), len(self.chunks), len(self.first)) > CACHED:
+        if len(self.words) + len(self.chunks) + len(self.first) > CACHED:
             self.words, self.chunks, self.first = {}, {}, {}
         plans, inner, outer = [], set(), set()
         for t in texts:

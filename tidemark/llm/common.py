@@ -14,13 +14,26 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder, removed when the session's JVM ends."""
+#: Folders made by this process that `release` may remove.
+_WORK: set[str] = set()
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def scratch(spark: SparkSession, label: str, work: bool = True) -> str:
+    """A new folder below the shared checkpoint folder.
+
+    It is removed when the session's JVM ends, or by `release` if it is a ``work`` folder.
+    """
     ensure_checkpoint_dir(spark)
-    jvm, sc = spark._jvm, spark.sparkContext
-    folder = f"{sc.getCheckpointDir()}/llm-{label}-{uuid.uuid4().hex}"
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/llm-{label}-{uuid.uuid4().hex}"
+    system, path = _path(spark, folder)
+    system.deleteOnExit(path)
+    if work:
+        _WORK.add(folder)
     return folder
 
 
@@ -32,7 +45,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     folder = scratch(df.sparkSession, label)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `stored` that no later step reads."""
+    for t in tables:
+        _remove(t.sparkSession, t.stored_in)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all work folders; for callers that have written every result they asked for."""
+    for folder in list(_WORK):
+        _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    system, path = _path(spark, folder)
+    system.delete(path, True)
+    _WORK.discard(folder)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,14 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = stored(labels, "labels")
     while True:
-        near = (both.join(labels, F.col("b") == F.col("node")).groupBy("a")
+        near = (both.join(labels.select("node", "component"), F.col("b") == F.col("node")).groupBy("a")
                 .agg(F.min("component").alias("near")))
-        new = (labels.join(near, F.col("node") == F.col("a"), "left")
+        new = (labels.select("node", "component").join(near, F.col("node") == F.col("a"), "left")
                .select("node", F.col("component").alias("was"),
                        F.least("component", "near").alias("component")))
         top = labels.select(F.col("node").alias("top"), F.col("component").alias("above"))
         new = stored(new.join(top, F.col("component") == F.col("top"), "left")
                      .select("node", "was", F.least("component", "above").alias("component")), "labels")
+        discard(labels)
         if new.where("component < was").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+            discard(both)
+            return new
+        labels = new

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import stored
+from .common import discard, stored
 from .components import components
 
 SKETCH_BITS = 20
@@ -168,8 +168,11 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, k: int, perc
     for o in orders:
         alike = alike.where(F.arrays_overlap(f"{o}_a", f"{o}_b"))
     alike = alike.select("a", "b").distinct()
-    return (alike.join(side("b", "members"), "b").join(side("a", "members"), "a")
-            .select("a", "b", "members_a", "members_b").mapInArrow(_linked(percent), "a long, b long").distinct())
+    found = stored(alike.join(side("b", "members"), "b").join(side("a", "members"), "a")
+                   .select("a", "b", "members_a", "members_b").mapInArrow(_linked(percent), "a long, b long").distinct(),
+                   "found")
+    discard(need, sets)
+    return found
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
@@ -211,16 +214,19 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     done, up_to, labels = 1, 1, None
     while True:
         pairs = stored(pairs, "pairs")
-        links = stored(links.union(_verify(docs, key, text, pairs, k, percent)), "linked")
+        found = _verify(docs, key, text, pairs, k, percent)
+        old, links = (links, labels), stored(links.union(found), "linked")
+        discard(pairs, found, *(x for x in old if hasattr(x, "stored_in")))
         labels = components(links)
         done, up_to = up_to, up_to * 16
         left = (groups.where(F.col("place") > done)
-                .join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+                .join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
                 .select("token", "doc", "n", "at", "place", F.coalesce("component", "doc").alias("component")))
         split = (left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .where("low < high").select("token"))
         left = stored(left.join(split, "token", "left_semi"), "left")
         if left.isEmpty():
+            discard(left, groups, links)
             break
         lead = left.where(F.col("place") <= up_to).select(
             "token", F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"),
@@ -229,7 +235,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                                                 & (F.col("component") != F.col("a_component"))
                                                 & near("n", "at", "a_n", "a_at"))
                  .select("a", F.col("doc").alias("b")).distinct())
-    whole = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+    whole = of.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(
         F.min("component").alias("component"))
     return feat.select("doc", "n").join(whole, "doc", "left").select(

@@ -31,7 +31,7 @@ BLOCK = 4096
 SEGMENT_IDS = 4_000_000  # a segment closes with the document that reaches so many
 _HEAD = np.dtype([("bits", "<u4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8")])
 _RUN = 2_000_000
-CACHED = 500_000
+CACHED = 1_000_000
 _SIGNS = b".,;:!?"
 _CODERS: dict[str, "WordCoder"] = {}
 
@@ -161,7 +161,7 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if max(len(self.words), len(self.stems)) > CACHED:
+        if len(self.words) + len(self.stems) > CACHED:
             self.words, self.stems = {}, {}
         split = []
         for t in texts:
