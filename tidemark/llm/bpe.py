@@ -21,9 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_CHARS = 2_000_000
+from .words import give_back
+
+RUN_CHARS = 1_000_000
 #: Words and chunks kept between runs, at most so many in all; then the caches start anew.
-CACHED = 500_000
+CACHED = 250_000
 _SPACE = r"\p{White_Space}"
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|"
@@ -242,6 +244,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _coded(path: str, with_ids: bool):
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         load = vocabulary(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)

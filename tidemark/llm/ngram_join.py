@@ -113,6 +113,7 @@ def _features(k: int, percent: int, counters):
                     out = []
             if out:
                 yield _rows(out)
+        W.give_back()
 
     def _rows(out):
         doc, n, key, first = zip(*out)

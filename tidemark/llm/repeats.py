@@ -228,11 +228,12 @@ _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
     fields = [f.split() for f in ddl.split(", ")]
     columns = list(zip(*rows)) or [[] for _ in fields]
+    W.give_back()
     return pa.table([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text",
-                   with_text: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
+                   with_text: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` without the words of ``k``-word windows that also start earlier.
 
     Earlier means a smaller ``key``, or the same document and an earlier start; windows are judged

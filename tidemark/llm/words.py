@@ -6,6 +6,7 @@ wide; callers that need more take two seeds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 import xxhash
 
 U = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Texts are taken in runs of about so many bytes, so that the arrays stay small.
 RUN_BYTES = 4 << 20
 _GAP = np.zeros(256, bool)
@@ -23,6 +25,13 @@ _FOLD[0x41:0x5B] += 0x20
 _LONG = 128  # longer words are hashed one by one
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker serves many stages and would else keep the largest."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 class Words(NamedTuple):
     """Words of consecutive texts: byte spans, and for each text the number of its first word."""
 
