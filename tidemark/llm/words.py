@@ -15,7 +15,6 @@ import pyarrow as pa
 import xxhash
 
 U = np.uint64
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Texts are taken in runs of about so many bytes, so that the arrays stay small.
 RUN_BYTES = 4 << 20
 _GAP = np.zeros(256, bool)
@@ -28,8 +27,9 @@ _LONG = 128  # longer words are hashed one by one
 def give_back() -> None:
     """Return freed memory to the system; a worker serves many stages and would else keep the largest."""
     pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Words(NamedTuple):
