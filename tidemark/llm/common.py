@@ -56,9 +56,14 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.stored_in)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all work folders; for callers that have written every result they asked for."""
-    for folder in list(_WORK):
+def work_folders() -> set[str]:
+    """The work folders there are."""
+    return set(_WORK)
+
+
+def release(spark: SparkSession, folders) -> None:
+    """Remove work folders; for a caller that has written every result that reads them."""
+    for folder in list(folders):
         _remove(spark, folder)
 
 

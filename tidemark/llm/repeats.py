@@ -253,6 +253,8 @@ def remove_repeats(docs: DataFrame, k: int = 20, key: str = "doc_id", text: str
     bits = min(62, max(20, math.ceil(math.log2(4 * (size / 6 + 1)))))
     cut = max(6, bits - 22)
     inner = "__block"
+    while inner in docs.columns:
+        inner += "_"
     dealt = docs.withColumn(inner, F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.xxhash64(text))),
                                           F.lit(blocks)))
     out = T.StructType([f for f in docs.schema if with_text or f.name != text]
