@@ -183,3 +183,11 @@ def test_business_counts(spark):
                                "ts timestamp, name string, amount_kopecks long")
     got = [(r.registrations, r.payments, r.amount_kopecks) for r in ev.business_counts(df).orderBy("start_ms").collect()]
     assert got == [(1, 1, 7), (0, 1, 8)]
+
+
+def test_blob_with_a_hole_beside_an_overlap_is_not_whole(spark):
+    rows = [("hole", 0, 2, False, 5), ("hole", 1, 2, False, 5), ("hole", 4, 1, True, 5),
+            ("whole", 3, 2, True, 5), ("whole", 0, 3, False, 5)]
+    df = spark.createDataFrame(rows, "blob_id string, off long, len long, last boolean, total long")
+    got = {r.blob_id: r.complete for r in ev.assemble_blobs(df).collect()}
+    assert got == {"hole": False, "whole": True}

@@ -275,7 +275,7 @@ def b7(i: Inputs):
 @query("b8_history_query", """select event_id, ms, cnt, node from history where
  (ms>1704500000000 or (ms=1704500000000 and cnt||node>'0d1'))
  and (ms<1706000000000 or (ms=1706000000000 and cnt||node<'0d1'))
- order by ms desc, cnt desc, node desc, event_id limit 100""")
+""")
 def b8(i: Inputs):
     at = lambda ms: F.struct(F.lit(ms).cast("long").alias("ms"), F.lit(0).cast("long").alias("cnt"),
                              F.lit("d1").alias("node"))

@@ -85,13 +85,17 @@ def record_redemptions(applied: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def list_codes(codes: DataFrame, campaign: str | None = None, active: bool | None = None,
-               limit: int = 100) -> DataFrame:
-    """P20. One listing page; deactivation is a flag, so inactive codes are listed too."""
+               limit: int | None = None, after: str | None = None) -> DataFrame:
+    """P20. The codes in order, or a page of ``limit`` of them that follow the code ``after``;
+    deactivation is a flag, so inactive codes are listed too."""
     if campaign is not None:
         codes = codes.where(F.col("campaign") == campaign)
     if active is not None:
         codes = codes.where(F.col("is_active") == active)
-    return codes.orderBy("code").limit(limit)
+    if after is not None:
+        codes = codes.where(F.col("code") > after)
+    codes = codes.orderBy("code")
+    return codes if limit is None else codes.limit(limit)
 
 
 def campaign_report(codes: DataFrame, audit: DataFrame) -> DataFrame:

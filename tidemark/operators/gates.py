@@ -108,8 +108,11 @@ def new_cursor(delta: DataFrame, cursor: int) -> DataFrame:
 
 
 def history_query(history: DataFrame, file_id: str | None = None, after: Column | None = None,
-                  before: Column | None = None, limit: int = 100, asc: bool = False) -> DataFrame:
-    """B8. Events strictly between two HLCs, newest first; compares structs, not text."""
+                  before: Column | None = None, limit: int | None = None, asc: bool = False) -> DataFrame:
+    """B8. Events strictly between two HLCs, newest first; compares structs, not text.
+
+    All of them, unless a page of ``limit`` rows is asked for; the next page starts ``before`` (or
+    ``after``) the last HLC of the one shown."""
     at = hlc()
     if file_id is not None:
         history = history.where(F.col("file_id") == file_id)
@@ -117,7 +120,8 @@ def history_query(history: DataFrame, file_id: str | None = None, after: Column
         history = history.where(at > after)
     if before is not None:
         history = history.where(at < before)
-    return history.orderBy(at.asc() if asc else at.desc(), "event_id").limit(limit)
+    history = history.orderBy(at.asc() if asc else at.desc(), "event_id")
+    return history if limit is None else history.limit(limit)
 
 
 def whole_file_cap(df: DataFrame, cap: int = 1 << 20, size: str = "size",

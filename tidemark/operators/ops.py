@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.ordered import first_per_key
 
 
-def latest_logs(logs: DataFrame, n: int = 10_000) -> DataFrame:
-    """W1. Newest ``n`` log rows (top-k, no full sort)."""
-    return logs.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+def latest_logs(logs: DataFrame, n: int | None = None) -> DataFrame:
+    """W1. Newest ``n`` log rows (top-k, no full sort), or all, newest first."""
+    logs = logs.orderBy(F.desc("ts"), F.desc("event_id"))
+    return logs if n is None else logs.limit(n)
 
 
 def pull_report(timings: DataFrame, slow_ms: int = 200) -> DataFrame:

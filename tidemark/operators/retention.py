@@ -129,10 +129,10 @@ def stability_frontier(heads: DataFrame, head_ctx: DataFrame, now_ms: int,
     """H10. Per vault and author: oldest HLC among active devices' frontiers, for authors
     every active device has seen (``now - updated < days``)."""
     active = heads.where(F.lit(now_ms) - F.col("updated_ms") < days * DAY)
-    n = active.groupBy("vault_id").agg(F.count(F.lit(1)).alias("_n"))
+    n = active.groupBy("vault_id").agg(F.countDistinct("device").alias("_n"))
     seen = head_ctx.join(active.select("vault_id", "device"), ["vault_id", "device"], "left_semi")
     per = seen.groupBy("vault_id", "node").agg(
-        F.count(F.lit(1)).alias("_d"), F.min("h").alias("h"))
+        F.countDistinct("device").alias("_d"), F.min("h").alias("h"))
     return per.join(n, "vault_id").where("_d = _n").select(
         "vault_id", "node", "h.ms", "h.cnt")
 

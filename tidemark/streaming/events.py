@@ -169,14 +169,18 @@ def assemble_blobs(chunks: DataFrame, first_off: int = 0) -> DataFrame:
 
     ``chunks``: ``(blob_id, off, len, last, total)`` with byte offsets, already deduped.
     Whole means: starts at ``first_off``, its last chunk arrived and ends at the sum of all
-    lengths, which equals the announced total. Runs on streams too (update mode).
+    lengths, which equals the announced total, and every other offset is the end of a chunk
+    (compared by the XOR of their hashes, so a hole beside an overlap shows). Runs on streams too (update mode).
     """
     got = chunks.groupBy("blob_id").agg(
         F.sum("len").alias("received"), F.count(F.lit(1)).alias("chunks"),
         F.min("off").alias("_lo"), F.max(F.when(F.col("last"), F.col("off") + F.col("len"))).alias(
-            "_end"), F.max("total").alias("total"))
+            "_end"), F.max("total").alias("total"),
+        F.bit_xor(F.xxhash64(F.col("off").cast("long")).bitwiseXOR(
+            F.xxhash64((F.col("off") + F.col("len")).cast("long")))).alias("_seams"))
+    seams = F.xxhash64(F.lit(first_off).cast("long")).bitwiseXOR(F.xxhash64(F.col("_end").cast("long")))
     whole = ((F.col("_lo") == first_off) & (F.col("_end") == F.col("received") + first_off)
-             & (F.col("received") == F.col("total")))
+             & (F.col("received") == F.col("total")) & (F.col("_seams") == seams))
     return got.select("blob_id", "chunks", "received", F.coalesce(whole, F.lit(False)).alias(
         "complete"))
 
