@@ -431,8 +431,8 @@ def announced(chunks):
 
 
 @query("e4_assemble_blobs", """with d as (select distinct blob_id, off-1 off, blob_id%7+1 total from blob_chunks)
- select blob_id, count(*) chunks, count(*) received, min(off)=0 and max(case when off+1=total then off+1 end) is not null
- and count(*)=max(total) complete from d group by 1""")
+ select blob_id, count(*) chunks, count(*) received, list(off order by off)=range(0, max(total)) complete
+ from d group by 1""")
 def e4(i: Inputs):
     return ev.assemble_blobs(ev.dedupe_chunks(announced(i.blob_chunks()), None))
 
