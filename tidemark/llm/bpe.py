@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from .words import give_back
 
 RUN_CHARS = 1_000_000
-#: Words and chunks kept between runs, at most so many in all; then the caches start anew.
+#: Chunks kept between runs, at most so many in all; then the caches start anew.
 CACHED = 250_000
 _SPACE = r"\p{White_Space}"
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|"
            rf"{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+")
-_SHORT = 64  # bytes of a word up to which merging looks through a list, not a heap
+_SHORT = 64  # bytes of a word up to which it is merged together with others, not on its own with a heap
+_TOGETHER = 20_000
 _NEVER = np.iinfo(np.int32).max
 _SIGNS = tuple(".,:;!?")
 _LOADED: dict[str, "Vocabulary"] = {}
@@ -57,9 +59,13 @@ class Vocabulary:
         self.bytes = {i: bytes(back[ord(c)] for c in t) for t, i in ids.items() if t not in self.added}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.byte_id = {c: ids[c] for c in self.letters.values()}
+        self.letter_id = np.full(max(map(ord, self.byte_id)) + 1, -1, np.int64)
+        self.letter_id[[ord(c) for c in self.byte_id]] = list(self.byte_id.values())
+        self.numbers = np.array(range(self.size), object)  # one object a number, whatever lists it is in
+        self.decimal = [str(i) for i in range(max([self.size, *[i + 1 for i in self.added.values()]]))]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left, right = (np.array([ids[p[s]] for p in pairs], np.int64) for s in (0, 1))
-        made = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.made = made = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(zip(left.tolist(), right.tolist(), made.tolist()))}
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
@@ -74,9 +80,8 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.awkward = regex.compile(rf" {_SPACE}|{_SPACE} |^ | $")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.words: dict[str, tuple] = {}
-        self.chunks: dict[str, tuple] = {}
-        self.first: dict[str, tuple] = {}
+        self.chunks: dict[str, list[int]] = {}
+        self.first: dict[str, list[int]] = {}
 
     def _edge(self, side: np.ndarray, made: np.ndarray) -> tuple[list, list]:
         """For each depth the outermost piece of every token, and the rank of the merge that takes it up."""
@@ -114,8 +119,6 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """The tokens of a word of byte letters, merge by merge, the lowest rank and leftmost first."""
         ids = [self.byte_id[c] for c in word]
-        if len(ids) <= _SHORT:
-            return self._merge_short(ids)
         after = [*range(1, len(ids)), -1]
         before = [-1, *range(len(ids) - 1)]
         queue = [(r[0], i, r[1], a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := self.rank.get((a, b)))]
@@ -134,41 +137,62 @@ class Vocabulary:
                 heapq.heappush(queue, (r[0], before[i], r[1], ids[before[i]], made))
         return [x for x in ids if x >= 0]
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        rank, none = self.rank.get, (_NEVER, 0)
-        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low is none:
-                break
-            i = ranks.index(low)
-            ids[i:i + 2] = [low[1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
-        return ids
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair; pieces below 0 stand for none."""
+        key = a * self.size + b
+        i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[i] == key) & (a >= 0) & (b >= 0), self.pair_rank[i], _NEVER)
+
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """``merge`` of many words of at most ``_SHORT`` letters: each round takes one merge in every word."""
+        size = np.array([len(w) for w in words])
+        width = int(size.max())
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < size[:, None]] = self.letter_id[
+            np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        ranks = np.full(ids.shape, _NEVER, np.int64)
+        ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        merged, of, cols = np.full(ids.shape, -1, np.int64), np.arange(len(words)), np.arange(width)
+        while len(of):
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(of)), at]
+            live = low < _NEVER
+            merged[of[~live]] = ids[~live]
+            ids, ranks, of, at, low = ids[live], ranks[live], of[live], at[live], low[live]
+            row = np.arange(len(of))
+            ids[row, at] = self.made[low]
+            closed = cols + (cols > at[:, None])
+            ids[:, :-1] = np.take_along_axis(ids, closed, axis=1)
+            ranks[:, :-1] = np.take_along_axis(ranks, closed, axis=1)
+            ranks[row, at] = self._ranks(ids[row, at], ids[row, at + 1])
+            inner, left = row[at > 0], at[at > 0]
+            ranks[inner, left - 1] = self._ranks(ids[inner, left - 1], ids[inner, left])
+        flat = self.numbers[merged[merged >= 0]].tolist()
+        cuts = np.cumsum([0, *(merged >= 0).sum(axis=1)]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def speculate(self, words: list[str]) -> tuple[list[list[int]], int]:
         """Tokens of each word (in byte letters), and how many words had to be merged step by step."""
         starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-        found = np.array(list(self.proposals.iter_long("\n".join(words))), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.proposals.iter_long("\n".join(words))), np.int64).reshape(-1, 2)
         ids, of = found[:, 1], np.searchsorted(starts, found[:, 0], side="right") - 1
         inner = np.flatnonzero(of[1:] == of[:-1])
         pairs, back = np.unique(ids[inner] * self.size + ids[inner + 1], return_inverse=True)
         bad = self.crossing(pairs // self.size, pairs % self.size)[back]
-        wrong = np.unique(of[inner[bad]])
+        wrong = np.unique(of[inner[bad]]).tolist()
         cuts = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
-        flat = ids.tolist()
+        flat = self.numbers[ids].tolist()
         out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        for i in wrong.tolist():
-            out[i] = self.merge(words[i])
+        wrong.sort(key=lambda i: len(words[i]))  # so that words merged together are about as long
+        for a in range(0, len(wrong), _TOGETHER):
+            part = [i for i in wrong[a:a + _TOGETHER] if len(words[i]) <= _SHORT]
+            for i, merged in zip(part, self.merge_many([words[i] for i in part]) if part else ()):
+                out[i] = merged
+        for i in wrong:
+            if len(words[i]) > _SHORT:
+                out[i] = self.merge(words[i])
         return out, len(wrong)
 
-    def _known(self, ids: list[int]) -> tuple[str, int, bytes]:
-        return ",".join(map(str, ids)), len(ids), b"".join([self.bytes[i] for i in ids])
-
     def _pieces(self, chunk: str) -> list[str]:
         word = chunk[1:]  # mostly a space and letters, perhaps with a sign behind
         if chunk[:1] == " ":
@@ -178,21 +202,14 @@ class Vocabulary:
                 return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
-    def learn(self, chunks: list[str]) -> list[tuple]:
-        """What the documents need of each chunk: its ids as text, their number, the decoded bytes."""
+    def learn(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk."""
         pieces = [self._pieces(c) for c in chunks]
-        new = list({p for ps in pieces for p in ps if p not in self.words})
+        new = list(set(chain.from_iterable(pieces)))
         letters = self.letters
         found, _ = self.speculate([p.encode().decode("latin-1").translate(letters) for p in new]) if new else ([], 0)
-        self.words.update(zip(new, map(self._known, found)))
-        out = []
-        for ps in pieces:
-            if len(ps) == 1:
-                out.append(self.words[ps[0]])
-            else:
-                got = [self.words[p] for p in ps]
-                out.append((",".join([g[0] for g in got]), sum(g[1] for g in got), b"".join([g[2] for g in got])))
-        return out
+        of = dict(zip(new, found))
+        return [of[ps[0]] if len(ps) == 1 else [i for p in ps for i in of[p]] for ps in pieces]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text its ids joined by commas, their number and the bytes they decode to.
@@ -200,8 +217,8 @@ class Vocabulary:
         A text is cut at single spaces between other characters, where no word can lie across, so
         that a chunk is looked up once and kept; other texts are cut into words as a whole.
         """
-        if len(self.words) + len(self.chunks) + len(self.first) > CACHED:
-            self.words, self.chunks, self.first = {}, {}, {}
+        if len(self.chunks) + len(self.first) > CACHED:
+            self.chunks, self.first = {}, {}
         plans, inner, outer = [], set(), set()
         for t in texts:
             plan = []
@@ -227,13 +244,14 @@ class Vocabulary:
             got = []
             for head, rest in plan:
                 if head is None:
-                    got.append(self._known([self.added[rest]]))
+                    got.append([self.added[rest]])
                 elif isinstance(head, list):
                     got += [self.first[c] for c in head]
                 else:
                     got.append(self.first[head])
                     got += [self.chunks[c] for c in rest]
-            yield ",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])
+            ids = list(chain.from_iterable(got))
+            yield ",".join([self.decimal[i] for i in ids]), len(ids), b"".join([self.bytes[i] for i in ids])
 
 
 def vocabulary(path: str) -> Vocabulary:
