@@ -125,13 +125,18 @@ class WordCoder:
 
     def _stems(self, words: list[bytes]) -> None:
         """Runs of letters go straight to the tokenizer's model, the rest through all its steps."""
-        rest = []
+        rest, known, ids, ends = [], [], [], [0]
+        tokenize = self.tokenizer.model.tokenize
         for w in words:
             piece = self._run_of_letters(w)
             if piece is None:
                 rest.append(w)
             else:
-                self.stems[w] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+                known.append(w)
+                ids += [t.id for t in tokenize(piece)]
+                ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        self.stems.update((w, raw[a:b]) for w, a, b in zip(known, ends, ends[1:]))
         plain = [x for x in rest if b"<|" not in x]
         self.stems.update(zip(plain, self._ids(plain)))
         for x in rest:
