@@ -281,6 +281,21 @@ def test_main_text(spark):
     assert entities.unescape("&eacute;") == "é"
 
 
+def texts_of(spark, items):
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(items, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><article>{}</article></div>", "<div id=page class=no-sidebar><p>{}</p></div>",
+    "<form action=/x><nav>a menu of many words that is long</nav><article>{}</article></form>", "<form><div>{}</div></form>",
+    "<div class='post with-comments'><p>{}</p></div>", "<div class=widget><div>{}</div></div><nav>menu</nav>",
+    "<article><div class=notice-of-award><p>{}</p></div></article>", "<head><title>t</title><body><p>{}</p></body>",
+    "<div class=post>{}</div><div class=related><article>teaser</article></div>",
+    "<article>{}</article><div class=comments><article>one comment that is longer than the text</article></div>"])
+def test_names_do_not_bar_the_text(page):
+    assert pages.main_text(f"<html><body>{page}<footer>foot</footer></body></html>".replace("{}", "The text itself.")) == "The text itself."
+
+
 def test_pipeline(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -29,6 +29,8 @@ from .common import stored
 from .url_filter import with_parts
 
 LEAST_PAGES = 3
+#: Vectors are sums modulo 2**40, so that Spark adds those of 2**23 tasks without overflow.
+_VECTOR = (1 << 40) - 1
 #: Templates go to all executors up to so many bytes in all, else they are joined by host.
 BROADCAST_BYTES = 16 << 20
 _RAW = "script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|title"
@@ -36,6 +38,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: What is left out of a page's digest: comments, scripts, styles and tags.
+_NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)|</?[a-z][^>]*>"
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _STRUCTURE = frozenset("html head body div section article main nav header footer aside form ul ol dl table fieldset "
@@ -49,25 +53,85 @@ _NOT_CONTENT_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices banner alert comment comments "
     "disqus reply replies respond footer masthead related recommended share sharing social subscribe "
     "subscription newsletter signup login popup modal overlay widget toolbar pagination pager skip".split())
-_CONTENT_WORDS = frozenset("articlebody".split())
+#: Articles in these count as the page's article only where there is no other.
+_OTHERS = frozenset("aside comment comments disqus reply replies respond".split())
+#: These are left out even with most of the text in them.
+_NEVER_MOST = frozenset("nav footer menu".split())
 
 
 class _Element:
-    __slots__ = ("tag", "path", "depth", "content", "barred", "slot")
+    """``named``: 0, or how firmly its own name bars it; ``hinted``: a part of its name would."""
 
-    def __init__(self, tag, path, depth, content, barred, slot):
-        self.tag, self.path, self.depth = tag, path, depth
-        self.content, self.barred, self.slot = content, barred, slot
+    __slots__ = ("tag", "path", "depth", "parent", "content", "named", "hinted", "barred", "slot", "chars")
 
+    def __init__(self, tag, path, depth, parent, content, named, hinted, slot):
+        self.tag, self.path, self.depth, self.parent = tag, path, depth, parent
+        self.content, self.named, self.hinted, self.slot = content, named, hinted, slot
+        self.barred, self.chars = False, 0
 
-def _words(value: str) -> set[str]:
-    spread = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-    return set(re.split(r"[^a-z]+", spread.lower()))
 
+def _names(values: str) -> tuple[set[str], bool]:
+    """Listed words that are a name, or all words of one, and whether another name has one among its words."""
+    whole, part = set(), False
+    for name in values.split():
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+        if found := words & _NOT_CONTENT_WORDS:
+            if found == words:
+                whole |= words
+            else:
+                part = True
+    return whole, part
 
-def walk(page: str, slot: int | None = None) -> Iterator[tuple[_Element, str | None]]:
-    """``(element, None)`` when a structural element opens, ``(element, block)`` for a text block in it."""
-    root = _Element("", 0, 0, False, False, False)
+
+def walk(page: str, slot: int | None = None, known: frozenset = frozenset()) -> list[tuple[_Element, str | None]]:
+    """``(element, None)`` when a structural element opens, ``(element, block)`` for a text block in it.
+
+    ``slot`` and ``known`` are the host's template.
+    """
+    events = list(_events(page, slot))
+    elements = [e for e, block in events if block is None]
+    for e, block in events:
+        if block is not None:
+            e.chars += len(block)
+    for e in reversed(elements):
+        e.parent.chars += e.chars
+    _bar(elements, slot, known)
+    return events
+
+
+def _up(e: _Element) -> Iterator[_Element]:
+    while e.parent is not None:
+        yield e
+        e = e.parent
+
+
+def _bar(elements: list[_Element], slot: int | None, known: frozenset) -> None:
+    """Decide which elements are left out, by their names and by where the page has its text."""
+    if slot is not None:
+        around = {id(x) for e in elements if e.path == slot for x in _up(e)}
+        for e in elements:
+            if e.hinted and not e.named and e.path in known and not e.slot and not e.content and id(e) not in around:
+                e.named = 1
+    if any(e.named for e in elements):
+        total = elements[0].parent.chars  # the first one stands in the root
+        marked = [e for e in elements if e.content and not e.parent.content and e.chars]
+        free = total - sum(e.chars for e in elements if e.named and not any(x.named for x in _up(e.parent)))
+        open_ones = [e for e in marked if not any(x.named for x in _up(e))]
+        first = [e for e in marked if max(x.named for x in _up(e)) < 2]
+        main = max(first or marked, key=lambda e: e.chars, default=None)
+        if main not in open_ones and main and main.chars <= free:  # a teaser or a comment beside the text
+            main = max(open_ones, key=lambda e: e.chars, default=None)
+        around = {id(x) for x in _up(main)} if main else ()
+        for e in elements:
+            if e.named and (id(e) in around or e.named < 3 and 2 * e.chars > total and (
+                    main is None or any(x is main for x in _up(e)))):
+                e.named = 0
+    for e in elements:
+        e.barred = e.parent.barred or e.named > 0
+
+
+def _events(page: str, slot: int | None) -> Iterator[tuple[_Element, str | None]]:
+    root = _Element("", 0, 0, None, False, 0, False, False)
     stack, text, at = [root], [], 0
 
     def block():
@@ -108,13 +172,19 @@ def walk(page: str, slot: int | None = None) -> Iterator[tuple[_Element, str | N
         top = stack[-1]
         name = re.sub(r"\d+", "0", marks.lower())
         path = xxhash.xxh64_intdigest(f"{top.path} {tag} {name}") >> 1
-        named = _words(re.sub(r"\b\w[\w-]*=", " ", marks))
-        barred = (tag in _NOT_CONTENT or bool(named & _NOT_CONTENT_WORDS) or "aria-hidden=true" in name
-                  or tag == "header" and not top.content or bool(attributes and _HIDDEN.search(attributes)))
+        whole, hinted = _names(" ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes))) if marks else ((), False)
+        named = 0
+        if tag not in ("body", "html", "article", "main"):
+            if tag in _NEVER_MOST:
+                named = 3
+            elif tag == "aside" or _OTHERS.intersection(whole):
+                named = 2
+            elif (whole or tag in _NOT_CONTENT or "aria-hidden=true" in name or tag == "header" and not top.content
+                  or attributes and _HIDDEN.search(attributes)):
+                named = 1
         content = tag in ("article", "main") or "role=main" in name or bool(
             {"articlebody"} & set(re.split(r"[^a-z]+", name)))
-        e = _Element(tag, path, top.depth + 1, top.content or content, top.barred or barred and tag not in (
-            "body", "html", "article", "main"), top.slot or path == slot)
+        e = _Element(tag, path, top.depth + 1, top, top.content or content, named, hinted, top.slot or path == slot)
         stack.append(e)
         yield e, None
     text.append(page[at:])
