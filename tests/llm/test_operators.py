@@ -296,6 +296,19 @@ def test_names_do_not_bar_the_text(page):
     assert pages.main_text(f"<html><body>{page}<footer>foot</footer></body></html>".replace("{}", "The text itself.")) == "The text itself."
 
 
+def test_copies_are_one_page(spark):
+    def page(text, i):
+        return f"<body><!-- {i} --><script>track({i})</script><div class=top>Head</div><div><p>{text}</p><p>More {text}</p></div></body>"
+
+    items = [(i, "http://two/", page("Same article", i)) for i in (1, 2)] + [(3, "http://two/", page("Other", 3))]
+    items += [(i, "http://many/", page("Same article" if i < 60 else f"Other {i}", i)) for i in range(10, 64)]
+    got = texts_of(spark, items)
+    assert got[1] == got[2] == "Head Same article More Same article" and got[3] == "Head Other More Other"
+    for i in range(10, 64):
+        text = "Same article" if i < 60 else f"Other {i}"
+        assert got[i] == f"{text} More {text}"
+
+
 def test_pipeline(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

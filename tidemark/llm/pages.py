@@ -196,15 +196,20 @@ def _text_token(e: _Element, block: str) -> int:
     return xxhash.xxh64_intdigest(f"{e.path} {block}") >> 1
 
 
-_COUNTED = "host string, token long, is_path boolean, depth int, pages long, vector long, chars long, low int, high int"
+_COUNTED = ("host string, token long, is_path boolean, depth int, hinted boolean, pages double, vector long, chars double, "
+            "low int, high int")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences by (host, token), summed over the pages of a batch; order is the place among tokens."""
+    """Occurrences by (host, token), summed over the pages of a batch; order is the place among tokens.
+
+    A page that stands ``copies`` times counts for one in all its copies together, so its vector entry
+    is a hash of its digest, and entries are added: copies would cancel each other in an XOR."""
     for batch in batches:
         seen: dict[tuple, list] = {}
-        for page, host, html in zip(*[c.to_pylist() for c in batch.columns]):
-            count, first, chars, depth = Counter(), {}, Counter(), {}
+        for digest, copies, host, html in zip(*[c.to_pylist() for c in batch.columns]):
+            count, first, chars, depth, hinted = Counter(), {}, Counter(), {}, set()
+            share = 1 / copies
             total = 0
             open_at: list[tuple[_Element, str | None]] = []
             for e, block in walk(html or ""):
@@ -214,6 +219,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     count[e.path] += 1
                     first.setdefault(e.path, len(first))
                     depth[e.path] = e.depth
+                    if e.hinted:
+                        hinted.add(e.path)
                     while open_at and open_at[-1].depth >= e.depth:
                         open_at.pop()
                     open_at.append(e)
@@ -228,35 +235,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         chars[x.path] += len(block)
                     total += len(block)
             for token, n in count.items():
-                v = xxhash.xxh64_intdigest(f"{page} {n}")
+                v = xxhash.xxh64_intdigest(f"{digest} {n}") & _VECTOR
                 key = (host, token, token in depth)
                 old = seen.get(key)
                 place = first[token]
                 if old is None:
-                    seen[key] = [depth.get(token, 0), 1, v, chars[token], place, place]
+                    seen[key] = [depth.get(token, 0), token in hinted, share, v, chars[token] * share, place, place]
                 else:
-                    old[1] += 1
-                    old[2] ^= v
-                    old[3] += chars[token]
-                    old[4], old[5] = min(old[4], place), max(old[5], place)
+                    old[2] += share
+                    old[3] = old[3] + v & _VECTOR
+                    old[4] += chars[token] * share
+                    old[5], old[6] = min(old[5], place), max(old[6], place)
             key = (host, -1, True)  # the host's own row: its pages and all their text
-            old = seen.setdefault(key, [0, 0, 0, 0, 0, 0])
-            old[1] += 1
-            old[3] += total
+            old = seen.setdefault(key, [0, False, 0.0, 0, 0.0, 0, 0])
+            old[2] += share
+            old[4] += total * share
         if seen:
-            rows = [(*k, v[0], v[1], v[2] - (1 << 64) if v[2] >> 63 else v[2], *v[3:]) for k, v in seen.items()]
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
-                     pa.int32())
+            rows = [(*k, *v) for k, v in seen.items()]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.float64(), pa.int64(), pa.float64(),
+                     pa.int32(), pa.int32())
             names = [f.split()[0] for f in _COUNTED.split(", ")]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def templates(pages: DataFrame, share: float = 0.5, mass: float = 0.6) -> DataFrame:
-    """``(host, slot, blocks)`` for the hosts with a template; ``pages`` has ``page, host, html``."""
-    counted = (pages.mapInArrow(_count, _COUNTED).groupBy("host", "token", "is_path")
-               .agg(F.max("depth").alias("depth"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
-                    F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")))
-    counted = stored(counted, "tokens")
+    """``(host, slot, blocks)`` for the hosts with a template; ``pages`` has ``digest, host, html``.
+
+    ``blocks`` are the template's text blocks, and its elements with a listed word in their name.
+    """
+    repeated = stored(pages.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    size = repeated.agg(F.sum(48 + F.octet_length("host"))).first()[0] or 0
+    known = pages.join(F.broadcast(repeated) if size <= BROADCAST_BYTES else repeated, ["host", "digest"], "left").select(
+        "digest", F.coalesce("copies", F.lit(1)).alias("copies"), "host", "html")
+    # Shares of copies add up to whole pages but for rounding.
+    counted = (known.mapInArrow(_count, _COUNTED).groupBy("host", "token", "is_path")
+               .agg(F.max("depth").alias("depth"), F.max("hinted").alias("hinted"), F.round(F.sum("pages"), 6).alias("pages"),
+                    F.sum("vector").bitwiseAND(_VECTOR).alias("vector"), F.round(F.sum("chars"), 3).alias("chars"),
+                    F.min("low").alias("low"), F.max("high").alias("high")))
+    counted = stored(counted.where("token = -1 or pages > 1"), "tokens")  # those of one page are in no template
     hosts = counted.where("token = -1").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     often = (counted.where("token <> -1").join(hosts, "host")
              .where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") > share * F.col("all_pages"))))
@@ -265,27 +281,24 @@ def templates(pages: DataFrame, share: float = 0.5, mass: float = 0.6) -> DataFr
     valid = often.withColumn("before", F.lag("high").over(same)).where("before is null or before <= high")
     slots = valid.where(F.col("is_path") & (F.col("chars") >= mass * F.col("all_chars")))
     best = slots.groupBy("host").agg(F.max(F.struct("depth", "chars", "token")).alias("best"))
-    blocks = valid.where("not is_path").groupBy("host").agg(F.collect_set("token").alias("blocks"))
+    blocks = valid.where("not is_path or hinted").groupBy("host").agg(F.collect_set("token").alias("blocks"))
     return best.select("host", F.col("best.token").alias("slot")).join(blocks, "host", "full")
 
 
 def main_text(html: str | None, slot: int | None = None, blocks: frozenset = frozenset()) -> str:
     """The content blocks of a page joined by one space.
 
-    Where the page marks an article or a main part, all text inside that is not barred by its name;
-    else the text of the slot, or of the whole body, without template blocks.
+    All text that is neither in the template nor barred; where the host has no template and the page
+    marks an article or a main part, the text of that. A template that holds all text of the page's
+    article, or of a page without one, tells nothing about it, and that text stays.
     """
-    marked, rest, slotted = [], [], []
-    for e, block in walk(html or "", slot):
-        if block is None or e.barred:
-            continue
-        if e.content:
-            marked.append(block)
-        elif _text_token(e, block) not in blocks:
-            rest.append(block)
-            if e.slot:
-                slotted.append(block)
-    return " ".join(marked or slotted or rest)
+    found = [(e.content, _text_token(e, block) in blocks if blocks else False, block)
+             for e, block in walk(html or "", slot, blocks) if block is not None and not e.barred]
+    marked = any(content for content, _, _ in found)
+    lost = all(known for content, known, _ in found if content or not marked)
+    alone = marked
+    return " ".join(block for content, known, block in found
+                    if (content or not alone) and (not known or lost and (content or not marked)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,12 +324,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined
     in page order by one space; nothing else is dropped or cut. A null or empty html has an empty
-    text. Pages without a host, and hosts of fewer than ``LEAST_PAGES`` pages, have no template.
+    text. Pages without a host, and hosts of fewer than ``LEAST_PAGES`` different pages, have no template.
     """
     rows = with_parts(pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"),
                                    F.col(html).alias("html")))
-    made = stored(templates(rows.where("__host <> ''").select("page", F.col("__host").alias("host"), "html")),
-                  "templates")
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), _NOT_SHOWN, " ")
+    made = stored(templates(rows.where("__host <> ''").select(F.md5(shown).alias("digest"), F.col("__host").alias("host"),
+                                                              "html")), "templates")
     size = made.agg(F.sum(16 + F.octet_length("host") + 8 * F.coalesce(F.size("blocks"), F.lit(0)))).first()[0] or 0
     made = made.withColumnRenamed("host", "__host")
     rows = rows.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "__host", "left")
