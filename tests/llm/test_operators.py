@@ -285,6 +285,18 @@ def texts_of(spark, items):
     return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(items, "page_id long, url string, html string")).collect()}
 
 
+def test_template_blocks_inside_articles(spark):
+    page = ("<body><article><h1>Title {0}</h1><div class=box>Subscribe now</div><p>Text {0} of the page</p>"
+            "<div class=share-prices>Prices {0}</div></article><div class=site-links>Link {0}</div><div>Lead {0}</div></body>")
+    got = texts_of(spark, [(i, f"http://h/{i}", page.format(f"{i} " + "ab" * 20)) for i in range(5)])
+    for i in range(5):
+        x = f"{i} " + "ab" * 20
+        assert got[i] == f"Title {x} Text {x} of the page Prices {x} Link {x} Lead {x}"
+    part = page.replace("site-links", "site-sidebar").replace("Text {0}", "Text {0} " + "long {0} " * 30)
+    got = texts_of(spark, [(i, f"http://h/{i}", part.format(f"{i} " + "ab" * 20)) for i in range(5)])
+    assert all("Link" not in t and "Lead" in t and "Prices" in t and "Subscribe" not in t for t in got.values())
+
+
 @pytest.mark.parametrize("page", [
     "<div class='layout has-sidebar'><article>{}</article></div>", "<div id=page class=no-sidebar><p>{}</p></div>",
     "<form action=/x><nav>a menu of many words that is long</nav><article>{}</article></form>", "<form><div>{}</div></form>",

@@ -5,12 +5,15 @@ host whose occurrence vectors (how often in each page) are equal form a class: t
 same part of the host's template. A vector is summed up as the XOR of a hash of (page, count) over
 its pages, so counting is one map-side combined aggregate over ``(host, token)`` whatever the size of
 a host. Classes that occur in most pages and whose tokens keep their order are valid; paths nest them
-into the template. What the template says:
+into the template. Pages of one host with the same text count as one page. What the template says:
 
-* text blocks of the template, outside an explicit article, are not content;
-* where pages mark no article, the content is the deepest template slot that holds most of the text.
+* text blocks of the template are not content, in an article or out of it;
+* the deepest element of the template that holds most of the text is its slot; elements of the template
+  outside it whose name has a listed word in it (class "site-sidebar") are not content.
 
-Elements that name themselves (nav, footer, class "ad", ...) are left out by that name.
+Names are an aid. Elements that name themselves (nav, footer, class "ad", ...) are left out, but not
+those that hold the page's article or most of its text. Article and main decide alone only for a host
+without a template. What neither shows is kept.
 """
 
 from __future__ import annotations
@@ -225,10 +228,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         open_at.pop()
                     open_at.append(e)
                 else:
-                    if not e.content:
-                        token = _text_token(e, block)
-                        count[token] += 1
-                        first.setdefault(token, len(first))
+                    token = _text_token(e, block)
+                    count[token] += 1
+                    first.setdefault(token, len(first))
                     while open_at and open_at[-1].depth > e.depth:
                         open_at.pop()
                     for x in open_at:
@@ -296,7 +298,7 @@ def main_text(html: str | None, slot: int | None = None, blocks: frozenset = fro
              for e, block in walk(html or "", slot, blocks) if block is not None and not e.barred]
     marked = any(content for content, _, _ in found)
     lost = all(known for content, known, _ in found if content or not marked)
-    alone = marked
+    alone = marked and slot is None and not blocks
     return " ".join(block for content, known, block in found
                     if (content or not alone) and (not known or lost and (content or not marked)))
 
