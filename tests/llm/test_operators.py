@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import io
+import itertools
 import re
 import zipfile
 import zlib
@@ -200,6 +201,38 @@ def test_decontamination(spark, docs, none):
     assert seeds.overlaps(none, b).count() == 0 and seeds.overlaps(docs, b.limit(0)).count() == 0
 
 
+def match(item, text):
+    """Best overlap of one item with one text, both lists of words."""
+    items = seeds.index_items([(1, " ".join(item))])
+    (_, _, w), = words.runs(pa.array([" ".join(text)]), fold=True)
+    return seeds._matches(w, items, 13, 80).get((0, 0))
+
+
+def changed_words(item, places):
+    return [f"z{i}" if i in places else x for i, x in enumerate(item)]
+
+
+def test_seeds_find_every_period_and_length():
+    item = [f"b{i}" for i in range(59)]
+    for size in (20, 30, 59):
+        for period in range(5, 13):
+            for at in range(period):
+                places = set(range(at, size, period))
+                if 100 * (size - len(places)) >= 80 * size:
+                    assert match(item[:size], changed_words(item[:size], places)), (size, period, at)
+    for size in range(1, 17):
+        short = item[:size]
+        for most in range(size + 1):
+            if size - most < seeds.needed(size, 13, 80) or 100 * (size - most) < 80 * size:
+                break
+            for places in itertools.combinations(range(size), most):
+                family = seeds.family_of(size, 13, 80)
+                shown = "".join("0" if i in places else "1" for i in range(size))
+                assert any(all(m == "0" or c == "1" for m, c in zip(mask, shown[i:])) for mask in family
+                           for i in range(size - len(mask) + 1)), (size, places)
+    assert match(["a", "b"], ["x", "a", "b"]) == (2, 2, 1, 2) and match(item[:12], ["z", *item[1:12]]) == (11, 12, 1, 11)
+
+
 def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
 

@@ -5,6 +5,9 @@ skips was changed. Every place of every test item is hashed under each mask; eve
 training text is hashed the same way and looked up. Around a hit the two texts are compared word
 by word along the hit's diagonal, which decides.
 
+A test item is hashed under the first family of masks of which every overlap of it, wherever its
+changed words stand, holds one; `finds_all` tries all of them. So seeds cost no result.
+
 The test items come in blocks of at most ``BLOCK_WORDS`` words (about 40 MB with their seeds), each
 broadcast; a larger benchmark takes one pass over the texts per block. The texts never shuffle.
 """
@@ -12,6 +15,7 @@ broadcast; a larger benchmark takes one pass over the texts per block. The texts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from types import SimpleNamespace
 
 import numpy as np
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-MASKS = ("111010110111", "110111011011", "111100101111")
+#: Families of masks, the most selective first; the last finds whatever has one equal word.
+MASKS = (("11111", "111101", "101111"), ("1111",), ("111", "1101", "1011"), ("111",), ("11", "101"), ("11",), ("1",))
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 22
 _OUT = "doc_id long, item_id long, n_matched long, n_item_words long, first_word long, last_word long"
@@ -38,11 +43,49 @@ def _masked(h: np.ndarray, picks: np.ndarray) -> np.ndarray:
     return W.mix(out)
 
 
-def index_items(rows: list[tuple[int, str]], masks=MASKS, min_words: int = 8) -> SimpleNamespace:
+def needed(size: int, least: int, percent: int) -> int:
+    """Equal words that make an overlap with an item of ``size`` words."""
+    return min(least, -(-size * percent // 100))
+
+
+@lru_cache(maxsize=10_000)
+def finds_all(family: tuple[str, ...], longest: int, need: int, percent: int) -> bool:
+    """Whether each stretch of at most ``longest`` words with ``need`` equal ones, and ``percent``, holds a mask.
+
+    Stretches grow word by word as (last words, equal words), as long as no mask has come up.
+    """
+    span = max(map(len, family))
+    masks = [(int(m, 2), (1 << len(m)) - 1) for m in family]
+    live = {(0, 0)}
+    for size in range(1, longest + 1):
+        grown = set()
+        for last, equal in live:
+            for same in (0, 1):
+                now = (last << 1 | same) & (1 << span) - 1
+                if not any(now & mask == mask for mask, _ in masks):
+                    grown.add((now, equal + same))
+        if any(equal >= need and 100 * equal >= percent * size for _, equal in grown):
+            return False
+        live = grown
+    return True
+
+
+def family_of(size: int, least: int, percent: int, masks=MASKS) -> tuple[str, ...]:
+    """The first family that finds every overlap with an item of ``size`` words.
+
+    Of a longer stretch one half is as equal, so an overlap of twice ``need / percent`` words and more
+    holds a shorter one, and only lengths below that are tried.
+    """
+    need = needed(size, least, percent)
+    longest = min(size, 2 * -(-100 * need // percent) + 1)
+    return next((f for f in masks if finds_all(tuple(f), longest, need, percent)), ("1",))
+
+
+def index_items(rows: list[tuple[int, str]], masks=MASKS, min_words: int = 1, least: int = 13,
+                percent: int = 80) -> SimpleNamespace:
     """Test items, their seeds sorted by hash, and a bit filter over the seeds' leading bits.
 
-    An item shorter than a mask is one seed of all its words; one of fewer
-    than ``min_words`` words is left out. Of equal items the smallest id stands for all."""
+    An item of fewer than ``min_words`` words is left out. Of equal items the smallest id stands for all."""
     seen: dict[bytes, int] = {}
     ids, words = [], []
     column = pa.array([t for _, t in rows], pa.string())
@@ -54,14 +97,14 @@ def index_items(rows: list[tuple[int, str]], masks=MASKS, min_words: int = 8) ->
                 seen[x.tobytes()] = 1
                 ids.append(rows[a + i][0])
                 words.append(x)
-    picks = [np.flatnonzero(np.array(list(m)) == "1") for m in masks]
-    span = min(int(p[-1]) + 1 for p in picks)
-    picks += [np.arange(n) for n in sorted({len(x) for x in words if len(x) < span})]
-    keys, item, place = [], [], []
-    for p in picks:
+    families = [family_of(len(x), least, percent, masks) for x in words]
+    picks, keys, item, place = [], [], [], []
+    for m in sorted({m for f in families for m in f}):
+        p = np.flatnonzero(np.array(list(m)) == "1")
+        picks.append(p)
         for i, x in enumerate(words):
-            if (len(p) == p[-1] + 1) and len(x) != len(p):
-                continue  # a mask for short items
+            if m not in families[i]:
+                continue
             k = _masked(x, p)
             keys.append(k)
             item.append(np.full(len(k), i))
@@ -107,7 +150,7 @@ def _matches(w: W.Words, items: SimpleNamespace, least: int, percent: int) -> di
                 lo = max(0, int(w.first[doc]) - diagonal)
                 hi = min(len(x), int(w.first[doc + 1]) - diagonal)
                 f, t, n = _extend(x[lo:hi] == h[diagonal + lo:diagonal + hi])
-                need = min(least, -(-len(x) * percent // 100))
+                need = needed(len(x), least, percent)
                 if n >= need and 100 * n >= percent * (t - f):
                     start = diagonal + lo + f - int(w.first[doc])
                     best = (n, len(x), start, start + t - f - 1)
@@ -116,19 +159,20 @@ def _matches(w: W.Words, items: SimpleNamespace, least: int, percent: int) -> di
     return found
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, masks, min_words: int) -> Iterator[SimpleNamespace]:
+def _blocks(benchmark: DataFrame, key: str, text: str, masks, min_words: int, least: int,
+            percent: int) -> Iterator[SimpleNamespace]:
     """Index the test items block by block, in order of id, so that equal items meet early."""
     rows, size = [], 0
     items = benchmark.select(F.col(key).cast("long"), text).where(f"{text} is not null and {key} is not null")
     for r in items.orderBy(key, text).toLocalIterator():
         n = len(r[1].split())
         if rows and size + n > BLOCK_WORDS:
-            yield index_items(rows, masks, min_words)
+            yield index_items(rows, masks, min_words, least, percent)
             rows, size = [], 0
         rows.append((r[0], r[1]))
         size += n
     if rows:
-        yield index_items(rows, masks, min_words)
+        yield index_items(rows, masks, min_words, least, percent)
 
 
 def _overlaps(items, least: int, percent: int):
@@ -158,7 +202,7 @@ def _clean(items, text: str, least: int, percent: int):
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-             item_key: str = "item_id", item_text: str = "text", masks=MASKS, min_words: int = 8,
+             item_key: str = "item_id", item_text: str = "text", masks=MASKS, min_words: int = 1,
              least: int = 13, percent: int = 80) -> DataFrame:
     """Documents that hold a test item: one row per row of ``docs`` and item, with its best overlap.
 
@@ -170,7 +214,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     out = None
-    for items in _blocks(benchmark, item_key, item_text, masks, min_words):
+    for items in _blocks(benchmark, item_key, item_text, masks, min_words, least, percent):
         part = docs.select(F.col(key).cast("long"), text).mapInArrow(
             _overlaps(spark.sparkContext.broadcast(items), least, percent), _OUT)
         out = part if out is None else out.union(part)
@@ -178,10 +222,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id",
-                  item_text: str = "text", masks=MASKS, min_words: int = 8, least: int = 13,
+                  item_text: str = "text", masks=MASKS, min_words: int = 1, least: int = 13,
                   percent: int = 80) -> DataFrame:
     """``docs`` without the rows that ``overlaps`` finds; columns as they are."""
-    for items in _blocks(benchmark, item_key, item_text, masks, min_words):
+    for items in _blocks(benchmark, item_key, item_text, masks, min_words, least, percent):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(items), text, least, percent),
                                docs.schema)
     return docs
