@@ -233,6 +233,47 @@ def test_seeds_find_every_period_and_length():
     assert match(["a", "b"], ["x", "a", "b"]) == (2, 2, 1, 2) and match(item[:12], ["z", *item[1:12]]) == (11, 12, 1, 11)
 
 
+def plain_stretch(same, need, percent):
+    """Best stretch by trying all: most matches over mismatches at 2, then first end, then first start."""
+    best = None
+    for to in range(1, len(same) + 1):
+        for at in range(to):
+            n = sum(same[at:to])
+            if n >= need and 100 * n >= percent * (to - at):
+                key = (n - 2 * (to - at - n), -to, -at)
+                best = max(best or ((-10 ** 9,), ()), (key, (at, to, n)))
+    return best and best[1]
+
+
+def test_best_stretch():
+    rng = np.random.default_rng(1)
+    for i in range(1500):
+        size, equal = int(rng.integers(1, 60)), rng.choice([0.6, 0.7, 0.75, 0.8, 0.85, 0.95])
+        same = rng.random(size) < equal
+        if i % 3 == 0:
+            same[:14] = True
+        need = int(rng.integers(1, 16)) if i % 2 else 13
+        assert seeds._extend(same, need, 80) == plain_stretch(same.tolist(), need, 80), same
+
+
+def test_overlap_beside_a_worse_stretch():
+    item = [f"b{i}" for i in range(200)]
+    got = match(item[:170], item[:20] + changed_words(item[20:170], set(range(0, 150, 4))))
+    assert got and got[0] >= 20 and got[2] == 0 and 100 * got[0] >= 80 * (got[3] - got[2] + 1)
+    rng = np.random.default_rng(2)
+    for _ in range(400):  # all diagonals of small texts, few different words
+        item = [f"b{x}" for x in rng.integers(0, 30, int(rng.integers(1, 40)))]
+        text = [x if rng.random() < 0.8 else "z" for x in item]
+        text = [f"b{x}" for x in rng.integers(0, 30, 5)] + text[int(rng.integers(0, 4)):] + [f"b{x}" for x in rng.integers(0, 30, 5)]
+        need, want = seeds.needed(len(item), 13, 80), 0
+        for diagonal in range(-len(item), len(text)):
+            lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
+            stretch = plain_stretch([item[i] == text[diagonal + i] for i in range(lo, hi)], need, 80)
+            want = max(want, stretch[2] if stretch else 0)
+        got = match(item, text)
+        assert (got[0] if got else 0) == want
+
+
 def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
 

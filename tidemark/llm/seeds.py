@@ -118,13 +118,50 @@ def index_items(rows: list[tuple[int, str]], masks=MASKS, min_words: int = 1, le
                            keys=keys[order], item=item[order], place=place[order])
 
 
-def _extend(same: np.ndarray) -> tuple[int, int, int]:
-    """The stretch of most matches over mismatches (a mismatch costs 2): from, to, matches."""
+def _extend(same: np.ndarray, need: int, percent: int) -> tuple[int, int, int] | None:
+    """The best stretch with ``need`` equal words and ``percent``: from, to, equal words; None if there is none.
+
+    Best is most matches over mismatches (a mismatch costs 2), then the first end, then the first start.
+    """
+    if int(same.sum()) < need:
+        return None
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    equal = np.concatenate([[0], np.cumsum(same)])
     low = np.minimum.accumulate(score)
     to = int(np.argmax(score - low))
     at = int(np.argmin(score[:to + 1]))
-    return at, to, int(same[at:to].sum())
+    n = int(equal[to] - equal[at])
+    if n >= need and 100 * n >= percent * (to - at):
+        return at, to, n
+    # A stretch has the percentage when its sum does not fall; the first start of no greater sum is the longest.
+    sums = 100 * equal - percent * np.arange(len(equal))
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")
+    ends = np.flatnonzero(equal - equal[first] >= need)
+    if not len(ends):
+        return None
+    # Least score among starts of no greater sum that are far enough before each end: a tree of minima over ranks.
+    _, rank = np.unique(sums, return_inverse=True)
+    size = int(rank.max()) + 1
+    tree: list[tuple[int, int] | None] = [None] * (size + 1)
+    ready = np.searchsorted(equal, equal[ends] - need, side="right").tolist()
+    best, begin = (-3 * len(same), 0, 0), 0
+    for to, upto in zip(ends.tolist(), ready):
+        for begin in range(begin, upto):
+            i, entry = int(rank[begin]) + 1, (int(score[begin]), begin)
+            while i <= size:
+                if tree[i] is None or entry < tree[i]:
+                    tree[i] = entry
+                i += i & -i
+        begin = max(begin, upto)
+        i, least = int(rank[to]) + 1, None
+        while i:
+            if tree[i] is not None and (least is None or tree[i] < least):
+                least = tree[i]
+            i -= i & -i
+        if int(score[to]) - least[0] > best[0]:
+            best = (int(score[to]) - least[0], least[1], to)
+    _, at, to = best
+    return at, to, int(equal[to] - equal[at])
 
 
 def _matches(w: W.Words, items: SimpleNamespace, least: int, percent: int) -> dict[tuple[int, int], tuple]:
@@ -149,12 +186,13 @@ def _matches(w: W.Words, items: SimpleNamespace, least: int, percent: int) -> di
                 x = items.words[item]
                 lo = max(0, int(w.first[doc]) - diagonal)
                 hi = min(len(x), int(w.first[doc + 1]) - diagonal)
-                f, t, n = _extend(x[lo:hi] == h[diagonal + lo:diagonal + hi])
                 need = needed(len(x), least, percent)
-                if n >= need and 100 * n >= percent * (t - f):
+                stretch = _extend(x[lo:hi] == h[diagonal + lo:diagonal + hi], need, percent)
+                if stretch:
+                    f, t, n = stretch
                     start = diagonal + lo + f - int(w.first[doc])
-                    best = (n, len(x), start, start + t - f - 1)
-                    if best[0] > found.get((doc, item), (0,))[0]:
+                    best, old = (n, len(x), start, start + t - f - 1), found.get((doc, item))
+                    if old is None or (n, -start) > (old[0], -old[2]):
                         found[doc, item] = best
     return found
 
