@@ -114,6 +114,23 @@ def test_t12_union_is_order_free_and_lossless(spark):
     assert set(merged) == {"# t", "shared", "ours", "theirs", "more", "other"} and merged.count("# t") == 1
 
 
+def test_large_versions_are_merged(spark):
+    shared = [f"line {i}" for i in range(500)]
+    x, y = shared[:250] + ["ours"] + shared[250:], shared[:400] + ["theirs"] + shared[400:]
+    assert len(x) * len(y) > lines.PAIR_BUDGET
+    df = spark.createDataFrame([(1, "\n".join(t)) for t in (x, y)], "file_id long, body string")
+    (got,) = [r.body.split("\n") for r in text.line_union(df).collect()]
+    assert got == shared[:250] + ["ours"] + shared[250:400] + ["theirs"] + shared[400:]
+
+
+def test_nul_behind_the_head_is_not_merged():
+    value = lambda ms, t: dict(ms=ms, cnt=0, node="n", blob_ref=t, tombstone=False, text=t)
+    base = "a\n" + "x" * 5000 + "\nb"
+    ours, theirs = base + "\nours\0", "theirs\n" + base
+    assert merge._default_pair(value(1, ours.replace("\0", "")), value(2, theirs), base)["winner"] == "merged"
+    assert merge._default_pair(value(1, ours), value(2, theirs), base) == {"winner": "theirs", "strategy": "lww"}
+
+
 def test_t12_budget_concatenates():
     x, y = "\n".join(map(str, range(500))), "\n".join(map(str, range(401)))
     assert lines.union_lines(x, y) == x + "\n" + y

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import numpy as np
 
 PAIR_BUDGET = 200_000
 
 
-def union_lines(x: str, y: str, budget: int = PAIR_BUDGET) -> str:
+def union_lines(x: str, y: str, budget: int | None = PAIR_BUDGET) -> str:
     """Lossless union of two texts given in canonical order.
 
     Lines of a longest common subsequence appear once; between them come the lines of
-    ``x``, then of ``y``. Above ``budget`` line pairs the texts are put one after the other.
+    ``x``, then of ``y``. Above ``budget`` line pairs the texts are put one after the other; None
+    is no budget.
     """
     if x == y:
         return x
     a, b = x.split("\n"), y.split("\n")
-    if len(a) * len(b) > budget:
+    if budget is not None and len(a) * len(b) > budget:
         return x + "\n" + y
     out: list[str] = []
     i = j = 0
@@ -30,24 +32,40 @@ def union_lines(x: str, y: str, budget: int = PAIR_BUDGET) -> str:
 
 
 def _common_lines(a: list[str], b: list[str]) -> list[str]:
+    """A longest common subsequence. Of the table's rows, every ``step``-th and those of one step are held."""
     codes = {line: n for n, line in enumerate(dict.fromkeys(a + b))}
     ca, cb = np.array([codes[s] for s in a]), np.array([codes[s] for s in b])
-    best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
         # A row is the best of skipping a[i] or pairing it, carried leftwards over skips of b.
-        paired = np.where(cb == ca[i], best[i + 1, 1:] + 1, 0)
-        row = np.maximum(best[i + 1, :-1], paired)
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        paired = np.where(cb == ca[i], below[1:] + 1, 0)
+        row = np.zeros_like(below)
+        row[:-1] = np.maximum.accumulate(np.maximum(below[:-1], paired)[::-1])[::-1]
+        return row
+
+    step = math.isqrt(len(a)) + 1
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    held = {len(a): row}
+    for i in range(len(a) - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            held[i] = row
     found: list[str] = []
     i = j = 0
-    while i < len(a) and j < len(b):
-        if ca[i] == cb[j]:
-            found.append(a[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    for start in range(0, len(a), step):
+        end = min(start + step, len(a))
+        best = [held[end]]
+        for k in range(end - 1, start - 1, -1):
+            best.append(above(k, best[-1]))
+        best.reverse()
+        while i < end and j < len(b):
+            if ca[i] == cb[j]:
+                found.append(a[i])
+                i, j = i + 1, j + 1
+            elif best[i + 1 - start][j] >= best[i - start][j + 1]:
+                i += 1
+            else:
+                j += 1
     return found
 
 

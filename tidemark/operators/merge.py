@@ -128,8 +128,8 @@ def _default_pair(ours: dict[str, Any], theirs: dict[str, Any],
         return {"winner": "theirs" if ours["tombstone"] else "ours",
                 "strategy": "tombstone-loses"}
     if base is not None and ours["text"] is not None and theirs["text"] is not None:
-        head = (ours["text"].encode()[:4096], theirs["text"].encode()[:4096])
-        merged = None if b"\0" in head[0] + head[1] else merge3(base, ours["text"], theirs["text"])
+        binary = "\0" in ours["text"] or "\0" in theirs["text"]
+        merged = None if binary else merge3(base, ours["text"], theirs["text"])
         if merged is not None:
             return {"winner": "merged", "strategy": "3-way-merge", "text": merged}
     return {"winner": newer, "strategy": "lww"}
