@@ -409,3 +409,80 @@ def test_pipeline(spark, tmp_path):
         f(spark, stage, folder).write.parquet(f"{tmp_path}/{i}")
         stage = spark.read.schema(docs.schema).parquet(f"{tmp_path}/{i}")
         assert stage.columns == docs.columns and stage.count() == 0
+
+
+def plain_overlaps(texts, items, percent=80, least=13):
+    """Best overlap of each document and item over all diagonals; of equal items the smallest id counts."""
+    first = {}
+    for i, t in sorted(items):
+        first.setdefault(tuple(words_of(t, True)), i)
+    places, out = {}, {}
+    for item, i in first.items():
+        for p, x in enumerate(item):
+            places.setdefault(x, []).append((i, len(item), p))
+    sizes = {i: item for item, i in first.items()}
+    for d, t in texts:
+        w, equal = words_of(t, True), {}
+        for at, x in enumerate(w):
+            for i, _, p in places.get(x, ()):
+                equal[i, at - p] = equal.get((i, at - p), 0) + 1
+        for (i, diagonal), n in sorted(equal.items()):
+            item = sizes[i]
+            need = min(least, -(-len(item) * percent // 100))
+            if n < need:
+                continue
+            lo, hi = max(0, -diagonal), min(len(item), len(w) - diagonal)
+            best = plain_stretch([item[k] == w[diagonal + k] for k in range(lo, hi)], need, percent)
+            if best:
+                start = diagonal + lo + best[0]
+                row = (best[2], -start, len(item), start + best[1] - best[0] - 1)
+                out[d, i] = max(out.get((d, i), row), row)
+    return sorted((d, i, n, size, -start, last) for (d, i), (n, start, size, last) in out.items())
+
+
+def table_rows(spark, folder, name, *columns):
+    return list(map(tuple, spark.read.parquet(f"{folder}/{name}.parquet").select(*columns).collect()))
+
+
+def test_overlaps_of_the_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    want = plain_overlaps(table_rows(spark, folder, "documents", "doc_id", "text"),
+                          table_rows(spark, folder, "benchmark", "item_id", "text"))
+    assert want and rows(seeds.overlaps(docs, items)) == sorted(want, key=repr)
+
+
+def test_pipeline_equals_plain_stages(spark):
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    docs = table_rows(spark, folder, "documents", "doc_id", "text", "source")
+    failed = {d: plain_rule(t)[-1] for d, t, _ in docs}
+    hosts = {}
+    for d, _, h in docs:
+        hosts.setdefault(h, []).append(failed[d])
+    hosts.pop(None, None)
+    n, f = sum(map(len, hosts.values())), sum(map(sum, hosts.values()))
+    spread = sum((sum(x) / len(x) - f / n) ** 2 * len(x) for x in hosts.values()) / n
+    strength = min(max(f / n * (1 - f / n) / spread - 1, 1), 1e6) if spread else 1e6
+    bad = {h for h, x in hosts.items() if (sum(x) + strength * f / n) / (len(x) + strength) > 0.9}
+    kept = [(d, t) for d, t, h in docs if not failed[d] and h not in bad]
+    heads = {d for d, _, c in plain_groups(kept) if d == c}
+    seen, texts = set(), []
+    for d, t in sorted((d, t) for d, t in kept if d in heads):
+        w = words_of(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            g = tuple(w[i:i + 20])
+            if g in seen:
+                gone[i:i + 20] = [True] * 20
+            seen.add(g)
+        texts.append((d, " ".join(x for x, y in zip(w, gone) if not y) if any(gone) else t))
+    hit = {r[0] for r in plain_overlaps(texts, table_rows(spark, folder, "benchmark", "item_id", "text"))}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, t in texts:
+        if d not in hit:
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()))
+    assert hit and rows(corpus_pipeline.run(spark, folder), "doc_id", "n_tokens", "ids_sha256") == sorted(want, key=repr)
