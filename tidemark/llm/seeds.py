@@ -244,11 +244,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
              least: int = 13, percent: int = 80) -> DataFrame:
     """Documents that hold a test item: one row per row of ``docs`` and item, with its best overlap.
 
-    Words are runs of bytes other than space and U+0009 to U+000D, A-Z lower-cased. Along a hit's
-    diagonal the best stretch counts 1 for each equal word and -2 for each other one; it is an
-    overlap when at least ``percent`` of its words are equal and these are ``least`` words, or
-    ``percent`` of a shorter item. Null and empty texts overlap nothing; null items, and items
-    below ``min_words`` words, are not looked for.
+    Words are runs of bytes other than space and U+0009 to U+000D, A-Z lower-cased. A stretch of a
+    diagonal is an overlap when at least ``percent`` of its words are equal and these are ``least``
+    words, or ``percent`` of a shorter item. Of a diagonal's overlaps the best counts 1 for each equal
+    word and -2 for each other one; of an item's diagonals the one of most equal words is shown. Null
+    and empty texts overlap nothing; null items, and items below ``min_words`` words, are not looked for.
     """
     spark = docs.sparkSession
     out = None
