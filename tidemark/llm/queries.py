@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, ngram_join, packing, pages, repeats, repair, rules, seeds, url_filter, warc
+from . import bpe, forest, licenses, ngram_join, packing, pages, repeats, repair, rules, seeds, url_filter, warc
 from .common import table
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -42,6 +42,8 @@ select d.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.x) compon
 from d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """
 
+FOREST_SQL = f"select *, doc_id = component_id kept from ({SIMILAR_SQL.replace('>= 80 *', '>= 85 *')})"
+
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
@@ -87,6 +89,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(_documents(spark, folder))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, folder, "conversations")))
 
@@ -94,8 +100,9 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_main_text, op4_ngram_join, op5_quality_rules,
                             op6_warc, op7_url_filter, op8_license_scan, op9_decontamination, op10_bpe,
-                            op13_conversation_repair)}
+                            op12_minhash_forest, op13_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": REPEATS_SQL, "op4_ngram_join": SIMILAR_SQL, "op5_quality_rules": rules.JUDGE_SQL,
     "op6_warc": warc.ROUND_TRIP_SQL, "op7_url_filter": url_filter.judge_sql(),
-    "op8_license_scan": licenses.scan_sql(), "op13_conversation_repair": repair.repair_sql()}
+    "op8_license_scan": licenses.scan_sql(), "op12_minhash_forest": FOREST_SQL,
+    "op13_conversation_repair": repair.repair_sql()}
