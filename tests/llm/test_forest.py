@@ -78,7 +78,7 @@ def test_dense_regions_go_deeper(spark, monkeypatch):
     monkeypatch.setattr(forest, "PAIRS_PER_MEMBER", 1)
     monkeypatch.setattr(forest, "_regions", lambda nodes, level: levels.append(level) or plain(nodes, level))
     assert result(spark, rows) == expected(rows)
-    assert levels == [0, 1, 2]
+    assert levels == [0, 1]
 
 
 def test_no_rows(spark):

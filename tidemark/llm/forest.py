@@ -6,8 +6,8 @@ chance of ``(1 - t**depth)**trees``, about 1e-10 at every level below. In each r
 
 1. every document is compared with its neighbour of longest common prefix in the sorted order and with the
    region's smallest document, which joins near copies for two pairs a member;
-2. regions that still hold several components compare across components, as long as that is a bounded number
-   of pairs for each member;
+2. regions that still hold several components compare across components by their signatures, as long as that is
+   a bounded number of comparisons for each member; pairs whose minhashes agree often enough are candidates;
 3. members of a region that is denser than that move to a deeper level, with more minhashes to agree on and
    more trees to keep the chance. The last level compares whatever is left.
 
@@ -32,9 +32,13 @@ from .common import discard, stored
 from .components import components
 
 #: (depth of a region, trees, minhashes a tree is sorted by) of each level, for a similarity of 0.85.
-LEVELS = ((3, 24, 6), (8, 72, 10), (16, 288, 18))
+LEVELS = ((3, 24, 11), (9, 84, 11))
 #: A region is compared across components up to so many pairs for each member.
-PAIRS_PER_MEMBER = 64
+PAIRS_PER_MEMBER = 256
+#: Pairs across components are screened by so many minhashes, in cells of about so many rows a side.
+COMPARED, CELL_ROWS = 256, 512
+#: Sets of up to so many shingles are compared there whole.
+SMALL = 256
 #: Sets are handed on in groups of so many bytes.
 GROUP_BYTES = 4 << 20
 
@@ -163,28 +167,101 @@ def _regions(nodes: DataFrame, level: int) -> DataFrame:
     return rows.join(many, "region")
 
 
-def _close(percent: int, n: str, m: str):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)).alias("close")
+def _screened(percent: int, compared: int):
+    """Pairs of a cell's rows with its others, in different components, that may be similar enough.
+
+    Rows come sorted by cell: ``(region, i, j, other, doc, n, component, largest, signature, members)``. A pair is
+    left out if its agreeing minhashes fall six standard deviations short of what the threshold makes expect, or
+    if both sets are small enough to be here whole and show that they differ.
+    """
+    t = percent / 100
+    need = compared * t - 6 * (compared * t * (1 - t)) ** .5
+
+    def pairs(cell):
+        _, _, _, other, doc, n, component, largest, sign, members = cell
+        whole = {}
+
+        def close(a, b):
+            if members[a] is None or members[b] is None:
+                return True
+            for x in (a, b):
+                if x not in whole:
+                    whole[x] = frozenset(np.frombuffer(members[x], np.uint64).tolist())
+            both = len(whole[a] & whole[b])
+            return 100 * both >= percent * (len(whole[a]) + len(whole[b]) - both)
+
+        x, y = np.flatnonzero(other == 0), np.flatnonzero(other)
+        if not len(x) or not len(y):
+            return
+        for part in np.array_split(x, -(-len(x) * len(y) // 65536)):  # a few MB at a time
+            fits = ((component[part][:, None] != component[y])
+                    & ((component[part] == largest[part])[:, None] | (doc[part][:, None] < doc[y]))
+                    & (100 * np.minimum(n[part][:, None], n[y]) >= percent * np.maximum(n[part][:, None], n[y])))
+            p, q = np.nonzero(fits)
+            p, q = part[p], y[q]
+            for at in range(0, len(p), 8192):
+                a, b = p[at:at + 8192], q[at:at + 8192]
+                ok = np.flatnonzero((sign[a] == sign[b]).sum(1) >= need)
+                ok = [x for x in ok if close(a[x], b[x])]
+                if ok:
+                    a, b = doc[a[ok]], doc[b[ok]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            columns.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(8)), np.uint16)
+                           .reshape(-1, compared))
+            columns.append(np.array([*batch.column(9).to_pylist(), None], object)[:-1])
+            rows = columns if held is None else [np.concatenate(c) for c in zip(held, columns)]
+            new = np.zeros(len(rows[0]), bool)
+            for c in rows[:3]:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                yield from pairs([c[lo:hi] for c in rows])
+            held = [c[cuts[-1]:] for c in rows]
+        if held is not None:
+            yield from pairs(held)
+        W.give_back()
+
+    return screened
 
 
-def _across(left: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+def _across(left: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, level: int,
+            percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs across the components of regions that are not too dense, and the documents of the others.
 
-    ``left`` are rows ``(region, doc, n, component)`` of regions with several components. A region's largest
-    component meets the others only.
+    ``left`` are rows ``(region, doc, n, component)`` of regions with several components. A region's members
+    meet those outside its largest component, in cells of bounded size, by the signatures of ``nodes`` and, where
+    they are small, by their sets.
     """
+    last = level == len(LEVELS) - 1
+    compared = min(COMPARED, LEVELS[level][1] * LEVELS[level][2])
     sizes = left.groupBy("region", "component").agg(F.count("*").alias("c"))
     regions = sizes.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"),
-                                          F.max_by("component", F.struct("c", "component")).alias("largest"))
+                                          F.max(F.struct("c", "component")).alias("top"))
     dense = F.lit(False) if last else (F.col("m") * F.col("m") - F.col("squares")) / 2 > PAIRS_PER_MEMBER * F.col("m")
-    rows = stored(left.join(regions.select("region", "largest", dense.alias("dense")), "region"), "across")
-    some = rows.where("not dense")
-    other = some.where("component != largest").select(
-        "region", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    pairs = (some.join(other, "region").where((F.col("component") != F.col("x_component"))
-                                              & ((F.col("component") == F.col("largest")) | (F.col("doc") < F.col("x")))
-                                              & _close(percent, "n", "x_n"))
-             .select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct())
+    rows = stored(left.join(regions.select(
+        "region", F.col("top.component").alias("largest"), dense.alias("dense"),
+        F.ceil(F.col("m") / CELL_ROWS).alias("i_n"), F.ceil((F.col("m") - F.col("top.c")) / CELL_ROWS).alias("j_n")),
+        "region"), "across")
+    of = rows.where("not dense").select("doc").distinct()
+    sketch = (nodes.select("doc", F.substring("signature", 1, 2 * compared).alias("signature")).join(of, "doc")
+              .join(docs.join(nodes.where(F.col("n") <= SMALL).join(of, "doc").select("doc"), "doc", "left_semi")
+                    .mapInArrow(_members(k), "doc long, members binary").dropDuplicates(["doc", "members"]),
+                    "doc", "left"))
+    some = rows.where("not dense").join(stored(sketch, "sketch"), "doc")
+    cell = F.pmod(F.xxhash64("doc"), F.col("i_n")), F.pmod(F.xxhash64("doc"), F.col("j_n"))
+    columns = ["region", "i", "j", "other", "doc", "n", "component", "largest", "signature", "members"]
+    members = (some.select("*", cell[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"),
+                           F.lit(0).alias("other")).select(*columns))
+    others = (some.where("component != largest")
+              .select("*", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), cell[1].alias("j"),
+                      F.lit(1).alias("other")).select(*columns))
+    pairs = (members.union(others).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
+             .mapInArrow(_screened(percent, compared), "a long, b long").distinct())
     return pairs, rows.where("dense").select("doc").distinct()
 
 
@@ -212,17 +289,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     heads = reps.select(F.col("rep").alias("doc"), "set_key")
 
     def grown(links, labels, pairs):
-        """Links and labels after the pairs were confirmed."""
+        """Links and labels after the pairs were confirmed; both stay as they are if no link is new."""
         pairs = stored(pairs, "pairs")
-        found = _confirmed(docs, pairs, k, percent)
+        found = None if pairs.isEmpty() else _confirmed(docs, pairs, k, percent)
+        if found is None or found.isEmpty():
+            return links, components(links) if labels is None else labels
         more = stored(links.union(found), "links")
         discard(pairs, found, links, *([labels] if labels is not None else []))
         return more, components(more)
 
-    nodes = known
+    nodes = known.join(heads, ["doc", "set_key"], "left_semi")
     for level in range(len(LEVELS)):
-        last = level == len(LEVELS) - 1
-        rows = stored(_regions(nodes.join(heads, ["doc", "set_key"], "left_semi"), level), "regions")
+        rows = stored(_regions(nodes, level), "regions")
         near = (rows.repartitionByRange("region", "sorted_by", "doc").sortWithinPartitions("region", "sorted_by", "doc")
                 .select("region", "doc", "n").mapInArrow(_neighbours(percent), "a long, b long"))
         star = rows.where("lead < doc").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
@@ -232,14 +310,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         split = (named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .where("low < high").select("region"))
         left = stored(named.join(split, "region", "left_semi").distinct(), "left")
-        pairs, dense = _across(left, percent, last)
+        pairs, dense = _across(left, nodes, docs, k, level, percent)
         deeper = stored(dense, "dense")
         links, labels = grown(links, labels, pairs)
         discard(rows, left)
         if deeper.isEmpty():
             discard(deeper)
             break
-        nodes = stored(docs.join(deeper, "doc", "left_semi").mapInArrow(_signed(k, level + 1), signed), "signed")
+        nodes = stored(docs.join(deeper, "doc", "left_semi").mapInArrow(_signed(k, level + 1), signed)
+                       .join(heads, ["doc", "set_key"], "left_semi"), "signed")
     whole = of.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(
         F.min("component").alias("component"))
