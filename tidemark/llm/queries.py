@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, licenses, ngram_join, packing, pages, repeats, repair, rules, seeds, url_filter, warc
+from . import bpe, forest, licenses, negatives, ngram_join, packing, pages, repeats, repair, rules, seeds, url_filter, warc
 from .common import table
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -89,6 +89,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(negatives.labelled(table(spark, folder, "embeddings")))
+
+
 def op12_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.near_duplicates(_documents(spark, folder))
 
@@ -100,9 +104,11 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_main_text, op4_ngram_join, op5_quality_rules,
                             op6_warc, op7_url_filter, op8_license_scan, op9_decontamination, op10_bpe,
-                            op12_minhash_forest, op13_conversation_repair)}
+                            op11_hard_negatives, op12_minhash_forest,
+                            op13_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": REPEATS_SQL, "op4_ngram_join": SIMILAR_SQL, "op5_quality_rules": rules.JUDGE_SQL,
     "op6_warc": warc.ROUND_TRIP_SQL, "op7_url_filter": url_filter.judge_sql(),
-    "op8_license_scan": licenses.scan_sql(), "op12_minhash_forest": FOREST_SQL,
+    "op8_license_scan": licenses.scan_sql(), "op11_hard_negatives": negatives.MINE_SQL,
+    "op12_minhash_forest": FOREST_SQL,
     "op13_conversation_repair": repair.repair_sql()}
