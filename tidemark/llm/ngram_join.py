@@ -54,6 +54,7 @@ def _counts(k: int):
             flat = np.minimum(total, 255).astype(np.uint8).reshape(-1, _PIECE)
             yield pa.record_batch({"piece": pa.array(range(len(flat)), pa.int32()),
                                    "counts": pa.array([x.tobytes() for x in flat], pa.binary())})
+        W.give_back()
 
     return counts
 
@@ -129,13 +130,15 @@ def _compared(k: int, percent: int):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, sets = batch.column(0).to_pylist(), list(_sets(batch.column(1), k))
-            for a in range(0, len(doc), 1000):
-                part = sets[a:a + 1000]
+            for a in range(0, len(doc), 200):
+                part = sets[a:a + 200]
                 orders = [[(o := np.argsort(s * salt)[:_prefix(len(s), percent)], s[o].astype(np.uint32)
                             .view(np.int32))[1] for s in part] for salt in _SALTS]
                 yield pa.record_batch(
-                    [pa.array(doc[a:a + 1000], pa.int64()), *(pa.array(o, pa.list_(pa.int32())) for o in orders),
+                    [pa.array(doc[a:a + 200], pa.int64()), *(pa.array(o, pa.list_(pa.int32())) for o in orders),
                      pa.array([s.tobytes() for s in part], pa.binary())], ["doc", "order_2", "order_3", "members"])
+            del sets
+            W.give_back()
 
     return compared
 
@@ -149,6 +152,7 @@ def _linked(percent: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        W.give_back()
 
     return linked
 

@@ -16,7 +16,7 @@ import xxhash
 
 U = np.uint64
 #: Texts are taken in runs of about so many bytes, so that the arrays stay small.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -58,7 +58,10 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """``(from, to, words)`` for runs of rows; null is an empty text. ``fold`` lower-cases A-Z."""
+    """``(from, to, words)`` for runs of rows; null is an empty text. ``fold`` lower-cases A-Z.
+
+    After the last run freed memory goes back, so that an idle worker keeps little of what a batch took.
+    """
     data, off = _bytes_of(column)
     at = 0
     while at < len(column):
@@ -66,6 +69,7 @@ def runs(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, Words
         part, cuts = data[off[at]:off[to]], off[at:to + 1] - off[at]
         yield at, to, split(_FOLD[part] if fold else part, cuts)
         at = to
+    give_back()
 
 
 def split(data: np.ndarray, cuts: np.ndarray) -> Words:
