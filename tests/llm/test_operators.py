@@ -486,3 +486,15 @@ def test_pipeline_equals_plain_stages(spark):
             ids = tokenizer.encode(t, add_special_tokens=False).ids
             want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()))
     assert hit and rows(corpus_pipeline.run(spark, folder), "doc_id", "n_tokens", "ids_sha256") == sorted(want, key=repr)
+
+
+def test_equal_items_are_one_across_blocks(spark, monkeypatch):
+    """Equal items count under their smallest id, however small the blocks of items are."""
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = items.select("item_id", "text")
+    items = items.union(items.select(F.col("item_id") + 1000, F.upper("text"))).union(
+        items.select(-F.col("item_id") - 1, F.regexp_replace("text", " ", "\t")).where("item_id % 3 = 0"))
+    want = rows(seeds.overlaps(docs, items))
+    monkeypatch.setattr(seeds, "BLOCK_WORDS", 50)
+    assert want and rows(seeds.overlaps(docs, items)) == want

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import ascii_lower
 
 #: Families of masks, the most selective first; the last finds whatever has one equal word.
 MASKS = (("11111", "111101", "101111"), ("1111",), ("111", "1101", "1011"), ("111",), ("11", "101"), ("11",), ("1",))
@@ -199,10 +200,13 @@ def _matches(w: W.Words, items: SimpleNamespace, least: int, percent: int) -> di
 
 def _blocks(benchmark: DataFrame, key: str, text: str, masks, min_words: int, least: int,
             percent: int) -> Iterator[SimpleNamespace]:
-    """Index the test items block by block, in order of id, so that equal items meet early."""
+    """Index the test items block by block; equal items are one before, under their smallest id."""
     rows, size = [], 0
-    items = benchmark.select(F.col(key).cast("long"), text).where(f"{text} is not null and {key} is not null")
-    for r in items.orderBy(key, text).toLocalIterator():
+    plain = F.array_join(F.regexp_extract_all(ascii_lower(F.col(text)), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
+    items = (benchmark.where(f"{text} is not null and {key} is not null")
+             .select(F.col(key).cast("long").alias("id"), plain.alias("words")).where("words <> ''")
+             .groupBy("words").agg(F.min("id").alias("id")).select("id", "words"))
+    for r in items.orderBy("id", "words").toLocalIterator():
         n = len(r[1].split())
         if rows and size + n > BLOCK_WORDS:
             yield index_items(rows, masks, min_words, least, percent)
