@@ -117,7 +117,7 @@ def test_t12_union_is_order_free_and_lossless(spark):
 def test_large_versions_are_merged(spark):
     shared = [f"line {i}" for i in range(500)]
     x, y = shared[:250] + ["ours"] + shared[250:], shared[:400] + ["theirs"] + shared[400:]
-    assert len(x) * len(y) > lines.PAIR_BUDGET
+    assert len(x) * len(y) > 200_000
     df = spark.createDataFrame([(1, "\n".join(t)) for t in (x, y)], "file_id long, body string")
     (got,) = [r.body.split("\n") for r in text.line_union(df).collect()]
     assert got == shared[:250] + ["ours"] + shared[250:400] + ["theirs"] + shared[400:]
@@ -133,7 +133,8 @@ def test_nul_behind_the_head_is_not_merged():
 
 def test_t12_budget_concatenates():
     x, y = "\n".join(map(str, range(500))), "\n".join(map(str, range(401)))
-    assert lines.union_lines(x, y) == x + "\n" + y
+    assert lines.union_lines(x, y, 200_000) == x + "\n" + y
+    assert lines.union_lines(x, y) == x
     assert lines.union_lines(x, y, 10**9) == x
     assert lines.union_lines(x, x) == x
 
@@ -239,7 +240,7 @@ def test_shared_history(spark):
 def test_edit_plan(spark):
     df = spark.createDataFrame([(1, "a", "a"), (2, "", "b"), (3, "a", "x" * 3000), (4, "ab", "ac")],
                                "file_id long, old string, new string")
-    plan, edits = text.text_edits(df)
+    plan, edits = text.text_edits(df, text.DIFF_BUDGET)
     assert {r.file_id: r.action for r in plan.collect()} == {1: "noop", 2: "seed", 3: "reseed", 4: "edit"}
     assert {r.file_id for r in edits.collect()} == {4}
 

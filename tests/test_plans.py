@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import causal, gates
-from tidemark.plans.folds import fold_rounds
+from tidemark.plans.folds import fold_sorted
 from tidemark.plans.ordered import Running, first_per_key, number_rows, running, text_bucket
 from tidemark.plans.skew import attach, attach_small
 
@@ -118,13 +118,19 @@ def test_register_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
-def test_fold_rounds_handles_groups_of_any_size(spark):
-    rows = [(g, i, f"{g}{i}") for g, n in (("a", 1), ("b", 4), ("c", 2)) for i in range(1, n + 1)]
-    df = spark.createDataFrame(rows, "g string, rank long, body string")
-    state = df.where("rank = 1").select("g", "body")
-    out = fold_rounds(df, ["g"], "rank", state,
-                      lambda p: p.assign(body=p["body"] + ">" + p["next_body"]))
-    assert {r.g: r.body for r in out.collect()} == {"a": "a1", "b": "b1>b2>b3>b4", "c": "c1>c2"}
+def test_fold_sorted_reads_groups_of_any_size_in_order(spark):
+    rows = [(g, i, f"{g}{i}") for g, n in (("a", 1), ("b", 5000), (None, 2), ("c", 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, at long, body string").repartition(7)
+
+    def fold(group):
+        first = next(group)
+        return {"g": first["g"], "body": ">".join([first["body"], *(r["body"] for r in group if r["at"] < 4)])}
+
+    out = {r.g: r.body for r in fold_sorted(df, ["g"], ["at"], fold, "g string, body string").collect()}
+    assert out == {"a": "a0", "b": "b0>b1>b2>b3", None: "None0>None1", "c": "c0>c1>c2>c3"}
+    first = fold_sorted(df, ["g"], ["at"], lambda g: next(g) if True else None, "g string, at long, body string")
+    assert {(r.g, r.at) for r in first.collect()} == {("a", 0), ("b", 0), (None, 0), ("c", 0)}
+    assert fold_sorted(df, ["g"], ["at"], lambda g: None, "g string").count() == 0
 
 
 def test_record_layout_prunes_keyspaces_and_cursors(spark, tmp_path):

@@ -271,17 +271,102 @@ def text_bases(i: Inputs):
     return prop_texts(i).unionByName(base)
 
 
-@query("m4_resolve_three_way")
+KEYED = """select sha256(props) ref, any_value(cast(regexp_extract(props,'[0-9]+') as bigint)) k from events group by 1"""
+
+
+def edited(*e: str) -> str:
+    """SQL of the three-line text with the given edits."""
+    line = [f"coalesce('edit '||{x}, 'line {n}')" for n, x in enumerate(e)]
+    return f"{line[0]}||chr(10)||'same'||chr(10)||{line[1]}||chr(10)||'same too'||chr(10)||{line[2]}"
+
+
+# Values of a file meet in order: state and next value, until a pair cannot merge.
+THREE_WAY = f"""with recursive r as (select c.vault_id, c.file_id, path, ms, cnt, node, blob_ref ref, tombstone t,
+ case when x.k%3=0 then x.k end e0, case when x.k%3=1 then x.k end e1, case when x.k%3=2 then x.k end e2,
+ blob_ref in (select blob_id from blobs) reach, row_number() over (partition by c.vault_id, c.file_id order by ms,cnt,node) i,
+ count(*) over (partition by c.vault_id, c.file_id) n,
+ max({{'ms': ms, 'cnt': cnt}}) over (partition by c.vault_id, c.file_id) top from conf c left join ({KEYED}) x on x.ref=c.blob_ref),
+ s as (select vault_id, file_id, path, ms, cnt, node, ref, t, e0, e1, e2, reach, i, 'same-blob' strategy, '' loser_ref,
+ cast(0 as bigint) loser_ms, '' loser_node, false stop from r where i=1 union all
+ select vault_id, file_id, case when win='b' then bp else path end, case win when 'b' then bms when 'm' then top.ms else ms end,
+ case win when 'b' then bcnt when 'm' then greatest(top.cnt, cnt)+1 else cnt end, case when win='b' then bnode else node end,
+ case win when 'b' then bref when 'm' then sha256({edited('coalesce(e0,b0)', 'coalesce(e1,b1)', 'coalesce(e2,b2)')}) else ref end,
+ case win when 'b' then bt when 'm' then false else t end,
+ case win when 'b' then b0 when 'm' then coalesce(e0,b0) else e0 end, case win when 'b' then b1 when 'm' then coalesce(e1,b1) else e1 end,
+ case win when 'b' then b2 when 'm' then coalesce(e2,b2) else e2 end,
+ case win when 'b' then breach when 'm' then true else reach end, bi,
+ case kind when 'same' then 'same-blob' when 'tomb' then 'tombstone-loses' when 'merge' then '3-way-merge'
+ else case when not (case when win='b' then reach else breach end) then 'lww-lossy' else 'lww' end end,
+ case when kind in ('tomb','lww') then case when win='b' then ref else bref end else '' end,
+ case when kind in ('tomb','lww') then case when win='b' then ms else bms end else 0 end,
+ case when kind in ('tomb','lww') then case when win='b' then node else bnode end else '' end, kind in ('tomb','lww')
+ from (select *, case kind when 'merge' then 'm' when 'tomb' then case when t then 'b' else 'a' end
+ else case when (ms,cnt,node) >= (bms,bcnt,bnode) then 'a' else 'b' end end win from (select s.*, top, b.path bp, b.ms bms,
+ b.cnt bcnt, b.node bnode, b.ref bref, b.t bt, b.e0 b0, b.e1 b1, b.e2 b2, b.reach breach, b.i bi,
+ case when s.ref=b.ref and s.t=b.t then 'same' when s.t<>b.t then 'tomb'
+ when coalesce(s.e0<>b.e0,false) or coalesce(s.e1<>b.e1,false) or coalesce(s.e2<>b.e2,false) then 'lww' else 'merge' end kind
+ from s join r b on b.vault_id=s.vault_id and b.file_id=s.file_id and b.i=s.i+1 where not s.stop)))
+ select vault_id, file_id, path, ref winner_ref, loser_ref, case when loser_node<>'' and strategy<>'lww-lossy' then
+ {COPY.format(p='path', m='loser_ms', n='loser_node')} else '' end copy_path, strategy,
+ case when not t then {edited('e0', 'e1', 'e2')} end text from s
+ qualify row_number() over (partition by vault_id, file_id order by i desc)=1"""
+
+
+@query("m4_resolve_three_way", THREE_WAY)
 def m4_texts(i: Inputs):
     c = settle(conf(i))
     base = c.select(*VAULT_KEYS, F.lit("base").alias("base_ref")).distinct()
     return merge.resolve(c, i.blobs(), base, settle(text_bases(i)))
 
 
-@query("m5_resolution_report", f"""select strategy, count(*) files, count(*) filter (strategy='lww-lossy') data_loss
- from ({RESOLVED}) group by 1""")
+# Contents with an even number are sequences: a common beginning and an entry of their own behind it.
+COMMON = "one\ntwo\nthree\n"
+
+
+def readable_texts(i: Inputs):
+    """``(blob_ref, text)`` of the stored contents, and the entries of those that are sequences."""
+    stored = i.blobs().select(F.col("blob_id").alias("blob_ref")).distinct()
+    texts = settle(prop_texts(i).join(stored, "blob_ref", "left_semi").join(
+        i.table("events").select(F.sha2("props", 256).alias("blob_ref"),
+                                 F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("k")).distinct(), "blob_ref")
+        .select("blob_ref", F.when(F.col("k") % 2 == 0, COMMON + "+").otherwise(F.col("text")).alias("text"), "k"))
+    even = texts.where("k % 2 = 0").select("blob_ref")
+    seeds = text.seed_sequence(even.withColumn("text", F.lit(COMMON)), "blob_ref").withColumnRenamed("file_id", "blob_ref")
+    own = even.select("blob_ref", F.lit(1).cast("long").alias("ms"), F.lit(1).cast("long").alias("cnt"),
+                      F.substring("blob_ref", 1, 12).alias("node"), F.lit(0).cast("long").alias("p_ms"),
+                      F.lit(len(COMMON)).cast("long").alias("p_cnt"), F.lit(text.SEED).alias("p_node"),
+                      F.lit("R").alias("side"), F.lit("+").alias("value"), F.lit(False).alias("deleted"))
+    return texts.drop("k"), seeds.unionByName(own)
+
+
+ROUTED = f"""with k as ({KEYED}), tx as (select ref, k, case when k%2=0 then 'one'||chr(10)||'two'||chr(10)||'three'||chr(10)||'+'
+ else {edited('case when k%3=0 then k end', 'case when k%3=1 then k end', 'case when k%3=2 then k end')} end txt
+ from k where ref in (select blob_id from blobs)),
+ x as (select vault_id, file_id, c.tombstone, tx.ref, tx.k, txt from conf c left join tx on tx.ref=c.blob_ref and not c.tombstone
+ where {IS_TEXT}),
+ g as (select vault_id, file_id, count(ref) live, count(distinct ref) refs, bool_and(k%2=0) even, any_value(txt) one from x group by 1,2),
+ o as (select *, case when live=0 then 'fugue-tombstone' when live>=2 and refs>1 and not even then 'text-union' else 'fugue-join' end strategy,
+ case when even then 'one'||chr(10)||'two'||chr(10)||'three'||chr(10)||repeat('+', cast(refs as int)) else one end joined from g)"""
+
+
+@query("m9_resolve_text", f"""{ROUTED}, l as (select distinct vault_id, file_id, unnest(string_split(case when strategy='text-union'
+ then txt else joined end, chr(10))) line from o join x using (vault_id, file_id) where strategy<>'fugue-tombstone' and ref is not null)
+ select o.vault_id, o.file_id, strategy, case when strategy='fugue-join' then sha256(joined) else '' end winner_ref,
+ sha256(coalesce(string_agg(line, chr(10) order by line), '')) lines_sha from o left join l on l.vault_id=o.vault_id
+ and l.file_id=o.file_id group by all""")
+def m9_text(i: Inputs):
+    texts, sequences = readable_texts(i)
+    out = merge.resolve_text(settle(conf(i)), texts, sequences)
+    lines = F.array_join(F.sort_array(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))), "\n")
+    return out.select(*VAULT_KEYS, "strategy", "winner_ref", F.sha2(lines, 256).alias("lines_sha"))
+
+
+@query("m5_resolution_report", f"""{ROUTED} select strategy, count(*) files, count(*) filter (strategy='lww-lossy') data_loss
+ from (select strategy from o union all select strategy from ({RESOLVED}) b where not exists
+ (select 1 from o where o.vault_id=b.vault_id and o.file_id=b.file_id)) group by 1""")
 def m5(i: Inputs):
-    return merge.resolution_report(merge.resolve(settle(conf(i)), i.blobs()))
+    texts, sequences = readable_texts(i)
+    return merge.resolution_report(merge.resolve_files(settle(conf(i)), i.blobs(), texts, sequences))
 
 
 @query("m6_three_way_text", """select conv_id file_id, 'ours first'||chr(10)||body||chr(10)||'theirs last' merged from
@@ -384,7 +469,7 @@ def m12_tree(i: Inputs):
  when (length(a.body)+length(b.body))*abs(length(b.body)-length(a.body))>5000000 then 'reseed' else 'edit' end "action"
  from versions a join versions b on a.file_id=b.file_id and a.version='A' and b.version='B'""")
 def m13(i: Inputs):
-    return text.text_edits(version_pairs(i))[0]
+    return text.text_edits(version_pairs(i), text.DIFF_BUDGET)[0]
 
 
 def version_pairs(i: Inputs):
@@ -398,7 +483,7 @@ def version_pairs(i: Inputs):
  where a.body<>b.body and a.body<>'' and
  (length(a.body)+length(b.body))*abs(length(b.body)-length(a.body))<=5000000""")
 def m13_rows(i: Inputs):
-    edits = text.text_edits(version_pairs(i))[1]
+    edits = text.text_edits(version_pairs(i), text.DIFF_BUDGET)[1]
     return edits.groupBy("file_id").agg(F.sum(F.when(F.col("op") == "ins", 1).otherwise(-1)).alias("growth"))
 
 
@@ -670,19 +755,24 @@ def h13(i: Inputs):
         "event_id", "vault_id", "blob_ref", "ms", "cnt", "node")
 
 
-@query("u1_conflict_policy", """select vault_id, file_id, case when bool_or(tombstone) then 'remove-wins' else 'newest' end strategy
- from conf group by 1,2 having count(*)=2 and min(blob_ref)<>max(blob_ref)""")
+# The fold ends at the first value that differs from the oldest one: values before it agree.
+@query("u1_conflict_policy", """with r as (select *, row_number() over (partition by vault_id, file_id order by ms,cnt,node) i from conf),
+ d as (select r.vault_id, r.file_id, min(r.i) filter (r.blob_ref<>f.blob_ref) di from r join r f on f.vault_id=r.vault_id
+ and f.file_id=r.file_id and f.i=1 group by 1,2)
+ select d.vault_id, d.file_id, case when di is null then 'same-blob' when a.tombstone or b.tombstone then 'remove-wins'
+ else 'newest' end strategy, case when di is null then a.blob_ref when a.tombstone then a.blob_ref else b.blob_ref end winner_ref
+ from d join r a on a.vault_id=d.vault_id and a.file_id=d.file_id and a.i=1
+ left join r b on b.vault_id=d.vault_id and b.file_id=d.file_id and b.i=di""")
 def u1(i: Inputs):
     def remove_wins(ours, theirs, base):
+        if ours["blob_ref"] == theirs["blob_ref"]:
+            return {"winner": "theirs", "strategy": "same-blob"}
         if ours["tombstone"] or theirs["tombstone"]:
             return {"winner": "ours" if ours["tombstone"] else "theirs", "strategy": "remove-wins"}
         return {"winner": "theirs", "strategy": "newest"}
 
-    c = settle(causal.current_values(i.registers()).where("n_values = 2").drop("n_values"))
-    differ = c.groupBy(*VAULT_KEYS).agg(F.min("blob_ref").alias("a"), F.max("blob_ref").alias("b"))
-    out = merge.resolve(c.join(differ.where("a <> b").select(*VAULT_KEYS), VAULT_KEYS, "left_semi"),
-                        i.blobs(), policy=remove_wins)
-    return out.select(*VAULT_KEYS, "strategy")
+    out = merge.resolve(settle(conf(i)), i.blobs(), policy=remove_wins)
+    return out.select(*VAULT_KEYS, "strategy", "winner_ref")
 
 
 @query("u4_chunk_table_function", """select cast(doc_id as varchar) file_id, cast(0 as bigint) first_off,

@@ -169,8 +169,9 @@ def with_fixtures(body: str) -> str:
     if not ctes:
         return body
     body = body.strip()
-    if body.startswith("with "):
-        return f"with {ctes},\n{body[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):
+            return f"{start}{ctes},\n{body.removeprefix(start)}"
     return f"with {ctes}\n{body}"
 
 

@@ -7,10 +7,8 @@ import math
 
 import numpy as np
 
-PAIR_BUDGET = 200_000
 
-
-def union_lines(x: str, y: str, budget: int | None = PAIR_BUDGET) -> str:
+def union_lines(x: str, y: str, budget: int | None = None) -> str:
     """Lossless union of two texts given in canonical order.
 
     Lines of a longest common subsequence appear once; between them come the lines of

@@ -10,17 +10,16 @@ import hashlib
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
 from ..functions.lines import merge3
 from ..functions.paths import classify_text, conflict_copy_path
-from ..plans.folds import fold_rounds
-from ..plans.ordered import DAY_MS, number_rows, time_bucket
+from ..plans.folds import fold_sorted
 from ..plans.skew import attach
 from ..session import settle
+from . import text
 from .causal import FILE, current_values
 
 # A policy gets (accumulated value, next value, base text or None) and returns a dict with
@@ -78,11 +77,11 @@ def resolve(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | None = Non
     Without texts and policy the fold has a closed form: values older than the first one
     that differs from the oldest all agree, so that pair decides. With ``texts``
     (``blob_ref, text``) and ``base`` (``FILE, base_ref``) text pairs merge three-way first,
-    and a ``policy`` (U1) replaces the pair rule; both run one step per round.
+    and a ``policy`` (U1) replaces the pair rule; both fold in one sorted pass over the values.
     """
     if policy is None and texts is None:
         return _resolve_closed(conflicts, blobs)
-    return _resolve_rounds(conflicts, blobs, base, texts, policy or _default_pair)
+    return _resolve_folded(conflicts, blobs, base, texts, policy or _default_pair)
 
 
 def _resolve_closed(conflicts: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -138,7 +137,11 @@ def _default_pair(ours: dict[str, Any], theirs: dict[str, Any],
 STATE = ["path", "ms", "cnt", "node", "blob_ref", "tombstone", "text", "reachable"]
 
 
-def _resolve_rounds(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | None,
+_OUTCOME = ("vault_id string, file_id string, path string, winner_ref string, loser_ref string, loser_ms long, "
+            "loser_node string, strategy string, text string")
+
+
+def _resolve_folded(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | None,
                     texts: DataFrame | None, policy: Policy) -> DataFrame:
     spark = conflicts.sparkSession
     if texts is None:
@@ -147,44 +150,45 @@ def _resolve_rounds(conflicts: DataFrame, blobs: DataFrame, base: DataFrame | No
         base = spark.createDataFrame([], "vault_id string, file_id string, base_ref string")
     stored = blobs.select(F.col("blob_id").alias("blob_ref")).distinct().withColumn(
         "reachable", F.lit(True))
-    full = attach(attach(conflicts.select(*FILE, *STATE[:6]), texts, ["blob_ref"]), stored,
-                  ["blob_ref"]).withColumn("reachable", F.coalesce("reachable", F.lit(False)))
-    ranked = settle(number_rows(settle(full), FILE, [hlc()], time_bucket("ms", DAY_MS), "rank")
-                    .select(*FILE, "rank", *STATE))
-    base_text = base.join(texts.select(F.col("blob_ref").alias("base_ref"),
-                                       F.col("text").alias("base_text")), "base_ref", "left")
-    newest = conflicts.groupBy(*FILE).agg(F.max(F.struct("ms", "cnt")).alias("_top"))
-    state = ranked.where("rank = 1").join(newest, FILE).join(
-        base_text.select(*FILE, "base_text"), FILE, "left").select(
-        *FILE, *STATE, "base_text", F.col("_top.ms").alias("top_ms"),
-        F.col("_top.cnt").alias("top_cnt"), F.lit("same-blob").alias("strategy"),
-        F.lit("").alias("loser_ref"), F.lit(0).cast("long").alias("loser_ms"),
-        F.lit("").alias("loser_node"), F.lit(False).alias("stop"))
-
-    columns = state.columns
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [_fold_pair(r, policy) for r in pdf.astype(object).where(
-            pdf.notna(), None).to_dict("records")]
-        return pd.DataFrame(rows, columns=columns)
-
-    done = fold_rounds(ranked, FILE, "rank", state, step, done="stop")
+    values = attach(attach(conflicts.select(*FILE, *STATE[:6]), texts, ["blob_ref"]), stored,
+                    ["blob_ref"]).select(*FILE, F.lit(1).alias("_part"), *STATE[:7],
+                                         F.coalesce("reachable", F.lit(False)).alias("reachable"))
+    # Ahead of a file's values: the stamp of the newest and the text all of them came from.
+    base_text = base.join(texts.select(F.col("blob_ref").alias("base_ref"), "text"), "base_ref", "left")
+    heads = (conflicts.groupBy(*FILE).agg(F.max(F.struct("ms", "cnt")).alias("_top"))
+             .join(base_text.select(*FILE, "text"), FILE, "left")
+             .select(*FILE, F.lit(0).alias("_part"), F.col("_top.ms").alias("ms"), F.col("_top.cnt").alias("cnt"), "text"))
+    rows = values.unionByName(heads, allowMissingColumns=True)
+
+    def fold(group):
+        head = next(group)
+        state = None
+        for value in group:
+            ours = {c: value[c] for c in STATE}
+            state = {**ours, "strategy": "same-blob", "loser_ref": "", "loser_ms": 0, "loser_node": "",
+                     "stop": False} if state is None else _fold_pair(state, ours, head, policy)
+            if state["stop"]:
+                break
+        return {**{k: head[k] for k in FILE}, "winner_ref": state["blob_ref"],
+                **{k: state[k] for k in ("path", "loser_ref", "loser_ms", "loser_node", "strategy", "text")}}
+
+    done = fold_sorted(rows, FILE, ["_part", "ms", "cnt", "node"], fold, _OUTCOME)
     copy = conflict_copy_path("path", "loser_ms", "loser_node")
     return done.select(
-        *FILE, "path", F.col("blob_ref").alias("winner_ref"), "loser_ref",
+        *FILE, "path", "winner_ref", "loser_ref",
         F.when((F.col("loser_node") != "") & (F.col("strategy") != "lww-lossy"), copy)
         .otherwise("").alias("copy_path"), "strategy", "text")
 
 
-def _fold_pair(row: dict[str, Any], policy: Policy) -> dict[str, Any]:
-    ours = {c: row[c] for c in STATE}
-    theirs = {c: row[f"next_{c}"] for c in STATE}
-    out = policy(ours, theirs, row["base_text"])
-    state = {k: v for k, v in row.items() if not k.startswith("next_")}
+def _fold_pair(state: dict[str, Any], theirs: dict[str, Any], head: dict[str, Any],
+               policy: Policy) -> dict[str, Any]:
+    ours = {c: state[c] for c in STATE}
+    out = policy(ours, theirs, head["text"])
+    state = dict(state)
     if out["winner"] == "merged":
         # A merge is stamped now, after every value of the file.
         state.update(text=out["text"], blob_ref=hashlib.sha256(out["text"].encode()).hexdigest(),
-                     ms=row["top_ms"], cnt=max(row["top_cnt"], ours["cnt"]) + 1, tombstone=False, reachable=True,
+                     ms=head["ms"], cnt=max(head["cnt"], ours["cnt"]) + 1, tombstone=False, reachable=True,
                      strategy=out["strategy"])
         return state
     winner, loser = (theirs, ours) if out["winner"] == "theirs" else (ours, theirs)
@@ -198,6 +202,56 @@ def _fold_pair(row: dict[str, Any], policy: Policy) -> dict[str, Any]:
     return state
 
 
+def resolve_text(conflicts: DataFrame, texts: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
+    """M9 carried out: ``(FILE, strategy, winner_ref, text)`` of every conflicted text file.
+
+    ``texts`` are the readable blobs ``(blob_ref, text)``; ``sequences`` the entries ``(blob_ref, ms, cnt, node, p_ms,
+    p_cnt, p_node, side, value, deleted)`` of those that are character sequences, others are seeded from their
+    text. Without a readable live value the file is deleted; values that share history join as sequences, a
+    single one stands for itself; others are shown as their line union, for which no value is written, so its
+    ``winner_ref`` is empty. An empty text counts as readable.
+    """
+    values = conflicts.where(classify_text("path") & ~F.col("tombstone")).select(
+        F.struct(*FILE).alias("file_id"), hlc().alias("version"), "blob_ref")
+    live = settle(values.join(texts.select("blob_ref", "text"), "blob_ref")
+                  .select("file_id", "version", "blob_ref", "text"))
+    entry = ["ms", "cnt", "node", "p_ms", "p_cnt", "p_node", "side", "value", "deleted"]
+    if sequences is None:
+        known, raw = None, live
+    else:
+        known = live.join(sequences, "blob_ref").select("file_id", "version", *entry)
+        raw = live.join(sequences.select("blob_ref").distinct(), "blob_ref", "left_anti")
+    seeded = text.seed_sequence(raw.select(F.struct("file_id", "version").alias("of"), "text"), "of").select(
+        F.col("file_id.file_id").alias("file_id"), F.col("file_id.version").alias("version"), *entry)
+    entries = settle(seeded if known is None else known.unionByName(seeded))
+    shares = shares_history(entries.select("file_id", F.struct(*text.DOT).alias("dot"),
+                                           "version", F.col("value").alias("val")))
+    routed = settle(text_strategy(conflicts, texts, shares.select("file_id.*", "shares")))
+    files = routed.select(F.struct(*FILE).alias("file_id"), "strategy")
+
+    def of(rows, strategy):
+        return rows.join(files.where(F.col("strategy") == strategy).select("file_id"), "file_id", "left_semi")
+
+    union = text.line_union(of(live, "text-union").select("file_id", F.col("text").alias("body")))
+    joined = text.sequence_text(text.sequence_join(of(entries.drop("version"), "fugue-join")))
+    bodies = union.select("file_id", F.col("body").alias("text")).unionByName(joined)
+    out = files.join(bodies, "file_id", "left")
+    shown = F.when(F.col("strategy") != "fugue-tombstone", F.coalesce("text", F.lit("")))
+    return out.select("file_id.*", "strategy", F.when(F.col("strategy") == "fugue-join", F.sha2(shown, 256))
+                      .otherwise("").alias("winner_ref"), shown.alias("text"))
+
+
+def resolve_files(conflicts: DataFrame, blobs: DataFrame, texts: DataFrame,
+                  sequences: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    """M4 + M9. ``(FILE, strategy, winner_ref, text)`` of every conflict: text files by `resolve_text`, others folded."""
+    is_text = conflicts.where(classify_text("path")).select(*FILE).distinct()
+    others = conflicts.join(is_text, FILE, "left_anti")
+    folded = resolve(others, blobs, base, None if base is None else texts)
+    columns = [*FILE, "strategy", "winner_ref"]
+    held = "text" if "text" in folded.columns else F.lit(None).cast("string").alias("text")
+    return resolve_text(conflicts, texts, sequences).unionByName(folded.select(*columns, held))
+
+
 def resolution_report(outcomes: DataFrame) -> DataFrame:
     """M5. Files per strategy, and how many of them lost data."""
     return outcomes.groupBy("strategy").agg(
