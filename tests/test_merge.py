@@ -231,6 +231,50 @@ def test_prune_keeps_what_kept_entries_hang_on(spark):
     assert sum(r.dropped for r in dropped) == len(rows) - len(keep)
 
 
+def test_prune_goes_by_the_vault_of_an_entry(spark):
+    """Frontiers of two vaults: nothing doubles, and one vault's frontier frees nothing in the other."""
+    rows = [r for seed in (9, 10) for r in random_tree(seed, 40)]
+    one = spark.createDataFrame(random_tree(9, 40), SEQ)
+    both = one.withColumn("vault_id", F.lit("v")).unionByName(one.withColumn("vault_id", F.lit("u")))
+    fr = spark.createDataFrame([("v", "a", 0, 40), ("v", "b", 5, 10), ("u", "a", 0, 3)],
+                               "vault_id string, node string, ms long, cnt long")
+    after = text.prune_tombstones(both, fr)
+    for v in "vu":
+        alone = text.prune_tombstones(one, fr.where(F.col("vault_id") == v).drop("vault_id"))
+        got = after.where(F.col("vault_id") == v).select(*one.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
+    assert rows and {r.vault_id for r in text.prune_report(both, after).collect()} <= {"v", "u"}
+    with pytest.raises(ValueError):
+        text.prune_tombstones(one, fr)
+
+
+def conflict_values(spark, **files):
+    """Values ``(ms, ref)`` of note files; an empty ref is a tombstone."""
+    rows = [("v", f, f"{f}.md", ms, 0, f"n{ms}", ref, ref == "") for f, values in files.items() for ms, ref in values]
+    return spark.createDataFrame(rows, "vault_id string, file_id string, path string, ms long, cnt long, node string, "
+                                       "blob_ref string, tombstone boolean")
+
+
+def test_text_conflicts_go_by_their_strategy(spark):
+    c = conflict_values(spark, gone=[(1, ""), (2, "lost")], one=[(1, ""), (2, "x")], apart=[(1, "x"), (2, "y")],
+                        kin=[(1, "s1"), (2, "s2")], copies=[(1, "x"), (2, "x")])
+    texts = spark.createDataFrame([("x", "a\nb"), ("y", "a\nc"), ("s1", "hi1"), ("s2", "hi2")], "blob_ref string, text string")
+    base = text.seed_sequence(spark.createDataFrame([("s1", "hi"), ("s2", "hi")], "file_id string, text string"))
+    own = spark.createDataFrame([("s1", 1, 1, "p", 0, 2, "seed", "R", "1", False), ("s2", 2, 1, "q", 0, 2, "seed", "R", "2", False)],
+                                SEQ.replace("file_id long", "file_id string"))
+    sequences = base.unionByName(own).withColumnRenamed("file_id", "blob_ref")
+    got = {r.file_id: r for r in merge.resolve_text(c, texts, sequences).collect()}
+    assert {f: r.strategy for f, r in got.items()} == {
+        "gone": "fugue-tombstone", "one": "fugue-join", "apart": "text-union", "kin": "fugue-join", "copies": "fugue-join"}
+    assert got["gone"].text is None and got["gone"].winner_ref == ""
+    assert got["one"].text == got["copies"].text == "a\nb"
+    assert sorted(got["apart"].text.split("\n")) == ["a", "b", "c"] and got["apart"].winner_ref == ""
+    assert sorted(got["kin"].text) == sorted("hi12") and got["kin"].text.startswith("hi")
+    assert got["kin"].winner_ref == hashlib.sha256(got["kin"].text.encode()).hexdigest()
+    report = merge.resolution_report(merge.resolve_files(c, spark.createDataFrame([], "blob_id string"), texts, sequences))
+    assert {r.strategy: r.files for r in report.collect()} == {"fugue-tombstone": 1, "fugue-join": 3, "text-union": 1}
+
+
 def test_shared_history(spark):
     rows = [(1, 0, 1, "a"), (1, 1, 1, "a"), (2, 0, 1, "a"), (2, 1, 1, "b"), (3, 0, 1, "a"), (3, 1, 2, "a")]
     df = spark.createDataFrame(rows, "file_id long, version long, dot long, val string")

@@ -58,25 +58,28 @@ def test_hot_keys_are_few_and_largest(hot):
     assert hot_keys(hot, ["k"], 256, 10**6) == []
 
 
-def test_semi_and_anti_joins_for_hot_keys(hot, monkeypatch):
+def test_semi_and_anti_joins_for_hot_keys(hot):
     from tidemark.plans import skew
 
-    monkeypatch.setattr(skew, "HOT_ROWS", 10)
     known = hot.where("k in ('hot', 'k1')").select("k")
     assert skew.keep_known(hot, known, ["k"]).count() == hot.where("k in ('hot', 'k1')").count()
     assert skew.drop_known(hot, known, ["k"]).count() == hot.where("k not in ('hot', 'k1')").count()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_register_join_with_every_key_hot(spark, monkeypatch, seed):
+def test_register_join_of_one_file(spark, seed):
     from tests.helpers import frames, keys_of, lattice, random_log
-    from tidemark.plans import skew
 
-    monkeypatch.setattr(skew, "HOT_ROWS", 0)
     log = random_log(seed, 80, files=1)
     assert keys_of(causal.register_join(*frames(spark, log))) == lattice(log)
 
 
+def test_attach_starts_no_job(spark, hot):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    attach(hot, hot.groupBy("k").agg(F.max("v").alias("top")), ["k"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
 @pytest.mark.parametrize("bound", [2, 1000])
 def test_attach_small_on_both_sides_of_its_bound(hot, bound):
     lookup = hot.groupBy("k").agg(F.max("v").alias("top"))

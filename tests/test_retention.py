@@ -57,11 +57,16 @@ def test_orphans_spare_everything_pinned(spark):
     base = spark.createDataFrame([("v", "m2")], "vault_id string, blob_ref string")
     orphans = retention.orphan_blobs(plan, values, base)
     assert {r.ref for r in orphans.collect()} == {"m1", "b"}
-    store = spark.createDataFrame([(x,) for x in ("m1", "a", "b", "z")], "blob_id string")
+    # Another vault holds the same contents: what is an orphan in one is live in the other.
+    other = [("u", x) for x in ("m1", "a", "q")]
+    store = spark.createDataFrame([("v", x) for x in ("m1", "a", "b", "z")] + other, "vault_id string, blob_id string")
     left, kept = retention.apply_retention(plan, orphans, store)
-    assert {r.blob_id for r in left.collect()} == {"a", "z"} and [r.event_id for r in kept.collect()] == [3]
+    assert {tuple(r) for r in left.select("vault_id", "blob_id").collect()} == {("v", "a"), ("v", "z"), *other}
+    assert [r.event_id for r in kept.collect()] == [3]
+    values = values.unionByName(spark.createDataFrame([("u", "m1", ["z"])], values.schema))
     gone = retention.cache_gc(store, values, base)
-    assert {r.blob_id for r in gone.collect()} == {"m1", "b", "z"}
+    assert {tuple(r) for r in gone.select("vault_id", "blob_id").collect()} == {
+        ("v", "m1"), ("v", "b"), ("v", "z"), ("u", "a"), ("u", "q")}
     summary = retention.retention_summary(plan).head()
     assert (summary.total, summary.deleted, summary.kept, summary.active_devices) == (3, 2, 1, 1)
 
@@ -126,9 +131,14 @@ def test_restore_is_newer_than_everything(spark):
 def test_verify_counts(spark):
     records = spark.createDataFrame([("v", "f", "m", ["a", "b"], False), ("v", "g", "", [], True)],
                                     "vault_id string, file_id string, blob_ref string, chunks array<string>, tombstone boolean")
-    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "blob_id string")
-    r = blobs.verify_blobs(records, ids("m"), ids("a")).head()
+    ids = lambda *x: spark.createDataFrame(x, "vault_id string, blob_id string")
+    remote, cache = ids(("v", "m"), ("u", "a"), ("u", "b")), ids(("v", "a"), ("v", "q"), ("u", "b"))
+    r = blobs.verify_blobs(records, remote, cache).head()
     assert (r.referenced, r.missing, r.reuploaded, r.unhealable) == (3, 2, 1, 1)
-    assert [x.blob_id for x in blobs.heal_blobs(records, ids("m"), ids("a", "q")).collect()] == ["a"]
+    assert [tuple(x) for x in blobs.heal_blobs(records, remote, cache).collect()] == [("v", "a")]
+    asked = ids(("v", "m"), ("v", "m"), ("v", "a"), ("u", "a"), ("u", "m"))
+    assert sorted(map(tuple, blobs.blobs_exist(asked, remote).collect())) == [("u", "a"), ("v", "m")]
+    wanted = blobs.prefetch_plan(records.unionByName(records.withColumn("vault_id", F.lit("u"))), ids(("u", "m")))
+    assert [tuple(x) for x in wanted.collect()] == [("v", "m", 0)]
     known = blobs.known_chunks(records.withColumn("chunks", F.array().cast("array<string>")))
     assert [x.ref for x in known.collect()] == ["m"]

@@ -127,8 +127,13 @@ def test_registers_over_batches_and_reruns(spark, tmp_path):
     assert keys_of(reg.read_stream_registers(spark, str(tmp_path / "r"))) == lattice(log)
     body(df.where("server_seq < 20"), 0)  # a batch that runs again
     assert keys_of(reg.read_stream_registers(spark, str(tmp_path / "r"))) == lattice(log)
-    reg.compact_registers(spark, str(tmp_path / "r"), str(tmp_path / "r2"))
-    assert keys_of(reg.read_stream_registers(spark, str(tmp_path / "r2"))) == lattice(log)
+    before = reg.read_stream_registers(spark, str(tmp_path / "r"))
+    reg.compact_registers(spark, str(tmp_path / "r"), 3)
+    assert keys_of(reg.read_stream_registers(spark, str(tmp_path / "r"))) == lattice(log)
+    assert keys_of(before) == lattice(log)  # a reader stays on its version
+    again = spark.createDataFrame(df.where("server_seq % 3 = 0").collect(), df.schema)
+    body(again, 9)  # puts that come again later leave no second value
+    assert keys_of(reg.read_stream_registers(spark, str(tmp_path / "r"))) == lattice(log)
     w, c = frames(spark, log)
     assert w.count() == 80 and c.count() > 0
 
@@ -191,3 +196,46 @@ def test_blob_with_a_hole_beside_an_overlap_is_not_whole(spark):
     df = spark.createDataFrame(rows, "blob_id string, off long, len long, last boolean, total long")
     got = {r.blob_id: r.complete for r in ev.assemble_blobs(df).collect()}
     assert got == {"hole": False, "whole": True}
+
+
+def test_keyed_table_versions(spark, tmp_path):
+    """Only touched buckets are rewritten; of two writers one begins again; nothing of a batch is applied twice."""
+    from tidemark.sources.keyed import KeyedTable
+
+    rows = lambda *x: spark.createDataFrame(x, "k long, v long")
+    table = KeyedTable(spark, str(tmp_path / "t"), rows((1, 1)).schema, ["k"], 8)
+    held = lambda v=None: {r.k: r.v for r in table.read(v).collect()}
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("v").alias("v"))
+    assert held() == {} and table.version()["version"] == 0
+    first = table.update(rows(*[(k, 1) for k in range(50)], (None, 1)), add, 0)
+    assert held() == {**{k: 1 for k in range(50)}, None: 1}
+    second = table.update(rows((7, 10)), add, 1)
+    changed = [b for b in first["folders"] if first["folders"][b] != second["folders"][b]]
+    assert len(changed) == 1 and held()[7] == 11 and held(first)[7] == 1
+    assert table.update(rows((7, 10)), add, 1) == second and held()[7] == 11
+
+    calls = []
+
+    def slow(old, new):
+        if not calls:  # another writer is faster
+            calls.append(table.rebuild(3)["version"])
+        return add(old, new)
+
+    third = table.update(rows((7, 100), (999, 5)), slow, 2)
+    assert third["version"] == calls[0] + 1 and third["buckets"] == 3
+    assert held() == {**{k: 1 for k in range(50)}, None: 1, 7: 111, 999: 5} and held(second)[7] == 11
+    gone = table.update(rows((7, 0), (None, 0)), lambda old, new: old.where("k <> 7"), 3)
+    assert 7 not in held() and gone["batch"] == 3
+    assert table.update(rows((1, 0)).where("false"), add, 4)["batch"] == 4
+    # A version that is still being written does not count.
+    (tmp_path / "t" / "versions" / f"{99:020d}.json").write_text("{")
+    assert table.version()["batch"] == 4
+
+
+def test_a_damaged_folder_is_no_empty_table(spark, tmp_path):
+    folder = tmp_path / "h"
+    folder.mkdir()
+    (folder / "part-0.parquet").write_text("no parquet")
+    body = reg.stream_history(str(folder))
+    with pytest.raises(Exception):
+        body(puts(spark, random_log(1, 10)), 1)

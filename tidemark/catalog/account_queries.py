@@ -449,20 +449,32 @@ def e4_ids(i: Inputs):
         refused.select("upload_id", "seq", F.lit(-1).cast("long").alias("blob_id")))
 
 
-def put_stream(i: Inputs):
-    """The write log with context maps, as files a stream reads."""
+def put_stream(i: Inputs, batches: int = 1):
+    """The write log with context maps, as files a stream reads, one for each batch if there are several."""
     ctx = i.c().groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "h"))).alias("context"))
     puts = i.w().join(ctx, "event_id", "left").withColumn("context", F.coalesce(
         "context", F.expr("cast(map() as map<string,struct<ms:bigint,cnt:bigint>>)")))
     src = scratch_folder(i.spark, "puts")
-    puts.write.parquet(src)
-    return i.spark.readStream.schema(puts.schema).parquet(src)
+    if batches == 1:
+        puts.write.parquet(src)
+        return i.spark.readStream.schema(puts.schema).parquet(src)
+    puts.repartition(batches, "event_id").write.parquet(src)
+    return i.spark.readStream.schema(puts.schema).option("maxFilesPerTrigger", 1).parquet(src)
 
 
 @query("e5_stream_registers", "select event_id, vault_id, file_id from surv")
 def e5(i: Inputs):
     out = scratch_folder(i.spark, "stream-registers")
-    reg.run_available(put_stream(i), reg.stream_registers(out), f"{out}/progress")
+    body = reg.stream_registers(out, 8)
+
+    def twice(puts, batch):
+        """Every batch runs again, and the table is compacted between batches."""
+        body(puts, batch)
+        if batch == 1:
+            reg.compact_registers(i.spark, out, 5)
+        body(puts, batch)
+
+    reg.run_available(put_stream(i, 4), twice, f"{out}/progress")
     return reg.read_stream_registers(i.spark, out).select("event_id", *VAULT_KEYS)
 
 

@@ -18,24 +18,24 @@ NOT_HIDDEN = "not (path like '.%' or path like '%/.%')"
 
 
 def remote(i: Inputs):
-    return i.blobs().where("store = 'remote'")
+    return i.vault_blobs().where("store = 'remote'")
 
 
 def local(i: Inputs):
-    return i.blobs().where("store = 'local'")
+    return i.vault_blobs().where("store = 'local'")
 
 
 # J -------------------------------------------------------------------------------------
-@query("j1_blobs_exist", """select distinct ref blob_id from refs where ref in
- (select blob_id from blobs where store='remote')""")
+@query("j1_blobs_exist", """select distinct vault_id, ref blob_id from refs r where exists (select 1 from vault_blobs b
+ where b.vault_id=r.vault_id and b.blob_id=r.ref and store='remote')""")
 def j1(i: Inputs):
-    return blobs.blobs_exist(i.refs().select(F.col("ref").alias("blob_id")).distinct(), remote(i))
+    return blobs.blobs_exist(i.refs().select("vault_id", F.col("ref").alias("blob_id")), remote(i))
 
 
 @query("j2_upload_plan", """select distinct ref from refs where ref not in
  (select blob_id from blobs where store='remote')""")
 def j2(i: Inputs):
-    return blobs.upload_plan(i.refs(), remote(i).withColumnRenamed("blob_id", "ref"))
+    return blobs.upload_plan(i.refs(), i.blobs().where("store = 'remote'").withColumnRenamed("blob_id", "ref"))
 
 
 @query("j3_known_chunks", """select distinct vault_id, ref from (select vault_id, 'c'||k ref from reg
@@ -48,14 +48,14 @@ def j3(i: Inputs):
 
 
 @query("j4_prefetch_plan", """with m as (select distinct vault_id, blob_ref ref from w where not tombstone
- and blob_ref not in (select blob_id from blobs where store='remote'))
+ and (vault_id, blob_ref) not in (select (vault_id, blob_id) from vault_blobs where store='remote'))
  select vault_id, ref, (row_number() over (partition by vault_id order by ref)-1)//8 batch_no from m""")
 def j4(i: Inputs):
     return blobs.prefetch_plan(i.w(), remote(i))
 
 
-MISSING = """miss as (select *, exists(select 1 from blobs b where b.blob_id=r.ref and store='remote') on_remote,
- exists(select 1 from blobs b where b.blob_id=r.ref and store='local') in_cache
+MISSING = """miss as (select *, exists(select 1 from vault_blobs b where b.vault_id=r.vault_id and b.blob_id=r.ref and store='remote') on_remote,
+ exists(select 1 from vault_blobs b where b.vault_id=r.vault_id and b.blob_id=r.ref and store='local') in_cache
  from (select distinct vault_id, ref from regrefs) r)"""
 
 
@@ -66,8 +66,8 @@ def j5(i: Inputs):
     return blobs.verify_blobs(i.registers(), remote(i), local(i))
 
 
-@query("j6_heal_blobs", f"""with {MISSING} select distinct b.blob_id, b.store from blobs b
- join miss on b.blob_id=ref where store='local' and not on_remote""")
+@query("j6_heal_blobs", f"""with {MISSING} select distinct b.vault_id, b.blob_id, b.store from vault_blobs b
+ join miss on b.vault_id=miss.vault_id and b.blob_id=ref where store='local' and not on_remote""")
 def j6(i: Inputs):
     return blobs.heal_blobs(i.registers(), remote(i), local(i))
 
@@ -487,13 +487,16 @@ def m13_rows(i: Inputs):
     return edits.groupBy("file_id").agg(F.sum(F.when(F.col("op") == "ins", 1).otherwise(-1)).alias("growth"))
 
 
-@query("m14_prune_tombstones", """with d as (select *, i%3=0 and i<=40 dropped from url_tree),
+@query("m14_prune_tombstones", """with d as (select *, i%3=0 and i<=case file_id%3 when 0 then 40 when 1 then 15 else 0 end dropped
+ from url_tree),
  kept as (select distinct a.file_id, a.i from d a where exists (select 1 from d b where b.file_id=a.file_id
  and not b.dropped and starts_with(bin(b.i), bin(a.i))))
- select file_id, count(*) dropped from (select file_id, i from d except select file_id, i from kept) group by 1""")
+ select 'v'||(file_id%3) vault_id, file_id, count(*) dropped from (select file_id, i from d except
+ select file_id, i from kept) group by 1, 2""")
 def m14(i: Inputs):
-    entries = url_tree(i, F.col("cnt") % 3 == 0)
-    frontier = i.spark.createDataFrame([("x", 0, 40)], "node string, ms bigint, cnt bigint")
+    entries = url_tree(i, F.col("cnt") % 3 == 0).withColumn("vault_id", F.concat(F.lit("v"), F.col("file_id") % 3))
+    frontier = i.spark.createDataFrame([("v0", "x", 0, 40), ("v1", "x", 0, 15)],
+                                       "vault_id string, node string, ms bigint, cnt bigint")
     return text.prune_report(entries, text.prune_tombstones(entries, frontier))
 
 
@@ -678,24 +681,26 @@ def h6(i: Inputs):
     return retention.orphan_blobs(plan(i), i.registers(), i.sync_base())
 
 
-@query("h7_cache_gc", """select blob_id from blobs where store='local' and blob_id not in (select ref from pins)""")
+@query("h7_cache_gc", """select vault_id, blob_id from vault_blobs where store='local'
+ and (vault_id, blob_id) not in (select (vault_id, ref) from pins)""")
 def h7(i: Inputs):
-    return retention.cache_gc(local(i), i.registers(), i.sync_base()).select("blob_id")
+    return retention.cache_gc(local(i), i.registers(), i.sync_base()).select("vault_id", "blob_id")
 
 
-@query("h7_cache_gc_report", """select count(*) scanned, count(*) filter (blob_id not in (select ref from pins)) deleted
- from blobs where store='local'""")
+@query("h7_cache_gc_report", """select count(*) scanned, count(*) filter ((vault_id, blob_id) not in
+ (select (vault_id, ref) from pins)) deleted from vault_blobs where store='local'""")
 def h7_report(i: Inputs):
     gone = retention.cache_gc(local(i), i.registers(), i.sync_base())
     return retention.cache_gc_report(local(i), gone)
 
 
-@query("h8_apply_retention", """select 'blob' kind, count(*) left_over from blobs where blob_id not in (select ref from gone_refs)
+@query("h8_apply_retention", """select 'blob' kind, count(*) left_over from vault_blobs
+ where (vault_id, blob_id) not in (select (vault_id, ref) from gone_refs)
  union all select 'event', count(*) from retained where reason<>'expired'""")
 def h8(i: Inputs):
     p = plan(i)
     orphans = settle(retention.orphan_blobs(p, i.registers(), i.sync_base()))
-    left, events = retention.apply_retention(p, orphans, i.blobs())
+    left, events = retention.apply_retention(p, orphans, i.vault_blobs())
     n = F.count(F.lit(1)).alias("left_over")
     return left.agg(n).select(F.lit("blob").alias("kind"), "left_over").unionByName(
         events.agg(n).select(F.lit("event").alias("kind"), "left_over"))

@@ -53,6 +53,12 @@ select distinct 'c'||k blob_id, 'remote' store from w where k%10<>3
 union all select distinct sha256(props), 'remote' from events where cast(regexp_extract(props,'[0-9]+') as bigint)%10<>4
 union all select distinct 'c'||k, 'local' from w where k%3<>0
 union all select 'x'||i, 'local' from range(20) t(i)
+""",
+    "vault_blobs": """
+select distinct vault_id, 'c'||k blob_id, 'remote' store from w where (k+cast(substr(vault_id,2) as bigint))%10<>3
+union all select distinct vault_id, blob_ref, 'remote' from w where (k+cast(substr(vault_id,2) as bigint))%10<>4 and blob_ref<>''
+union all select distinct vault_id, 'c'||k, 'local' from w where (k+cast(substr(vault_id,2) as bigint))%3<>0
+union all select 'v'||(i%4), 'x'||i, 'local' from range(20) t(i)
 """,
     "sync_base": """
 select file_id, max_by(blob_ref, rn) blob_ref from w

@@ -167,6 +167,22 @@ class Inputs:
                 .unionByName(part("k % 10 <> 4", F.col("sha"), "remote"))
                 .unionByName(part("k % 3 <> 0", chunk, "local")).unionByName(strangers))
 
+    def vault_blobs(self) -> DataFrame:
+        """The blobs of each vault: what one vault lacks another may hold."""
+        w = self.w().select("vault_id", "blob_ref", "k", (
+            F.col("k") + F.substring("vault_id", 2, 9).cast("long")).alias("n"))
+        chunk = F.concat(F.lit("c"), F.col("k"))
+
+        def part(cond: str, col, store: str) -> DataFrame:
+            return w.where(cond).select("vault_id", col.alias("blob_id"), F.lit(store).alias("store")).distinct()
+
+        strangers = self.spark.range(20).select(
+            F.concat(F.lit("v"), F.col("id") % 4).alias("vault_id"),
+            F.concat(F.lit("x"), F.col("id")).alias("blob_id"), F.lit("local").alias("store"))
+        return (part("n % 10 <> 3", chunk, "remote")
+                .unionByName(part("n % 10 <> 4 and blob_ref <> ''", F.col("blob_ref"), "remote"))
+                .unionByName(part("n % 3 <> 0", chunk, "local")).unionByName(strangers))
+
     def sync_base(self) -> DataFrame:
         return (self.w().where("rn <= 40 and not tombstone")
                 .where(F.substring("file_id", 2, 20).cast("long") % 3 != 0)

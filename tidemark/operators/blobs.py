@@ -14,6 +14,8 @@ from ..plans.ordered import number_rows, text_bucket
 from ..plans.skew import attach, drop_known, flag, spread
 from .causal import FILE, live_refs
 
+#: A blob belongs to its vault's collection.
+BLOB = ["vault_id", "blob_id"]
 CHUNK_MIN, CHUNK_AVG, CHUNK_MAX = 512 << 10, 1 << 20, 4 << 20
 FLUSH_BYTES = 32 << 20
 CHUNK_COLUMNS = ["file_id", "ord", "off", "size", "hash", "bytes"]
@@ -21,9 +23,8 @@ CHUNK_SCHEMA = "file_id string, ord bigint, off bigint, size bigint, hash string
 
 
 def blobs_exist(ids: DataFrame, blobs: DataFrame) -> DataFrame:
-    """J1. Requested ids that are stored."""
-    return ids.select("blob_id").distinct().join(
-        blobs.select("blob_id").distinct(), "blob_id", "left_semi")
+    """J1. Requested ids ``(vault_id, blob_id)`` that their vault stores."""
+    return ids.select(*BLOB).distinct().join(blobs.select(*BLOB).distinct(), BLOB, "left_semi")
 
 
 def upload_plan(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -38,22 +39,27 @@ def known_chunks(records: DataFrame, keys: tuple[str, ...] = ("vault_id",)) -> D
     return records.select(*keys, F.explode(bare).alias("ref")).distinct()
 
 
+REF = ["vault_id", "ref"]
+
+
+def _refs(blobs: DataFrame) -> DataFrame:
+    return blobs.select("vault_id", F.col("blob_id").alias("ref"))
+
+
 def prefetch_plan(records: DataFrame, cache: DataFrame, batch: int = 8) -> DataFrame:
-    """J4. Distinct live manifests missing locally, in numbered batches per vault."""
+    """J4. Distinct live manifests missing in their vault's cache, in numbered batches per vault."""
     refs = records.where(~F.col("tombstone") & (F.col("blob_ref") != "")).select(
         "vault_id", F.col("blob_ref").alias("ref")).distinct()
-    missing = drop_known(refs, cache.select(F.col("blob_id").alias("ref")), ["ref"])
+    missing = drop_known(refs, _refs(cache), REF)
     numbered = number_rows(missing, ["vault_id"], ["ref"], text_bucket("ref"), "_n")
     return numbered.select("vault_id", "ref",
                            F.expr(f"(_n - 1) div {batch}").alias("batch_no"))
 
 
 def missing_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
-    """J5. Referenced refs per vault, flagged present on the remote and in the local cache."""
-    refs = live_refs(records).select("vault_id", "ref").distinct()
-    remote_refs = remote.select(F.col("blob_id").alias("ref"))
-    local_refs = local.select(F.col("blob_id").alias("ref"))
-    return flag(flag(refs, remote_refs, ["ref"], "on_remote"), local_refs, ["ref"], "in_cache")
+    """J5. Referenced refs per vault, flagged present on the vault's remote and in its local cache."""
+    refs = live_refs(records).select(*REF).distinct()
+    return flag(flag(refs, _refs(remote), REF, "on_remote"), _refs(local), REF, "in_cache")
 
 
 def verify_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
@@ -66,10 +72,10 @@ def verify_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> Dat
 
 
 def heal_blobs(records: DataFrame, remote: DataFrame, local: DataFrame) -> DataFrame:
-    """J6. Rows of the local cache to upload again."""
+    """J6. Rows of a vault's local cache to upload again."""
     missing = missing_blobs(records, remote, local).where(~F.col("on_remote")).select(
-        F.col("ref").alias("blob_id")).distinct()
-    return local.join(missing, "blob_id", "left_semi")
+        "vault_id", F.col("ref").alias("blob_id")).distinct()
+    return local.join(missing, BLOB, "left_semi")
 
 
 def cdc_chunks(files: DataFrame, low: int = CHUNK_MIN, avg: int = CHUNK_AVG,

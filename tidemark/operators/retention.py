@@ -96,9 +96,9 @@ def orphan_blobs(plan: DataFrame, records: DataFrame, base: DataFrame) -> DataFr
 
 
 def cache_gc(blobs: DataFrame, records: DataFrame, base: DataFrame) -> DataFrame:
-    """H7. Cached blobs nothing references."""
-    live = live_set(records, base).select(F.col("ref").alias("blob_id")).distinct()
-    return blobs.join(live, "blob_id", "left_anti")
+    """H7. Cached blobs ``(vault_id, blob_id)`` nothing in their own vault references."""
+    live = live_set(records, base).select("vault_id", F.col("ref").alias("blob_id")).distinct()
+    return blobs.join(live, ["vault_id", "blob_id"], "left_anti")
 
 
 def cache_gc_report(blobs: DataFrame, orphans: DataFrame) -> DataFrame:
@@ -112,9 +112,9 @@ def cache_gc_report(blobs: DataFrame, orphans: DataFrame) -> DataFrame:
 def apply_retention(plan: DataFrame, orphans: DataFrame,
                     blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H8. (blobs left, events left). Write the blobs first: an event must never outlive
-    the knowledge of its blob."""
-    gone = orphans.select(F.col("ref").alias("blob_id")).distinct()
-    return blobs.join(gone, "blob_id", "left_anti"), plan.where("action = 'keep'")
+    the knowledge of its blob. An orphan goes from its own vault's blobs only."""
+    gone = orphans.select("vault_id", F.col("ref").alias("blob_id")).distinct()
+    return blobs.join(gone, ["vault_id", "blob_id"], "left_anti"), plan.where("action = 'keep'")
 
 
 def delete_events(history: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

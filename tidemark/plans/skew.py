@@ -1,4 +1,4 @@
-"""Attach per-key values to rows when one key may hold a large share of the rows."""
+"""Attach per-key values to rows; on request, with hot keys spread by a salt."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 HOT_KEYS = 256
-HOT_ROWS = 1_000_000
 SALTS = 64
 SMALL_ROWS = 100_000
 
@@ -29,14 +28,15 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], limit: int =
            least: int | None = None) -> DataFrame:
     """Left join of ``rows`` with ``lookup``, which holds at most one row per key.
 
-    Hot keys are looked for first. Without any this is a plain join. Otherwise the lookup
+    By default this is a plain join, which starts no job: AQE splits its skewed partitions. With
+    ``least``, keys of more rows than that are looked for first; if there are any, the lookup
     rows of the hot keys (no more than ``limit``) are broadcast; rows of hot keys carry
     their values already and are spread by a salt in the shuffle join that serves all other
     keys, each of which is either small or holds less than ``1 / limit`` of the rows.
     """
     keys = list(keys)
     payload = [c for c in lookup.columns if c not in keys]
-    found = hot_keys(rows, keys, limit, HOT_ROWS if least is None else least)
+    found = [] if least is None else hot_keys(rows, keys, limit, least)
     if not found:
         return rows.join(lookup, keys, "left").select(*rows.columns, *payload)
     hot = rows.sparkSession.createDataFrame(found, rows.select(*keys).schema)
@@ -53,18 +53,18 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], limit: int =
 
 
 def flag(rows: DataFrame, known: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """``rows`` with whether their key occurs in ``known``; safe for hot keys on both sides."""
+    """``rows`` with whether their key occurs in ``known``."""
     marks = known.select(*keys).distinct().withColumn(out, F.lit(True))
     return attach(rows, marks, keys).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def keep_known(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Semi join for rows whose keys may be hot."""
+    """Semi join for rows whose keys may be hot: a left join, whose skewed partitions AQE splits."""
     return flag(rows, known, keys, "_known").where("_known").drop("_known")
 
 
 def drop_known(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Anti join for rows whose keys may be hot."""
+    """Anti join for rows whose keys may be hot: a left join, whose skewed partitions AQE splits."""
     return flag(rows, known, keys, "_known").where("not _known").drop("_known")
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gates import skew_guard
 from ..plans.ordered import DAY_MS, HOUR_MS, Running, running, time_bucket
-from ..session import settle
+from ..session import hadoop_path, settle
 
 
 # E1 ------------------------------------------------------------------------------------
@@ -73,10 +72,9 @@ def suppress_echo(folder: str, ttl_ms: int = 2_000) -> Callable[[DataFrame, int]
 
 
 def _load_batch(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{folder}/batch={batch}")
-    except AnalysisException:
-        return None
+    """A batch's folder, None if there is none; a damaged folder fails."""
+    system, place = hadoop_path(spark, f"{folder}/batch={batch}")
+    return spark.read.parquet(f"{folder}/batch={batch}") if system.exists(place) else None
 
 
 def suppress_echo_batch(ops: DataFrame, ttl_ms: int = 2_000) -> DataFrame:
