@@ -192,3 +192,18 @@ def test_history_bounds_are_exclusive(spark):
     got = [r.ms for r in gates.history_query(df, "f", after=at(99), before=at(103)).collect()]
     assert got == [102, 101, 100]
     assert hlc() is not None
+
+
+def test_seals_of_one_device_have_stamps_of_their_own(spark):
+    """Files sealed by one device get rising stamps above all that its vault has seen."""
+    rows = [(v, f, 10 * i, i, f"n{j}") for v in ("v", "u") for i in range(3) for f in ("a", "b", "c") for j in range(2)]
+    log = spark.createDataFrame(rows, "vault_id string, file_id string, ms long, cnt long, node string")
+    ctx = spark.createDataFrame([("v", "zz", "n9", (500, 7))],
+                                "vault_id string, file_id string, node string, h struct<ms:long,cnt:long>")
+    winners = log.where("ms = 20 and node = 'n1' and file_id <> 'c'")
+    got = {(r.vault_id, r.file_id): (r.ms, r.cnt, r.node) for r in causal.seal(log, ctx, winners, "me")[0].collect()}
+    assert {got["v", f] for f in "ab"} == {(500, 8, "me"), (500, 9, "me")}
+    assert {got["u", f] for f in "ab"} == {(20, 3, "me"), (20, 4, "me")}
+    late = causal.seal(log, ctx, winners, "me", 100)[0]
+    assert {(r.ms, r.cnt) for r in late.where("vault_id = 'u'").collect()} == {(100, 0), (100, 1)}
+    assert {(r.ms, r.cnt) for r in late.where("vault_id = 'v'").collect()} == {(500, 8), (500, 9)}

@@ -126,6 +126,11 @@ def test_restore_is_newer_than_everything(spark):
     latest = spark.createDataFrame([("v", NOW + 5, 3)], "vault_id string, ms long, cnt long")
     got = sorted((r.ms, r.cnt, r.node, r.blob_ref) for r in retention.restore_versions(picks, latest, NOW, "me").collect())
     assert all((ms, cnt) > (NOW + 5, 3) for ms, cnt, _, _ in got) and len(set(got)) == 2
+    named = picks.withColumn("event_id", F.concat(F.lit("event-"), "event_id"))
+    got = retention.restore_versions(named, latest, NOW, "me")
+    assert got.columns == named.columns or set(got.columns) == set(named.columns)
+    stamps = {(r.ms, r.cnt) for r in got.collect()}
+    assert len(stamps) == 2 and min(stamps) > (NOW + 5, 3)
 
 
 def test_verify_counts(spark):

@@ -599,9 +599,10 @@ def c15(i: Inputs):
     return causal.join_report(i.w(), i.registers())
 
 
-@query("c16_seal", """with t as (select file_id, max({'ms':ms,'cnt':cnt}) h from (select file_id, ms, cnt from reg
- union all select file_id, h.ms, h.cnt from c) group by 1) select vault_id, file_id, h.ms ms, h.cnt+1 cnt,
- 'sealer' node, cast(1 as bigint) n from t join (select distinct vault_id, file_id from conf) using (file_id)""")
+@query("c16_seal", """with t as (select vault_id, max({'ms':ms,'cnt':cnt}) h from (select vault_id, ms, cnt from reg
+ union all select vault_id, h.ms, h.cnt from c join (select distinct vault_id, file_id from w) using (file_id)) group by 1)
+ select vault_id, file_id, h.ms ms, h.cnt + row_number() over (partition by vault_id order by sha256(file_id)) cnt,
+ 'sealer' node, cast(1 as bigint) n from t join (select distinct vault_id, file_id from conf) using (vault_id)""")
 def c16(i: Inputs):
     from ..operators.merge import conflicts_of
     from ..plans.ordered import first_per_key

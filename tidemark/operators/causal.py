@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc, stamp
-from ..plans.ordered import Running, first_per_key, number_rows, running, time_bucket
+from ..plans.ordered import Running, first_per_key, number_rows, running, text_bucket, time_bucket
 from ..plans.skew import attach
 from ..session import settle
 
@@ -232,17 +232,24 @@ def join_report(incoming: DataFrame, joined: DataFrame) -> DataFrame:
     return received.join(left, FILE, "left").withColumn("values", F.coalesce("values", F.lit(0)))
 
 
-def seal(records: DataFrame, ctx: DataFrame, winners: DataFrame,
-         sealer: str) -> tuple[DataFrame, DataFrame]:
+def seal(records: DataFrame, ctx: DataFrame, winners: DataFrame, sealer: str,
+         now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """C16. Re-issue each winner above every value of its file.
 
-    Returns the sealing writes and their contexts; joined with the log (C1) they leave one
-    value per sealed file.
+    Stamps come from the sealer's clock in each vault: it starts at the newest stamp of the vault, or at a
+    later ``now_ms``, and counts up by file, so no two files get the same. Returns the sealing writes and their
+    contexts; joined with the log (C1) they leave one value per sealed file.
     """
-    context = own_context(records, ctx, tuple(FILE)).join(winners.select(*FILE), FILE, "left_semi")
-    top = context.groupBy(*FILE).agg(F.max("h").alias("_top"))
-    writes = winners.join(top, FILE).withColumn("ms", F.col("_top.ms")).withColumn(
-        "cnt", F.col("_top.cnt") + 1).withColumn("node", F.lit(sealer)).drop("_top")
+    every = own_context(records, ctx, tuple(FILE))
+    context = every.join(winners.select(*FILE), FILE, "left_semi")
+    clock = every.groupBy("vault_id").agg(F.max("h").alias("_top"))
+    place = F.sha2("file_id", 256)
+    counted = number_rows(winners.withColumn("_place", place), ["vault_id"], ["_place"], text_bucket("_place"), "_n")
+    led = counted.join(clock, "vault_id")
+    later = F.lit(now_ms) > F.col("_top.ms") if now_ms is not None else F.lit(False)
+    writes = (led.withColumn("ms", F.when(later, F.lit(now_ms)).otherwise(F.col("_top.ms")).cast("long"))
+              .withColumn("cnt", F.when(later, F.col("_n") - 1).otherwise(F.col("_top.cnt") + F.col("_n")))
+              .withColumn("node", F.lit(sealer)).select(*winners.columns))
     return writes, context
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
 from ..functions.paths import file_id_for
-from ..plans.ordered import Running, running, time_bucket
+from ..plans.ordered import Running, running, text_bucket, time_bucket
 from ..plans.skew import attach, keep_known
 from .blobs import reassemble
 from .causal import FILE
@@ -163,7 +163,7 @@ def restore_versions(picks: DataFrame, latest: DataFrame, now_ms: int | Column,
                      device: str) -> DataFrame:
     """H13. Chosen versions (one per file) as new writes above everything seen.
 
-    ``latest`` is the newest HLC ``(vault_id, ms, cnt)`` of the restoring replica.
+    ``latest`` is the newest HLC ``(vault_id, ms, cnt)`` of the restoring replica. Event ids may be numbers or text.
     """
     from .causal import stamp_hlc
 
@@ -171,5 +171,9 @@ def restore_versions(picks: DataFrame, latest: DataFrame, now_ms: int | Column,
     top = latest.groupBy("vault_id").agg(F.max(F.struct("ms", "cnt")).alias("_top"))
     rows = attach(picks.drop("ms", "cnt", "node"), top, ["vault_id"])
     rows = rows.withColumn("_wall", F.greatest(wall, F.col("_top.ms") + 1))
-    stamped = stamp_hlc(rows, "vault_id", "_wall", ["event_id"], time_bucket("event_id", 1 << 16))
-    return stamped.withColumn("node", F.lit(device)).drop("_top", "_wall")
+    if picks.schema["event_id"].dataType.typeName() == "string":  # as read_history gives them
+        rows, order, bucket = rows.withColumn("_at", F.sha2("event_id", 256)), "_at", text_bucket("_at")
+    else:
+        order, bucket = "event_id", time_bucket("event_id", 1 << 16)
+    stamped = stamp_hlc(rows, "vault_id", "_wall", [order], bucket)
+    return stamped.withColumn("node", F.lit(device)).drop("_top", "_wall", "_at")
