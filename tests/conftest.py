@@ -16,3 +16,15 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def pieces(monkeypatch):
+    """Call with a number of rows to have running scans cut into pieces of about that many."""
+    from tidemark.plans import ordered
+
+    def force(rows: int):
+        monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+        monkeypatch.setattr(ordered, "PIECE_ROWS", rows)
+
+    return force

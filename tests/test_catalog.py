@@ -45,6 +45,18 @@ def test_query(spark, db, name):
     assert got == rows_of(names, db.fetchall(), cols)
 
 
+# Queries with a running scan, again with every scan cut into pieces.
+SCANS = ("c2_register_join_arrival c4_assign_seq c11_stamp_hlc c12_observe_hlc c16_seal e1_debounce_batch "
+         "h1_upsert_heads h13_restore_versions j4_prefetch_plan j7_history_base m12_sequence_text p6_enforce_caps "
+         "p9_role_changes p16_redeem_promos").split()
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_query_in_pieces(spark, db, pieces, name):
+    pieces(500)
+    test_query(spark, db, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

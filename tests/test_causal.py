@@ -34,11 +34,12 @@ def test_register_join_in_parts_equals_at_once(spark):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("width", [4, 4096])
-def test_t1_arrival_join_matches_a_server_simulation(spark, seed, width):
+def test_t1_arrival_join_matches_a_server_simulation(spark, pieces, seed, width):
+    pieces(width)
     log = random_log(seed)
     random.Random(seed).shuffle(log)
     w, c = frames(spark, log)
-    kept = keys_of(causal.register_join_arrival(w, c, width=width))
+    kept = keys_of(causal.register_join_arrival(w, c))
     assert kept == server(log)
     assert kept >= lattice(log)
 
@@ -62,12 +63,13 @@ def test_empty_context_is_empty(spark):
     assert [len(m) for m in got] == [0, 0, 2]
 
 
-def test_t9_retries_use_sequence_numbers_up(spark):
+def test_t9_retries_use_sequence_numbers_up(spark, pieces):
+    pieces(2)
     rows = [("v", "", b, i, "f", 10 * b + i, 0, "d") for b in range(3) for i in range(4)]
     rows[5] = ("v", "", 1, 1, "f", 0, 0, "d")
     df = spark.createDataFrame(rows, "vault_id string, ns string, batch_id long, item_idx long, "
                                      "file_id string, ms long, cnt long, node string")
-    numbered = causal.assign_seq(df, width=2)
+    numbered = causal.assign_seq(df)
     assert sorted(r.server_seq for r in numbered.collect()) == list(range(1, 13))
     kept = {r.server_seq for r in causal.dedupe_writes(numbered).collect()}
     assert kept == set(range(1, 13)) - {6}
@@ -75,11 +77,12 @@ def test_t9_retries_use_sequence_numbers_up(spark):
     assert told[6] == 1
 
 
-def test_sixteen_batches_of_four(spark):
+def test_sixteen_batches_of_four(spark, pieces):
+    pieces(3)
     rows = [("v", "", b, i) for b in range(16) for i in range(4)]
     random.Random(5).shuffle(rows)
     df = spark.createDataFrame(rows, "vault_id string, ns string, batch_id long, item_idx long")
-    got = {(r.batch_id, r.item_idx): r.server_seq for r in causal.assign_seq(df, width=3).collect()}
+    got = {(r.batch_id, r.item_idx): r.server_seq for r in causal.assign_seq(df).collect()}
     assert [got[k] for k in sorted(got)] == list(range(1, 65))
 
 
@@ -132,12 +135,15 @@ def test_t7_stats_count_tombstone_values(spark):
         2, 2, 2, 15, 3, 4, 2)
 
 
-def test_stamps_follow_the_increment_rule(spark):
+@pytest.mark.parametrize("rows", [16, None])
+def test_stamps_follow_the_increment_rule(spark, pieces, rows):
+    if rows:
+        pieces(rows)
     rnd = random.Random(3)
     walls = [("d", i, 1000 + i * 3 - rnd.randrange(12)) for i in range(200)]
     df = spark.createDataFrame(walls, "device string, seq long, wall long")
     got = [(r.ms, r.cnt) for r in causal.stamp_hlc(
-        df, "device", "wall", ["seq"], F.floor(F.col("seq") / 16)).orderBy("seq").collect()]
+        df, "device", "wall", ["seq"]).orderBy("seq").collect()]
     state, want = None, []
     for _, _, wall in walls:
         state = state or (wall, 0)
@@ -147,13 +153,16 @@ def test_stamps_follow_the_increment_rule(spark):
     assert all(a < b for a, b in zip(got, got[1:]))
 
 
-def test_observed_clock_follows_the_receive_rule(spark):
+@pytest.mark.parametrize("rows", [16, None])
+def test_observed_clock_follows_the_receive_rule(spark, pieces, rows):
+    if rows:
+        pieces(rows)
     rnd = random.Random(4)
     rows = [("d", i, 1000 + i - rnd.randrange(6), 1000 + i - rnd.randrange(4), rnd.randrange(5))
             for i in range(200)]
     df = spark.createDataFrame(rows, "device string, seq long, wall long, r_ms long, r_cnt long")
     got = [(r.clock_ms, r.clock_cnt) for r in causal.observe_hlc(
-        df, "device", "wall", "r_ms", "r_cnt", ["seq"], F.floor(F.col("seq") / 16)).orderBy("seq").collect()]
+        df, "device", "wall", "r_ms", "r_cnt", ["seq"]).orderBy("seq").collect()]
     ms, cnt, want = -1, 0, []
     for _, _, wall, r_ms, r_cnt in rows:
         top = max(ms, wall, r_ms)

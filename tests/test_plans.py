@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import causal, gates
 from tidemark.plans.folds import fold_sorted
-from tidemark.plans.ordered import Running, first_per_key, number_rows, running, text_bucket
+from tidemark.plans.ordered import Running, cut, first_per_key, number_rows, running, text_axis
 from tidemark.plans.skew import attach, attach_small
 
 
@@ -31,13 +31,67 @@ def test_running_equals_a_plain_window(hot):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_number_rows_descending_and_text_buckets(spark, hot):
+def test_number_rows_descending_and_text_axis(spark, hot):
     got = number_rows(hot, ["k"], [F.desc("seq")], -F.floor(F.col("seq") / 50), "n")
     want = hot.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("seq"))))
     assert got.exceptAll(want.withColumn("n", F.col("n").cast("long"))).count() == 0
     words = spark.createDataFrame([(w,) for w in ("", "a", "ab", "zé", "é", "Z", "b1")], "w string")
     by_text = [r.w for r in words.orderBy("w").collect()]
-    assert [r.w for r in words.orderBy(text_bucket("w"), "w").collect()] == by_text
+    assert [r.w for r in words.orderBy(text_axis("w"), "w").collect()] == by_text
+
+
+def test_a_key_with_nearly_all_rows_of_one_second_is_spread(spark, pieces):
+    rnd = random.Random(2)
+    rows = [("hot", rnd.randrange(1000), i) if rnd.random() < .9 else (f"k{i % 30}", rnd.randrange(10**12), i)
+            for i in range(20000)]
+    df = spark.createDataFrame(rows, "k string, ms long, id long")
+    assert cut(df, "ms") is None
+    pieces(1000)
+    piece = cut(df, "ms")
+    sizes = [r["count"] for r in df.groupBy("k", piece.alias("b")).count().collect()]
+    assert max(sizes) < 1500 and df.select(piece.alias("b")).distinct().count() == 20
+    flat = df.orderBy("ms").select("ms", piece.alias("b")).collect()
+    assert all(a.b <= b.b for a, b in zip(flat, flat[1:]))
+    w = Window.partitionBy("k").orderBy("ms", "id")
+    want = df.withColumn("n", F.row_number().over(w).cast("long"))
+    got = number_rows(df, ["k"], ["ms", "id"], piece, "n")
+    assert got.exceptAll(want).count() == 0 and got.count() == 20000
+    back = number_rows(df, ["k"], [F.desc("ms"), "id"], cut(df, -F.col("ms")), "n")
+    down = Window.partitionBy("k").orderBy(F.desc("ms"), "id")
+    assert back.exceptAll(df.withColumn("n", F.row_number().over(down).cast("long"))).count() == 0
+
+
+def test_null_keys_places_and_values_in_pieces(spark, pieces):
+    rows = [(k, None if i % 9 == 0 else i // 2, None if i % 5 == 0 else i, i)
+            for i in range(400) for k in (None, "a", f"r{i % 50}")]
+    df = spark.createDataFrame(rows, "k string, at long, v int, id long")
+    outs = [Running("n", "count"), Running("s", "sum", F.col("v")), Running("b", "sum", F.col("v"), before=True),
+            Running("hi", "max", F.struct("v", "id"), before=True), Running("lo", "min", F.col("v"))]
+    want = running(df, ["k"], ["at", "id"], None, outs)
+    pieces(60)
+    got = running(df, ["k"], ["at", "id"], cut(df, "at"), outs)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert got.exceptAll(want).count() == 0 and got.count() == 1200
+    empty = df.where("false")
+    assert cut(empty, "at") is None
+    same = df.withColumn("at", F.lit(7))
+    tied = running(same, ["k"], ["at", "id"], cut(same, "at"), outs)
+    assert tied.exceptAll(running(same, ["k"], ["at", "id"], None, outs)).count() == 0
+    assert running(empty, ["k"], ["at", "id"], F.lit(0), outs).count() == 0
+
+
+def test_a_small_scan_starts_no_job(spark):
+    small = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert cut(small, "id") is None
+    number_rows(small, ["k"], ["id"], cut(small, "id"), "n")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_clocks_take_two_scans(spark, pieces):
+    df = spark.createDataFrame([("d", 1, 5, 4, 0)], "device string, seq long, wall long, r_ms long, r_cnt long")
+    plan = causal.observe_hlc(df, "device", "wall", "r_ms", "r_cnt", ["seq"])._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Window ") == 2
 
 
 @pytest.mark.parametrize("limit,least", [(1, 10), (256, 10), (256, 10**6)])

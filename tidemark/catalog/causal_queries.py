@@ -559,10 +559,8 @@ WALLS = """walls as (select event_id, 'd'||(user_id%3) device, epoch_us(ts)//100
  select event_id, device, ms, row_number() over (partition by device, ms order by event_id)
  - case when ms=w0 then 0 else 1 end cnt from m""")
 def c11(i: Inputs):
-    from ..plans.ordered import time_bucket
-
-    return causal.stamp_hlc(walls(i), "device", "wall", ["event_id"], time_bucket("event_id", 1024)
-                            ).select("event_id", "device", "ms", "cnt")
+    return causal.stamp_hlc(walls(i), "device", "wall", ["event_id"]).select(
+        "event_id", "device", "ms", "cnt")
 
 
 @query("c12_observe_hlc", f"""with {WALLS}, m as (select *, max(greatest(wall,r_ms)) over
@@ -571,10 +569,7 @@ def c11(i: Inputs):
  select event_id, device, clock_ms, i + max(case when r_ms=clock_ms then r_cnt+1-i when i=1 then 0-i end)
  over (partition by device, clock_ms order by event_id) clock_cnt from n""")
 def c12(i: Inputs):
-    from ..plans.ordered import time_bucket
-
-    return causal.observe_hlc(walls(i), "device", "wall", "r_ms", "r_cnt", ["event_id"],
-                              time_bucket("event_id", 1024)).select(
+    return causal.observe_hlc(walls(i), "device", "wall", "r_ms", "r_cnt", ["event_id"]).select(
         "event_id", "device", "clock_ms", "clock_cnt")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions.hlc import stamp
 from .session import SETTINGS
 from .plans.skew import attach, spread
-from .plans.ordered import DAY_MS, HOUR_MS, Running, number_rows, running, time_bucket
+from .plans.ordered import Running, cut, number_rows, running
 
 NOW_MS = 1_706_659_200_000
 NODES = ("d0", "d1", "d2")
@@ -54,12 +54,11 @@ class Inputs:
         e = self.events().withColumn("vault_id", F.concat(F.lit("v"), F.col("user_id") % 4))
         e = e.withColumn("file_id", F.concat(F.lit("f"), F.col("user_id")))
         e = e.withColumn("node", F.concat(F.lit("d"), F.col("event_id") % 3))
-        raw = e
+        raw, piece = e, cut(e, "ms")
         same_ms = Window.partitionBy(*VAULT_KEYS, "ms").orderBy("event_id")
         e = e.withColumn("cnt", F.row_number().over(same_ms).cast("long") - 1)
-        e = number_rows(e, VAULT_KEYS, ["ts", "event_id"], time_bucket("ms", DAY_MS), "rn", raw)
-        e = number_rows(e, ["vault_id"], ["ts", "event_id"], time_bucket("ms", HOUR_MS),
-                        "server_seq", raw)
+        e = number_rows(e, VAULT_KEYS, ["ts", "event_id"], piece, "rn", raw)
+        e = number_rows(e, ["vault_id"], ["ts", "event_id"], piece, "server_seq", raw)
         gone = F.col("event_type") == "error"
         return e.select(
             "event_id", "vault_id", "file_id", "node", "ms", "cnt", "rn", "server_seq",
@@ -76,7 +75,7 @@ class Inputs:
         w = self.w()
         seen = running(
             w.select(*VAULT_KEYS, "rn", "ms", "cnt", "node"), VAULT_KEYS, ["rn"],
-            time_bucket("ms", DAY_MS),
+            cut(w, "ms"),
             [Running(f"h_{n}", "max", F.when(F.col("node") == n, stamp())) for n in NODES])
         tops = seen.select(
             *VAULT_KEYS, F.col("rn").alias("upto"),
@@ -100,8 +99,7 @@ class Inputs:
 
     def _arr(self) -> DataFrame:
         w = self.w().withColumn("_late", F.col("rn") + (F.col("event_id") * 13) % 11)
-        return number_rows(w, VAULT_KEYS, ["_late", "rn"], time_bucket("_late", 4096),
-                           "arrival").drop("_late")
+        return number_rows(w, VAULT_KEYS, ["_late", "rn"], cut(w, "_late"), "arrival").drop("_late")
 
     def refs(self) -> DataFrame:
         """Every blob a write references: one manifest and two chunks."""
@@ -138,7 +136,7 @@ class Inputs:
         rows = w.drop("ms").withColumn("device", F.lit(None).cast("string")).withColumn(
             "is_head", F.lit(0)).unionByName(marks)
         seen = running(rows, ["vault_id"], ["server_seq", "is_head"],
-                       time_bucket("server_seq", 4096),
+                       cut(rows, "server_seq"),
                        [Running(f"h_{n}", "max", F.when(F.col("node") == n, F.col("h")))
                         for n in NODES])
         return (seen.where("is_head = 1").select("vault_id", "device", F.inline(F.array(
@@ -306,7 +304,7 @@ class Inputs:
         j = number_rows(j, ["_one"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
                                       "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
                                       "l_tax"],
-                        time_bucket(F.unix_millis("at_ts"), DAY_MS), "seq")
+                        cut(li, F.unix_millis("at_ts")), "seq")
         return j.select(
             "seq", F.col("l_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
             F.concat(F.lit("code-"), F.col("l_partkey")).alias("typed_code"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, first_per_key, running, time_bucket
+from ..plans.ordered import Running, cut, first_per_key, running
 from ..plans.skew import attach, attach_small
 
 
@@ -97,7 +97,7 @@ def enforce_caps(uploads: DataFrame, usage: DataFrame, caps: DataFrame) -> DataF
     j = attach(uploads, caps, ["user_id"])
     j = attach(j, usage.select("user_id", "used_bytes"), ["user_id"])
     managed = F.col("storage") == "managed"
-    led = running(j, ["user_id"], ["seq"], time_bucket("seq", 1 << 16),
+    led = running(j, ["user_id"], ["seq"], cut(uploads, "seq"),
                   [Running("_sum", "sum", F.when(managed, F.col("size")).otherwise(0))])
     total = F.coalesce("used_bytes", F.lit(0)) + F.col("_sum")
     code = (F.when(managed & ~F.col("managed"), "app_policy.feature.managed_storage_unavailable")
@@ -134,7 +134,7 @@ def apply_revocations(subs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def role_changes(users: DataFrame, changes: DataFrame) -> DataFrame:
     """P9. Each change ``(user_id, seq, new_role)`` with the role it replaces."""
-    led = running(changes, ["user_id"], ["seq"], time_bucket("seq", 1 << 16),
+    led = running(changes, ["user_id"], ["seq"], cut(changes, "seq"),
                   [Running("_p", "max", F.struct("seq", "new_role"), before=True)])
     j = attach(led, users.select("user_id", "role"), ["user_id"])
     return j.select("user_id", "seq", "new_role",

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
-from ..plans.ordered import DAY_MS, Running, running, time_bucket
+from ..plans.ordered import Running, cut, running
 from ..plans.skew import keep_known
 from .causal import FILE
 
 
-def history_base(history: DataFrame, probes: DataFrame, width_ms: int = DAY_MS) -> DataFrame:
+def history_base(history: DataFrame, probes: DataFrame) -> DataFrame:
     """J7. For each probe ``(FILE, ms, cnt, node, probe_id)``: ref of the newest event before it.
 
     History and probes share one running scan per file; an empty ref reads as null.
@@ -22,8 +22,8 @@ def history_base(history: DataFrame, probes: DataFrame, width_ms: int = DAY_MS)
                        F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
     p = probes.select(*FILE, "ms", "cnt", "node", F.lit(0).alias("_kind"),
                       F.lit(None).cast(h.schema["_e"].dataType).alias("_e"), "probe_id")
-    scanned = running(h.unionByName(p), FILE, [at, "_kind"], time_bucket("ms", width_ms),
-                      [Running("_last", "max", F.col("_e"))])
+    both = h.unionByName(p)
+    scanned = running(both, FILE, [at, "_kind"], cut(both, "ms"), [Running("_last", "max", F.col("_e"))])
     ref = F.col("_last.ref")
     return scanned.where("_kind = 0").select(
         "probe_id", *FILE, F.when(ref != "", ref).alias("base_ref"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cdc import cut_points
-from ..plans.ordered import number_rows, text_bucket
+from ..plans.ordered import cut, number_rows, text_axis
 from ..plans.skew import attach, drop_known, flag, spread
 from .causal import FILE, live_refs
 
@@ -51,7 +51,7 @@ def prefetch_plan(records: DataFrame, cache: DataFrame, batch: int = 8) -> DataF
     refs = records.where(~F.col("tombstone") & (F.col("blob_ref") != "")).select(
         "vault_id", F.col("blob_ref").alias("ref")).distinct()
     missing = drop_known(refs, _refs(cache), REF)
-    numbered = number_rows(missing, ["vault_id"], ["ref"], text_bucket("ref"), "_n")
+    numbered = number_rows(missing, ["vault_id"], ["ref"], cut(refs, text_axis("ref")), "_n")
     return numbered.select("vault_id", "ref",
                            F.expr(f"(_n - 1) div {batch}").alias("batch_no"))
 

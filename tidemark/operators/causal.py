@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc, stamp
-from ..plans.ordered import Running, first_per_key, number_rows, running, text_bucket, time_bucket
+from ..plans.ordered import Running, cut, first_per_key, number_rows, running, text_axis
 from ..plans.skew import attach
 from ..session import settle
 
@@ -36,7 +36,7 @@ def register_join(writes: DataFrame, ctx: DataFrame) -> DataFrame:
 
 
 def register_join_arrival(writes: DataFrame, ctx: DataFrame, arrival: str = "arrival",
-                          width: int = 1 << 16, keys: list[str] = FILE) -> DataFrame:
+                          keys: list[str] = FILE) -> DataFrame:
     """C2. Server semantics: only a later-arriving context drops a value.
 
     ``ctx`` carries the arrival of the write it belongs to. Scanning arrivals backwards, a
@@ -50,8 +50,8 @@ def register_join_arrival(writes: DataFrame, ctx: DataFrame, arrival: str = "arr
                            row.alias("_row"))
     seen = seen.withColumn("_row", F.lit(None).cast(values.schema["_row"].dataType))
     both = values.unionByName(seen)
-    scanned = running(both, [*keys, "node"], [F.desc("_at"), "_kind"],
-                      -time_bucket("_at", width), [Running("_after", "max", F.col("_h"))])
+    scanned = running(both, [*keys, "node"], [F.desc("_at"), "_kind"], cut(both, -F.col("_at")),
+                      [Running("_after", "max", F.col("_h"))])
     alive = scanned.where("_kind = 0").select("_row.*", "_after")
     return alive.where(F.col("_after").isNull() | (F.col("_after") < stamp())).drop("_after")
 
@@ -69,10 +69,9 @@ def put_results(writes: DataFrame, seq: str = "server_seq", keys: list[str] = FI
 
 
 def assign_seq(writes: DataFrame, keyspace: tuple[str, ...] = ("vault_id", "ns"),
-               batch: str = "batch_id", item: str = "item_idx", width: int = 1 << 12) -> DataFrame:
+               batch: str = "batch_id", item: str = "item_idx") -> DataFrame:
     """C4. Sequence per keyspace over batches and items; retries use numbers up too."""
-    return number_rows(writes, list(keyspace), [batch, item], time_bucket(batch, width),
-                       "server_seq")
+    return number_rows(writes, list(keyspace), [batch, item], cut(writes, batch), "server_seq")
 
 
 def put_batch(writes: DataFrame, ctx: DataFrame, epochs: DataFrame,
@@ -171,41 +170,44 @@ def own_context(values: DataFrame, ctx: DataFrame,
 
 
 def stamp_hlc(events: DataFrame, device: str, wall: str, order: list[str],
-              bucket: Column | None = None) -> DataFrame:
+              axis: Column | None = None) -> DataFrame:
     """C11. Strictly monotone HLCs per device, also when the wall clock steps back.
 
     ``ms`` is the running maximum of the wall clock. The counter restarts at 0 when the
     wall clock moves on and counts up while it does not; a device's very first stamp is
-    taken over an initial ``(wall, 0)`` and so starts at 1.
+    taken over an initial ``(wall, 0)`` and so starts at 1. ``axis`` is a whole number that grows
+    with ``order``; the first column of it by default.
     """
-    position = F.struct(*order)
-    bucket = time_bucket(order[0]) if bucket is None else bucket
-    led = running(events.withColumn("_b0", bucket), [device], order, F.col("_b0"),
-                  [Running("ms", "max", F.col(wall)),
-                   Running("_start", "min", F.struct(position.alias("p"), F.col(wall).alias("w")))])
-    counted = number_rows(led, [device, "ms"], order, F.col("_b0"), "_n")
-    cnt = F.col("_n") - F.when(F.col("ms") == F.col("_start.w"), 0).otherwise(1)
-    return counted.withColumn("cnt", cnt).drop("_n", "_start", "_b0")
+    piece = cut(events, order[0] if axis is None else axis)
+    moved = F.col("_p").isNull() | (F.col(wall) > F.col("_p"))
+    led = running(events, [device], order, piece,
+                  [Running("ms", "max", F.col(wall)), Running("_p", "max", F.col(wall), before=True),
+                   Running("_n", "count")])
+    counted = running(led, [device], order, piece, [Running("_o", "max", F.when(moved, F.col("_n")))])
+    cnt = F.col("_n") - F.col("_o") + F.when(F.col("_o") == 1, 1).otherwise(0)
+    return counted.withColumn("cnt", cnt).select(*events.columns, "ms", "cnt")
 
 
 def observe_hlc(received: DataFrame, device: str, wall: str, r_ms: str, r_cnt: str,
-                order: list[str], bucket: Column | None = None) -> DataFrame:
+                order: list[str], axis: Column | None = None) -> DataFrame:
     """C12. Device clock after each received HLC (starting from an empty clock).
 
     Receiving takes ``ms = max(own, remote, wall)`` and a counter above every counter that
     had that ``ms``. Within a run of equal ``ms`` the counter is ``max(c, remote) + 1`` per
-    step, which unrolls to position + running max of (remote + 1 - position).
+    step, which unrolls to position + running max of (remote + 1 - position). The clock never steps
+    back, so that maximum, taken with the clock in front, starts anew with each run.
     """
-    bucket = time_bucket(order[0]) if bucket is None else bucket
-    led = running(received.withColumn("_b0", bucket), [device], order, F.col("_b0"),
-                  [Running("clock_ms", "max", F.greatest(wall, r_ms))])
-    ranked = number_rows(led, [device, "clock_ms"], order, F.col("_b0"), "_n")
-    opening = F.when(F.col("_n") == 1, 0)
-    bid = F.when(F.col(r_ms) == F.col("clock_ms"), F.col(r_cnt) + 1).otherwise(opening)
-    scanned = running(ranked.withColumn("_bid", bid - F.col("_n")), [device, "clock_ms"], order,
-                      F.col("_b0"), [Running("_top", "max", F.col("_bid"))])
-    return scanned.withColumn("clock_cnt", F.col("_top") + F.col("_n")).drop(
-        "_bid", "_top", "_n", "_b0")
+    piece = cut(received, order[0] if axis is None else axis)
+    now = F.greatest(wall, r_ms)
+    led = running(received, [device], order, piece,
+                  [Running("clock_ms", "max", now), Running("_p", "max", now, before=True),
+                   Running("_n", "count")])
+    opening = F.when(F.col("_p").isNull() | (now > F.col("_p")), 0)
+    bid = F.when(F.col(r_ms) == F.col("clock_ms"), F.col(r_cnt) + 1).otherwise(opening) - F.col("_n")
+    bids = F.when(bid.isNotNull(), F.struct(F.col("clock_ms").alias("at"), bid.alias("bid")))
+    scanned = running(led, [device], order, piece, [Running("_top", "max", bids)])
+    return scanned.withColumn("clock_cnt", F.col("_top.bid") + F.col("_n")).select(
+        *received.columns, "clock_ms", "clock_cnt")
 
 
 def own_latest(records: DataFrame, keys: tuple[str, ...] = ("vault_id",)) -> DataFrame:
@@ -243,8 +245,8 @@ def seal(records: DataFrame, ctx: DataFrame, winners: DataFrame, sealer: str,
     every = own_context(records, ctx, tuple(FILE))
     context = every.join(winners.select(*FILE), FILE, "left_semi")
     clock = every.groupBy("vault_id").agg(F.max("h").alias("_top"))
-    place = F.sha2("file_id", 256)
-    counted = number_rows(winners.withColumn("_place", place), ["vault_id"], ["_place"], text_bucket("_place"), "_n")
+    placed = winners.withColumn("_place", F.sha2("file_id", 256))
+    counted = number_rows(placed, ["vault_id"], ["_place"], cut(placed, text_axis("_place")), "_n")
     led = counted.join(clock, "vault_id")
     later = F.lit(now_ms) > F.col("_top.ms") if now_ms is not None else F.lit(False)
     writes = (led.withColumn("ms", F.when(later, F.lit(now_ms)).otherwise(F.col("_top.ms")).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.ordered import first_per_key, number_rows, time_bucket
+from ..plans.ordered import cut, first_per_key, number_rows
 from ..plans.skew import attach, attach_small
 
 # Reasons a discount is refused, in the order they are checked.
@@ -21,8 +21,7 @@ def promo_redeemable(codes: DataFrame, now: Column) -> DataFrame:
     return codes.withColumn("redeemable", ok)
 
 
-def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame,
-                  width: int = 1 << 16) -> DataFrame:
+def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame) -> DataFrame:
     """P16. Accepted redemptions in arrival order: one per (code, user), within each cap.
 
     ``attempts``: ``(seq, user_id, typed_code, at_ts)``; ``past``: ``(code_key, user_id)``.
@@ -36,7 +35,7 @@ def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame,
     j = attach_small(once, known.join(done, "code_key", "left"), ["code_key"])
     open_now = F.col("is_active") & (
         F.col("expires_at").isNull() | (F.col("at_ts") < F.col("expires_at")))
-    queued = number_rows(j.where(open_now), ["code_key"], ["seq"], time_bucket("seq", width), "_n")
+    queued = number_rows(j.where(open_now), ["code_key"], ["seq"], cut(attempts, "seq"), "_n")
     room = F.col("max_redemptions").isNull() | (
         F.col("_n") + F.coalesce("redeemed", F.lit(0)) <= F.col("max_redemptions"))
     return queued.where(room).select("seq", "code", "user_id", "campaign")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hlc import hlc
 from ..functions.paths import file_id_for
-from ..plans.ordered import Running, running, text_bucket, time_bucket
+from ..plans.ordered import Running, cut, running, text_axis
 from ..plans.skew import attach, keep_known
 from .blobs import reassemble
 from .causal import FILE
@@ -16,12 +16,12 @@ DAY = 86_400_000
 FRESH_DAYS = 90
 
 
-def upsert_heads(reports: DataFrame, width: int = 1 << 16) -> DataFrame:
+def upsert_heads(reports: DataFrame) -> DataFrame:
     """H1. Stored head per device: a report below the stored seq is refused, an equal one
     replaces it. The stored seq is the running maximum, so accepted reports are those not
     below it and the last of them wins.
     """
-    led = running(reports, ["vault_id", "device"], ["arrival"], time_bucket("arrival", width),
+    led = running(reports, ["vault_id", "device"], ["arrival"], cut(reports, "arrival"),
                   [Running("_top", "max", F.col("head_seq"))])
     kept = led.where("head_seq >= _top")
     return kept.groupBy("vault_id", "device").agg(
@@ -172,8 +172,8 @@ def restore_versions(picks: DataFrame, latest: DataFrame, now_ms: int | Column,
     rows = attach(picks.drop("ms", "cnt", "node"), top, ["vault_id"])
     rows = rows.withColumn("_wall", F.greatest(wall, F.col("_top.ms") + 1))
     if picks.schema["event_id"].dataType.typeName() == "string":  # as read_history gives them
-        rows, order, bucket = rows.withColumn("_at", F.sha2("event_id", 256)), "_at", text_bucket("_at")
+        rows, order, axis = rows.withColumn("_at", F.sha2("event_id", 256)), "_at", text_axis("_at")
     else:
-        order, bucket = "event_id", time_bucket("event_id", 1 << 16)
-    stamped = stamp_hlc(rows, "vault_id", "_wall", [order], bucket)
+        order, axis = "event_id", F.col("event_id")
+    stamped = stamp_hlc(rows, "vault_id", "_wall", [order], axis)
     return stamped.withColumn("node", F.lit(device)).drop("_top", "_wall", "_at")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gates import skew_guard
-from ..plans.ordered import DAY_MS, HOUR_MS, Running, running, time_bucket
+from ..plans.ordered import Running, cut, running
 from ..session import hadoop_path, settle
 
 
@@ -27,14 +27,14 @@ def debounce(events: DataFrame, gap: str = "3 seconds", delay: str = "10 seconds
 
 def debounce_batch(events: DataFrame, gap_us: int = 3_000_000,
                    keys: tuple[str, ...] = ("device", "path")) -> DataFrame:
-    """E1, batch twin. A path with a third of all events is still scanned in day pieces."""
+    """E1, batch twin. A path with a third of all events is still scanned in pieces."""
     rows = events.select(*keys, "event_id", "kind", F.unix_micros("ts").alias("us"))
-    bucket = time_bucket("us", DAY_MS * 1000)
-    led = running(rows, keys, ["us", "event_id"], bucket,
+    piece = cut(rows, "us")
+    led = running(rows, keys, ["us", "event_id"], piece,
                   [Running("_prev", "max", F.col("us"), before=True)])
     opens = F.col("_prev").isNull() | (F.col("us") - F.col("_prev") > gap_us)
     marked = running(led.withColumn("_open", F.when(opens, F.col("us"))), keys,
-                     ["us", "event_id"], bucket, [Running("start_us", "max", F.col("_open"))])
+                     ["us", "event_id"], piece, [Running("start_us", "max", F.col("_open"))])
     return marked.groupBy(*keys, "start_us").agg(
         F.max((F.col("kind") != "typing").cast("int")).alias("_disk"),
         F.count(F.lit(1)).alias("events"),
@@ -120,21 +120,21 @@ def _settle_echo(tries: DataFrame, ttl_ms: int) -> DataFrame:
 def _judge_echo(tries: DataFrame, ttl_ms: int) -> DataFrame:
     """Per path the open count is marks minus events, held at zero: the running sum less its
     running minimum, within one era of marks that are less than the ttl apart."""
-    keys, bucket = ["device", "path"], time_bucket("ms", HOUR_MS)
+    keys, piece = ["device", "path"], cut(tries, "ms")
     order = ["ms", "seq", F.desc("old")]
     is_mark = F.col("d") > 0
-    led = running(tries, keys, order, bucket,
+    led = running(tries, keys, order, piece,
                   [Running("_m", "max", F.when(is_mark, F.col("ms")), before=True)])
     live = F.col("_m").isNotNull() & (F.col("ms") - F.col("_m") < ttl_ms)
     led = led.withColumn("last_mark", F.when(is_mark, F.col("ms")).otherwise(F.col("_m")))
     opens = F.when(is_mark & ~live, F.struct("ms", "seq"))
     eras = settle(running(led.withColumn("_live", live).withColumn("_o", opens), keys, order,
-                          bucket, [Running("_era", "max", F.col("_o"))]))
+                          piece, [Running("_era", "max", F.col("_o"))]))
     idle = eras.where(~is_mark & ~F.col("_live")).withColumn("suppressed", F.lit(False)).withColumn(
         "held", F.lit(0).cast("long"))
     busy = eras.where(is_mark | F.col("_live"))
-    summed = running(busy, [*keys, "_era"], order, bucket, [Running("_s", "sum", F.col("d"))])
-    floor = running(summed, [*keys, "_era"], order, bucket,
+    summed = running(busy, [*keys, "_era"], order, piece, [Running("_s", "sum", F.col("d"))])
+    floor = running(summed, [*keys, "_era"], order, piece,
                     [Running("_f", "min", F.col("_s"), before=True)])
     debt = F.least(F.lit(0), F.coalesce("_f", F.lit(0)))
     before = F.col("_s") - F.col("d") - debt
@@ -152,11 +152,11 @@ def dedupe_chunks(chunks: DataFrame, delay: str | None = "10 minutes") -> DataFr
     return chunks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["blob_id", "off"])
 
 
-def adopt_ids(chunks: DataFrame, width: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def adopt_ids(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """E4. (chunks, refused): only the first chunk of a blob names it, later ones of the same
     upload (``upload_id, seq``) take its name; chunks before any name are refused."""
     named = F.when(F.col("blob_id").isNotNull(), F.struct("seq", "blob_id"))
-    led = running(chunks, ["upload_id"], ["seq"], time_bucket("seq", width),
+    led = running(chunks, ["upload_id"], ["seq"], cut(chunks, "seq"),
                   [Running("_id", "max", named)])
     led = led.withColumn("blob_id", F.col("_id.blob_id")).drop("_id")
     return led.where("blob_id is not null"), led.where("blob_id is null")
