@@ -1,5 +1,6 @@
 """Plans, caps, promo and discount codes, code batches, reports."""
 
+import pytest
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -123,3 +124,43 @@ def test_reports(spark):
     assert {r.device: r.pending for r in ops.pending_flags(fe).collect()} == {"d": 1, "e": 0}
     tasks = spark.createDataFrame([("k", 1, "pull"), ("k", 2, "push"), ("j", 3, "pull")], "task string, n long, grp string")
     assert {r.task: r.grp for r in ops.coalesce_latest(tasks, "task", "n").collect()} == {"k": "push", "j": "pull"}
+
+
+def simulate_status(events, now):
+    """Runs the timer as a device does."""
+    state, timer, pending = "off", None, False
+    for ms, _, kind, code, flag in sorted(e for e in events if e[0] <= now):
+        if timer is not None and timer < ms:
+            state, timer = "idle", None
+        if kind == "pending":
+            pending = flag
+            continue
+        if kind == "server_rejected" and not (code or "").startswith(("auth.", "app_policy.")):
+            continue
+        shown = "connecting" if kind in ("started", "connecting") else ops.STATUS.get(kind)
+        if shown is None:
+            continue
+        state = shown
+        if kind not in ops.LEAVES_TIMER:
+            timer = ms + ops.FALLS_BACK_MS[kind] if kind in ops.FALLS_BACK_MS else None
+    if timer is not None and timer <= now:
+        state = "idle"
+    return state, pending
+
+
+@pytest.mark.parametrize("rows", [20, None])
+def test_status_falls_back_in_time(spark, pieces, rows):
+    import random
+
+    rnd = random.Random(8)
+    kinds = [*ops.STATUS, "started", "connecting", "pending", "note", "file_pushed", "error", "blob_upload_done"]
+    log = {d: [(rnd.randrange(60_000), n, rnd.choice(kinds), rnd.choice(["auth.x", "app_policy.y", "rpc.z", None]),
+                rnd.random() < .5) for n in range(60)] for d in ("a", "b")}
+    probes = [(n, d, rnd.randrange(70_000)) for n, d in enumerate("abc" * 60)]
+    ev = spark.createDataFrame([(d, *e) for d, es in log.items() for e in es],
+                               "device string, ms long, event_id long, kind string, code string, pending boolean")
+    if rows:
+        pieces(rows)
+    got = {r.probe_id: (r.status, r.pending) for r in ops.status_at(
+        ev, spark.createDataFrame(probes, "probe_id long, device string, ms long")).collect()}
+    assert got == {n: simulate_status(log.get(d, []), ms) for n, d, ms in probes}

@@ -199,6 +199,19 @@ def test_tree_projection_equals_a_recursive_walk(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_entries_without_their_parent_still_come_out(spark):
+    trees = {i: [r for n, r in enumerate(random_tree(i, 60, i)) if n % 4 != i % 4] for i in (1, 2, 3)}
+    df = spark.createDataFrame([r for rows in trees.values() for r in rows], SEQ)
+    got = {r.file_id: r.text for r in text.sequence_text(df).collect()}
+
+    def hung(rows):
+        known = {r[1:4] for r in rows}
+        return [r if r[4] is None or r[4:7] in known else (*r[:4], None, None, None, "R", *r[8:]) for r in rows]
+
+    assert got == {k: walk(hung(v)) for k, v in trees.items()}
+    assert all(len(got[k]) == sum(not r[9] for r in v) for k, v in trees.items())
+
+
 def test_pieces_stay_bounded(spark):
     df = spark.createDataFrame([(1, "x" * 1000)], "file_id long, text string")
     pieces = text.sequence_pieces(text.seed_sequence(df), 256)

@@ -112,6 +112,30 @@ def test_blobs_complete_only_when_whole(spark, tmp_path):
     assert {r.blob_id: r.complete for r in out.collect()} == want
 
 
+def test_pieces_over_batches_in_any_order(spark, tmp_path):
+    chunk = "blob_id string, off long, bytes binary, last boolean, total long, ts timestamp"
+    batches = [
+        [("a", 4, b"ef", True, 6, at(0)), ("b", 0, b"xy", False, 4, at(0)), ("h", 0, b"12", False, 6, at(0))],
+        [("a", 0, b"abcd", False, 6, at(1)), ("a", 0, b"abcd", False, 6, at(1)), ("b", 1, b"zz", False, 4, at(1)),
+         ("h", 4, b"56", True, 6, at(1)), ("one", 0, b"!", True, 1, at(1)), (None, 0, b"?", True, 1, at(1))],
+        [("a", 4, b"EF", True, 6, at(2)), ("b", 2, b"zw", True, 4, at(2)), ("empty", 0, b"", True, 0, at(2))],
+        [("late", 0, b"l", False, 2, at(100)), ("a", 0, b"AAAA", False, 6, at(100))]]
+    body = ev.stream_blobs(str(tmp_path / "o"), 60_000)
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            body(spark.createDataFrame(rows, chunk), n)
+    read = lambda name: spark.read.parquet(str(tmp_path / "o" / name)).collect()
+    got = {(r.blob_id, r.piece_no): (r.batch, r.off, bytes(r.bytes)) for r in read("pieces")}
+    assert got == {("a", 0): (1, 0, b"abcd"), ("a", 1): (1, 4, b"ef"), ("one", 0): (1, 0, b"!"),
+                   ("empty", 0): (2, 0, b"")}
+    # b holds overlapping chunks and h a hole: neither comes out, both are given up in time.
+    assert {(r.blob_id, r.outcome) for r in read("closed")} == {
+        ("a", "complete"), ("one", "complete"), ("empty", "complete"), ("b", "expired"), ("h", "expired")}
+    left = spark.read.parquet(str(tmp_path / "o" / "state" / "batch=3")).where("outcome is null").collect()
+    assert [(r.blob_id, r.off) for r in left] == [("late", 0)]
+    assert ev.stale_batches(spark, str(tmp_path / "o"), 3) == [0, 1, 2]
+
+
 def puts(spark, log):
     rows = [("v", x["file"], x["ms"], x["cnt"], x["node"], i, i % 5 == 0, x["ctx"]) for i, x in enumerate(log)]
     return spark.createDataFrame(rows, "vault_id string, file_id string, ms long, cnt long, node string, server_seq long, "

@@ -296,6 +296,37 @@ def w3(i: Inputs):
     return ops.device_status(engine_events(i.table("events")))
 
 
+STATUS_AT = """with e as (select event_id, user_id u, epoch_us(ts)//1000 ms, event_type t, event_id%6 k from events),
+ x as (select *, case when t='purchase' then null when k=0 then 'file_pulled' when k=1 then 'file_pushed'
+ when k=2 then 'blob_upload_done' when k=3 then 'server_rejected' when k=4 then 'error' else 'pending' end kind,
+ case when event_id%4=0 then 'app_policy.x' when event_id%4=1 then 'rpc.x' end code from e),
+ y as (select *, case kind when 'file_pulled' then 'pulling' when 'file_pushed' then 'pushing' when 'blob_upload_done'
+ then 'idle' when 'error' then 'error' when 'server_rejected' then case when code='app_policy.x' then 'sub_expired' end
+ end s, case kind when 'file_pulled' then ms+7200000 when 'file_pushed' then ms+7200000 when 'error' then ms+36000000 end d
+ from x),
+ z as (select *, max(case when s is not null then {'ms':ms,'e':event_id,'s':s} end) over w ls,
+ max(case when s is not null and kind<>'blob_upload_done' then {'ms':ms,'e':event_id,'d':d} end) over w lt,
+ max(case when kind='pending' then {'ms':ms,'e':event_id,'p':event_id%5<2} end) over w lf from y
+ window w as (partition by u order by ms, t='purchase', event_id))
+ select event_id probe_id, 'u'||u device, case when lt.d<=ms and ls.ms<=lt.d then 'idle' else coalesce(ls.s,'off') end status,
+ coalesce(lf.p,false) pending from z where t='purchase'"""
+
+
+@query("w3_status_at", STATUS_AT)
+def w3_at(i: Inputs):
+    """Every purchase asks what the device shows; the other events are engine events."""
+    e = i.table("events").select("event_id", F.concat(F.lit("u"), "user_id").alias("device"), "event_type",
+                                 F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    kinds = ["file_pulled", "file_pushed", "blob_upload_done", "server_rejected", "error", "pending"]
+    told = e.where("event_type <> 'purchase'").select(
+        "device", "ms", "event_id", F.element_at(F.array(*[F.lit(x) for x in kinds]),
+                                                 (F.col("event_id") % 6 + 1).cast("int")).alias("kind"),
+        F.when(F.col("event_id") % 4 == 0, "app_policy.x").when(F.col("event_id") % 4 == 1, "rpc.x").alias("code"),
+        (F.col("event_id") % 5 < 2).alias("pending"))
+    asked = e.where("event_type = 'purchase'").select(F.col("event_id").alias("probe_id"), "device", "ms")
+    return ops.status_at(told, asked, {"file_pulled": 7_200_000, "file_pushed": 7_200_000, "error": 36_000_000})
+
+
 def marks(i: Inputs):
     k = F.col("kind")
     return i.file_events().withColumn("kind", F.when(k.isin("modified", "created"), "mark").when(
@@ -437,6 +468,28 @@ def e4(i: Inputs):
     return ev.assemble_blobs(ev.dedupe_chunks(announced(i.blob_chunks()), None))
 
 
+@query("e4_blob_pieces_stream", """with d as (select distinct blob_id, off-1 off, blob_id%7+1 total from blob_chunks
+ where off-1<blob_id%7+1), whole as (select blob_id from d group by 1 having count(*)=max(total))
+ select blob_id, off piece_no, off, substr(md5(blob_id||':'||off), 1, 1) piece from d join whole using (blob_id)""")
+def e4_pieces(i: Inputs):
+    """Chunks come in four batches, out of order and with repeats; every batch runs twice."""
+    name = F.concat_ws(":", F.col("blob_id").cast("string"), F.col("off").cast("string"))
+    chunks = announced(i.blob_chunks()).where("off < total").withColumn(
+        "bytes", F.substring(F.md5(name), 1, 1).cast("binary")).drop("len")
+    src, out = scratch_folder(i.spark, "chunks"), scratch_folder(i.spark, "pieces")
+    chunks.unionByName(chunks.where("off = 1")).repartition(4, "off", "blob_id").write.parquet(src)
+    body = ev.stream_blobs(out, 1 << 50)
+
+    def twice(rows, batch):
+        body(rows, batch)
+        body(rows, batch)
+
+    stream = i.spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    reg.run_available(stream, twice, f"{out}/progress")
+    return i.spark.read.parquet(f"{out}/pieces").select(
+        "blob_id", "piece_no", "off", F.col("bytes").cast("string").alias("piece"))
+
+
 @query("e4_adopt_ids", """with u as (select o_custkey upload_id, o_orderkey seq, case when o_orderstatus='O' then
  o_orderkey end b from orders) select upload_id, seq, coalesce(last_value(b ignore nulls) over (partition by upload_id
  order by seq), -1) blob_id from u""")

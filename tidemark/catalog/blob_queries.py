@@ -465,6 +465,16 @@ def m12_tree(i: Inputs):
     return text.sequence_text(url_tree(i, F.col("cnt") % 5 == 0))
 
 
+@query("m12_partial_text", """with kept as (select *, list_min(list_filter(range(1, length(bin(i))),
+ lambda k: (i >> k::int) % 7 = 3)) k from url_tree where i%7<>3), placed as (select file_id, val, i,
+ case when k is null then 1 else i >> (k-1)::int end r from kept)
+ select file_id, string_agg(val, '' order by r, replace(substr(bin(i),length(bin(r))+1),'1','2')||'1') text
+ from placed group by 1""")
+def m12_partial(i: Inputs):
+    """Sequences of which a seventh has not arrived."""
+    return text.sequence_text(url_tree(i, F.lit(False)).where("cnt % 7 <> 3"))
+
+
 @query("m13_text_edits", """select a.file_id, case when a.body=b.body then 'noop' when a.body='' then 'seed'
  when (length(a.body)+length(b.body))*abs(length(b.body)-length(a.body))>5000000 then 'reseed' else 'edit' end "action"
  from versions a join versions b on a.file_id=b.file_id and a.version='A' and b.version='B'""")

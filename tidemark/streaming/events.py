@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gates import skew_guard
-from ..plans.ordered import Running, cut, running
+from ..plans.ordered import Running, cut, first_per_key, number_rows, running
 from ..session import hadoop_path, settle
 
 
@@ -183,6 +183,67 @@ def assemble_blobs(chunks: DataFrame, first_off: int = 0) -> DataFrame:
         "complete"))
 
 
+def stream_blobs(folder: str, ttl_ms: int = 600_000) -> Callable[[DataFrame, int], None]:
+    """E4. ``foreachBatch`` body: the bytes of a blob come out as ordered pieces once it is whole.
+
+    ``chunks``: ``(blob_id, off, bytes, last, total, ts)``. Bytes are written once, to the batch's
+    ``staged`` folder; between batches only the intervals of open blobs are kept, with the batch that
+    holds their bytes. Of chunks with the same offset the first delivery counts. A blob that no chunk came
+    for within ``ttl_ms`` of the newest event is given up; closed blobs are remembered as long,
+    so that late repeats do not open them again. No blob is one cell or one task: pieces stay chunks, numbered
+    from 0 in ``pieces`` ``(blob_id, piece_no, off, bytes)``; ``closed`` says per blob ``(outcome, chunks,
+    received)``. Rows without an id, offset or bytes are left out. Every batch has its own folders, so it may run again.
+    """
+
+    def apply(chunks: DataFrame, batch: int) -> None:
+        spark = chunks.sparkSession
+        here = chunks.where("blob_id is not null and off is not null and bytes is not null").select(
+            "blob_id", F.col("off").cast("long").alias("off"), "bytes", "last", "total",
+            F.unix_millis("ts").alias("ms"))
+        place = f"{folder}/staged/batch={batch}"
+        first_per_key(here, ["blob_id", "off"], ["ms", "bytes"]).write.mode("overwrite").parquet(place)
+        fresh = spark.read.parquet(place).select(
+            "blob_id", "off", F.octet_length("bytes").cast("long").alias("len"), "last", "total", "ms",
+            F.lit(batch).cast("long").alias("batch"), F.lit(None).cast("string").alias("outcome"))
+        held = _load_batch(spark, f"{folder}/state", batch - 1)
+        known = fresh if held is None else held.select(*fresh.columns).unionByName(fresh)
+        rows = settle(known)
+        shut = rows.where("outcome is not null")
+        newest = rows.agg(F.max("ms")).first()[0]
+        live = first_per_key(rows.where("outcome is null").join(
+            shut.select("blob_id"), "blob_id", "left_anti"), ["blob_id", "off"], ["batch"])
+        live = settle(live)
+        judged = assemble_blobs(live).join(live.groupBy("blob_id").agg(F.max("ms").alias("ms")), "blob_id")
+        late = F.col("ms") < F.lit(newest) - ttl_ms
+        judged = settle(judged.withColumn("outcome", F.when(F.col("complete"), "complete").when(late, "expired")))
+        closing = judged.where("outcome is not null")
+        closing.select("blob_id", "outcome", "chunks", "received").write.mode("overwrite").parquet(
+            f"{folder}/closed/batch={batch}")
+
+        whole = live.join(closing.where("complete").select("blob_id"), "blob_id", "left_semi")
+        numbered = number_rows(whole.select("blob_id", "off", "batch"), ["blob_id"], ["off"], cut(whole, "off"), "_n")
+        batches = [r.batch for r in whole.select("batch").distinct().collect()]  # open batches, not chunks
+        staged = spark.read.option("basePath", f"{folder}/staged").schema(
+            "blob_id " + here.schema["blob_id"].dataType.simpleString() + ", off long, bytes binary, batch long").parquet(
+            *[f"{folder}/staged/batch={b}" for b in sorted({*batches, batch})])
+        numbered.join(staged, ["blob_id", "off", "batch"]).select(
+            "blob_id", (F.col("_n") - 1).alias("piece_no"), "off", "bytes").write.mode("overwrite").parquet(
+            f"{folder}/pieces/batch={batch}")
+
+        marks = closing.select("blob_id", "ms", "outcome").unionByName(
+            shut.where(F.col("ms") >= F.lit(newest) - ttl_ms).select("blob_id", "ms", "outcome"))
+        live.join(closing.select("blob_id"), "blob_id", "left_anti").unionByName(
+            marks, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
+
+    return apply
+
+
+def stale_batches(spark: SparkSession, folder: str, batch: int) -> list[int]:
+    """E4. Staged batches no open blob needs after ``batch``: their folders may go."""
+    oldest = spark.read.parquet(f"{folder}/state/batch={batch}").agg(F.min("batch")).first()[0]
+    return list(range(batch + 1 if oldest is None else oldest))
+
+
 # E8 ------------------------------------------------------------------------------------
 def expand_moves(events: DataFrame) -> DataFrame:
     """E8. A move is a delete of the old and a change of the new name; a rename without an
