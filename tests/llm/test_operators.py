@@ -174,6 +174,37 @@ def test_rejected_hosts(spark):
     assert rows(got) == [("bad",)]
 
 
+def test_tags_of_odd_pages_in_linear_time():
+    import random
+    import time
+
+    rnd = random.Random(6)
+    plain = re.compile(
+        rf"<!--.*?(?:-->|\Z)|<({pages._RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+        r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
+        r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+    bits = ["<", ">", '"', "'", "<a ", "</p>", "<p>", "<!--", "-->", "<!x", "<script>", "</SCRIPT >", "<title", "<titles",
+            " x ", "=", "/", "é", "<br/>", "<?", "</script", "--"]
+    for _ in range(20000):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randrange(14)))
+        want = [(m.start(), m.end(), bool(m[1]), m[3] or m[6] or "", m[2] or m[5] or "", m[4] or m[7] or "")
+                for m in plain.finditer(page)]
+        assert list(pages._tokens(page)) == want, page
+    for unit in ('<a "x ', '<a ">"', "<a '>\"", "<a ", "<script ", "<!", "<a \"x' ", "</a '>'"):
+        begun = time.perf_counter()
+        assert sum(1 for _ in pages._tokens((unit * (1 << 20))[:1 << 20] + "'")) >= 0
+        assert time.perf_counter() - begun < 2, unit
+
+
+def test_license_rows_that_share_an_id(spark):
+    notice = dict((i, t) for i, (_, t) in enumerate(licenses.TEMPLATES))
+    items = [(1, notice[4]), (1, "plain text"), (None, notice[0]), (None, None), (None, "nothing"), (2, notice[4]), (2, notice[4])]
+    got = sorted((r.doc_id or 0, r.n_words, r.labels, r.score) for r in licenses.scan(
+        spark.createDataFrame(items, "doc_id long, text string")).collect())
+    assert [(d, lab, s) for d, n, lab, s in got] == [
+        (0, "", 0.0), (0, "", 0.0), (0, "mit", 1.0), (1, "", 0.0), (1, "bsd", 1.0), (2, "bsd", 1.0), (2, "bsd", 1.0)]
+
+
 def test_license_scan(spark, none):
     long = dict((i, t) for i, (_, t) in enumerate(licenses.TEMPLATES))[0].split()
     items = [(1, "x MIT License, mit license y"), (2, None), (3, "cc by-nc cc by"), (4, " ".join(long[:9] + ["odd"] + long[9:])),

@@ -47,6 +47,11 @@ def _windows(words, k: int):
         lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _row(text: str):
+    """With the id, what tells a row from others: rows alike in both get the same answer."""
+    return F.xxhash64(F.col(text)).alias("row")
+
+
 def _places(words, phrase: str):
     """Where the words of a phrase stand one after the other."""
     parts = phrase.split()
@@ -63,16 +68,16 @@ def _places(words, phrase: str):
 def base(docs: DataFrame, key: str, text: str, phrases=PHRASES) -> DataFrame:
     """Word count, phrase places and their labels; most texts fail the search for the first word."""
     w = F.col("__lic_w")
-    df = docs.select(F.col(key).alias("doc_id"), _words(F.col(text)).alias("__lic_w"))
+    df = docs.select(F.col(key).alias("doc_id"), _row(text), _words(F.col(text)).alias("__lic_w"))
     joined = F.concat_ws(" ", F.lit(""), w, F.lit(""))
     df = df.withColumn("__lic_s", joined)
     none = F.array().cast("array<int>")
     found = [F.when(F.instr("__lic_s", f" {p} ") > 0, _places(w, p)).otherwise(none) for p, _ in phrases]
-    df = df.select("doc_id", F.size(w).cast("long").alias("n_words"),
+    df = df.select("doc_id", "row", F.size(w).cast("long").alias("n_words"),
                    *[x.alias(f"__lic_{i}") for i, x in enumerate(found)])
     at = F.flatten(F.array(*[F.col(f"__lic_{i}") for i in range(len(phrases))]))
     labels = F.array(*[F.when(F.size(f"__lic_{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)])
-    return df.select("doc_id", "n_words", F.size(at).cast("long").alias("n_base"),
+    return df.select("doc_id", "row", "n_words", F.size(at).cast("long").alias("n_base"),
                      F.array_min(at).cast("long").alias("first_word"),
                      F.array_max(at).cast("long").alias("last_word"),
                      F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base_list"))
@@ -80,11 +85,12 @@ def base(docs: DataFrame, key: str, text: str, phrases=PHRASES) -> DataFrame:
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, k: int = 4,
           drift: int = 3, least: float = 0.6) -> DataFrame:
-    """``(doc_id, template, label, first_word, last_word, coverage)`` of template occurrences.
+    """``(doc_id, row, template, label, first_word, last_word, coverage)`` of template occurrences.
 
     Windows that hit diagonals at most ``drift`` apart, each with the next, are one occurrence; it
     stands when it holds at least ``least`` of the template's distinct windows, and that share is
-    its coverage. A template below ``k`` words is not looked for. Rows that share an id vote together.
+    its coverage. A template below ``k`` words is not looked for. Each row votes for itself:
+    ``row``, a hash of the text, tells rows with the same id, or with none, apart.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame([(i, label, t) for i, (label, t) in enumerate(templates)],
@@ -93,21 +99,21 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TE
     marks = given.select("template", "label", "size", F.posexplode(_windows(F.col("w"), k)).alias("t_at", "h"))
     if sum(len(t.split()) for _, t in templates) <= TEMPLATE_WINDOWS:
         marks = F.broadcast(marks)
-    df = docs.select(F.col(key).alias("doc_id"), _words(F.col(text)).alias("w"))
-    df = df.select("doc_id", F.posexplode(_windows(F.col("w"), k)).alias("at", "h"))
-    hits = (df.join(marks, "h").groupBy("doc_id", "template", "label", "size",
+    df = docs.select(F.col(key).alias("doc_id"), _row(text), _words(F.col(text)).alias("w"))
+    df = df.select("doc_id", "row", F.posexplode(_windows(F.col("w"), k)).alias("at", "h"))
+    hits = (df.join(marks, "h").groupBy("doc_id", "row", "template", "label", "size",
                                         (F.col("at") - F.col("t_at")).alias("diagonal"))
             .agg(F.collect_set("t_at").alias("seen"), F.min("at").alias("low"), F.max("at").alias("high")))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    order = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     cut = (F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int")
     runs = (hits.withColumn("cut", F.coalesce(cut, F.lit(0)))
             .withColumn("run", F.sum("cut").over(order))
-            .groupBy("doc_id", "template", "label", "size", "run")
+            .groupBy("doc_id", "row", "template", "label", "size", "run")
             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"),
                  F.min("low").alias("low"), F.max("high").alias("high")))
     share = F.col("n") / F.col("size")
     return runs.where(share >= least).select(
-        "doc_id", "template", "label", F.col("low").cast("long").alias("first_word"),
+        "doc_id", "row", "template", "label", F.col("low").cast("long").alias("first_word"),
         (F.col("high") + k - 1).cast("long").alias("last_word"), share.alias("coverage"))
 
 
@@ -117,13 +123,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRAS
 
     Words are lower-cased runs of ASCII letters and digits and of all characters above U+007F. The
     score is 1 for a document with a phrase, else its best template coverage, else 0. Null and empty
-    texts have no words, no labels and score 0. Rows that share an id share the template labels.
+    texts have no words, no labels and score 0. Rows that share an id, or have none, are judged each
+    by their own text.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    found = (spans(docs, "doc_id", "text", templates, k, drift, least).groupBy("doc_id")
+    found = (spans(docs, "doc_id", "text", templates, k, drift, least).groupBy("doc_id", "row")
              .agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best")))
-    found = stored(found, "licences")
-    rows = base(docs, "doc_id", "text", phrases).join(found, "doc_id", "left")
+    found = stored(found, "licences").withColumnsRenamed({"doc_id": "found_id", "row": "found_row"})
+    rows = base(docs, "doc_id", "text", phrases)
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row") == F.col("found_row")), "left")
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.concat_ws(",", "base_list").alias("base_labels"),

@@ -37,12 +37,11 @@ _VECTOR = (1 << 40) - 1
 #: Templates go to all executors up to so many bytes in all, else they are joined by host.
 BROADCAST_BYTES = 16 << 20
 _RAW = "script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|title"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+_OPEN = re.compile(rf"<(?:(!--)|({_RAW})\b|(/?)([a-z][a-z0-9:-]*)|[!?])", re.I)
+_CLOSE = {raw: re.compile(rf"</{raw}\s*>", re.I) for raw in _RAW.split("|")}
+_ENDS = re.compile("[>\"']")
 #: What is left out of a page's digest: comments, scripts, styles and tags.
-_NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)|</?[a-z][^>]*>"
+_NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)|</?[a-z][^<>]*>"
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _STRUCTURE = frozenset("html head body div section article main nav header footer aside form ul ol dl table fieldset "
@@ -133,6 +132,50 @@ def _bar(elements: list[_Element], slot: int | None, known: frozenset) -> None:
         e.barred = e.parent.barred or e.named > 0
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str, str]]:
+    """``(start, end, raw, tag, closing, attributes)`` of comments, raw elements (with what is in them), tags.
+
+    A tag ends at the first ``>`` outside quotes, without one at the first ``>``. Quotes from which no such end is
+    reached are remembered, so that each is followed once and the time is linear in the page.
+    """
+    last, dead, ahead = page.rfind(">"), set(), (0, -1)
+
+    def unquoted(p: int) -> int:
+        nonlocal ahead
+        followed = []
+        while True:
+            if not ahead[0] <= p <= ahead[1]:
+                found = _ENDS.search(page, p)
+                ahead = (p, found.start() if found else len(page))
+            q = ahead[1]
+            if q < len(page) and page[q] == ">":
+                return q + 1
+            p = page.find(page[q], q + 1) + 1 if q < len(page) and q not in dead else 0
+            if q < len(page):
+                followed.append(q)
+            if not p:
+                dead.update(followed)
+                return 0
+
+    at = page.find("<")
+    while at >= 0:
+        m, end = _OPEN.match(page, at), 0
+        if m and m[1]:
+            end = page.find("-->", m.end()) + 3
+            end = end if end > 2 else len(page)
+        elif m and at < last:
+            first = page.find(">", m.end()) + 1
+            if m[2]:
+                close = _CLOSE[m[2].lower()].search(page, first)
+                end = close.end() if close else len(page)
+            else:
+                end = m[4] and unquoted(m.end()) or first
+        if end:
+            raw = bool(m[2])
+            yield at, end, raw, m[4] or "", m[3] or "", page[m.end():end - 1] if m[4] else ""
+        at = page.find("<", end or at + 1)
+
+
 def _events(page: str, slot: int | None) -> Iterator[tuple[_Element, str | None]]:
     root = _Element("", 0, 0, None, False, 0, False, False)
     stack, text, at = [root], [], 0
@@ -142,16 +185,15 @@ def _events(page: str, slot: int | None) -> Iterator[tuple[_Element, str | None]
         text.clear()
         return words
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at:m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
+    for start, end, raw, tag, closing, attributes in _tokens(page):
+        if start > at:
+            text.append(page[at:start])
+        at = end
         if not tag:
-            if m[1] and text:
+            if raw and text:
                 text.append(" ")
             continue
-        tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        tag = tag.lower()
         marks = "" if closing else attributes and " ".join(
             f"{k.lower()}={a or b or c}" for k, a, b, c in _ATTRIBUTE.findall(attributes))
         if tag in _INLINE and (closing or not marks or tag in _VOID or tag != "span"):
