@@ -40,6 +40,8 @@ _RAW = "script|style|noscript|template|svg|iframe|textarea|select|button|object|
 _OPEN = re.compile(rf"<(?:(!--)|({_RAW})\b|(/?)([a-z][a-z0-9:-]*)|[!?])", re.I)
 _CLOSE = {raw: re.compile(rf"</{raw}\s*>", re.I) for raw in _RAW.split("|")}
 _ENDS = re.compile("[>\"']")
+#: The rest of a tag without angle brackets in its quotes: no attempt passes the next bracket.
+_REST = re.compile(r"[^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+>")
 #: What is left out of a page's digest: comments, scripts, styles and tags.
 _NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)|</?[a-z][^<>]*>"
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -163,6 +165,8 @@ def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str, str]]:
         if m and m[1]:
             end = page.find("-->", m.end()) + 3
             end = end if end > 2 else len(page)
+        elif m and m[4] and (rest := _REST.match(page, m.end())):
+            end = rest.end()
         elif m and at < last:
             first = page.find(">", m.end()) + 1
             if m[2]:
