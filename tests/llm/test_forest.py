@@ -81,6 +81,28 @@ def test_dense_regions_go_deeper(spark, monkeypatch):
     assert levels == [0, 1]
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """However many partitions a session shuffles to, small tables are not written as a file for each."""
+    files, plain = [], forest.stored
+
+    def counted(*args):
+        out = plain(*args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(forest, "stored", counted)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, value in zip(old, ("60", "false")):
+            spark.conf.set(c, value)
+        rows = corpus(5, 200)
+        assert result(spark, rows) == expected(rows)
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert len(files) > 5 and max(files) <= 24
+
+
 def test_no_rows(spark):
     assert result(spark, []) == []
     assert result(spark, [(1, None), (2, " ")]) == [(1, 0, 1, True), (2, 0, 2, True)]

@@ -14,6 +14,8 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A small stored table is written by a task for each so many bytes of its inputs, but at least so many tasks.
+PART_BYTES, LEAST_PARTS = 1 << 20, 24
 #: Folders made by this process that `release` may remove.
 _WORK: set[str] = set()
 
@@ -37,12 +39,15 @@ def scratch(spark: SparkSession, label: str, work: bool = True) -> str:
     return folder
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, of: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Several later steps read it, each only the columns it needs; a lost executor costs nothing
-    that was written.
+    that was written. ``of`` are stored tables that tell how large ``df`` may be: if they are small, partitions are
+    joined to tasks of more rows when written, instead of a file of a few rows for each.
     """
+    if of:
+        df = df.coalesce(max(LEAST_PARTS, -(-sum(map(stored_bytes, of)) // PART_BYTES)))
     folder = scratch(df.sparkSession, label)
     df.write.parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
@@ -50,6 +55,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stored_bytes(t: DataFrame) -> int:
+    """Bytes of a table of `stored`."""
+    system, path = _path(t.sparkSession, t.stored_in)
+    return system.getContentSummary(path).getLength()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of `stored` that no later step reads."""
     for t in tables:

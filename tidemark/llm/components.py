@@ -15,9 +15,10 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of a component's width. Labels are written to
     the shared folder after each round. Self links keep a node in the result.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    size = (links,) if hasattr(links, "stored_in") else ()
+    both = links.select("a", "b").union(links.select("b", "a"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = stored(labels, "labels")
+    labels = stored(labels, "labels", size)
     while True:
         near = (both.join(labels.select("node", "component"), F.col("b") == F.col("node")).groupBy("a")
                 .agg(F.min("component").alias("near")))
@@ -26,9 +27,8 @@ def components(links: DataFrame) -> DataFrame:
                        F.least("component", "near").alias("component")))
         top = labels.select(F.col("node").alias("top"), F.col("component").alias("above"))
         new = stored(new.join(top, F.col("component") == F.col("top"), "left")
-                     .select("node", "was", F.least("component", "above").alias("component")), "labels")
+                     .select("node", "was", F.least("component", "above").alias("component")), "labels", size)
         discard(labels)
         if new.where("component < was").isEmpty():
-            discard(both)
             return new
         labels = new

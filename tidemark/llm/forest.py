@@ -145,12 +145,12 @@ def _neighbours(percent: int):
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar enough."""
-    need = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "need")
+    need = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "need", (pairs,))
     of = stored(docs.join(need, "doc", "left_semi").select("doc", "text")
                 .mapInArrow(_members(k), "doc long, members binary"), "sets")
     a, b = (of.select(F.col("doc").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
     found = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b")
-                   .mapInArrow(_alike(percent), "a long, b long").distinct(), "found")
+                   .mapInArrow(_alike(percent), "a long, b long"), "found", (of,))
     discard(need, of)
     return found
 
@@ -229,30 +229,35 @@ def _screened(percent: int, compared: int):
     return screened
 
 
-def _across(left: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, level: int,
-            percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across the components of regions that are not too dense, and the documents of the others.
-
-    ``left`` are rows ``(region, doc, n, component)`` of regions with several components. A region's members
-    meet those outside its largest component, in cells of bounded size, by the signatures of ``nodes`` and, where
-    they are small, by their sets.
-    """
+def _split(rows: DataFrame, labels: DataFrame, level: int) -> DataFrame:
+    """The rows of regions with several components: ``(region, doc, n, component, largest, dense, i_n, j_n)``."""
     last = level == len(LEVELS) - 1
-    compared = min(COMPARED, LEVELS[level][1] * LEVELS[level][2])
-    sizes = left.groupBy("region", "component").agg(F.count("*").alias("c"))
+    named = (rows.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
+             .select("region", "doc", "n", F.coalesce("component", "doc").alias("component")))
+    sizes = named.groupBy("region", "component").agg(F.count("*").alias("c"))
     regions = sizes.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"),
                                           F.max(F.struct("c", "component")).alias("top"))
     dense = F.lit(False) if last else (F.col("m") * F.col("m") - F.col("squares")) / 2 > PAIRS_PER_MEMBER * F.col("m")
-    rows = stored(left.join(regions.select(
+    return stored(named.join(regions.where(F.col("top.c") < F.col("m")).select(
         "region", F.col("top.component").alias("largest"), dense.alias("dense"),
         F.ceil(F.col("m") / CELL_ROWS).alias("i_n"), F.ceil((F.col("m") - F.col("top.c")) / CELL_ROWS).alias("j_n")),
-        "region"), "across")
-    of = rows.where("not dense").select("doc").distinct()
-    sketch = (nodes.select("doc", F.substring("signature", 1, 2 * compared).alias("signature")).join(of, "doc")
-              .join(docs.join(nodes.where(F.col("n") <= SMALL).join(of, "doc").select("doc"), "doc", "left_semi")
-                    .mapInArrow(_members(k), "doc long, members binary").dropDuplicates(["doc", "members"]),
-                    "doc", "left"))
-    some = rows.where("not dense").join(stored(sketch, "sketch"), "doc")
+        "region"), "across", (rows,))
+
+
+def _across(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, level: int, percent: int) -> DataFrame:
+    """Pairs across the components of regions that are not too dense.
+
+    ``rows`` are those of `_split`. A region's members meet those outside its largest component, in cells of
+    bounded size, by the signatures of ``nodes`` and, where they are small, by their sets.
+    """
+    compared = min(COMPARED, LEVELS[level][1] * LEVELS[level][2])
+    of = rows.where("not dense")
+    sketch = (nodes.select("doc", F.substring("signature", 1, 2 * compared).alias("signature"))
+              .join(of.select("doc"), "doc", "left_semi")
+              .join(docs.join(of.where(F.col("n") <= SMALL).select("doc"), "doc", "left_semi")
+                    .mapInArrow(_members(k), "doc long, members binary").repartition("doc")
+                    .dropDuplicates(["doc", "members"]), "doc", "left"))
+    some = of.join(stored(sketch, "sketch", (nodes,)), "doc")
     cell = F.pmod(F.xxhash64("doc"), F.col("i_n")), F.pmod(F.xxhash64("doc"), F.col("j_n"))
     columns = ["region", "i", "j", "other", "doc", "n", "component", "largest", "signature", "members"]
     members = (some.select("*", cell[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"),
@@ -262,7 +267,7 @@ def _across(left: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, level: i
                       F.lit(1).alias("other")).select(*columns))
     pairs = (members.union(others).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
              .mapInArrow(_screened(percent, compared), "a long, b long").distinct())
-    return pairs, rows.where("dense").select("doc").distinct()
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
@@ -280,45 +285,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     signed = "doc long, n int, set_key binary, signature binary"
     feat = stored(docs.mapInArrow(_signed(k, 0), signed), "signed")
     known = feat.where("n > 0 and doc is not null")
-    reps = stored(known.groupBy("set_key").agg(F.min("doc").alias("rep")), "reps")
-    of = stored(known.select("doc", "set_key").join(reps, "set_key").select("doc", "rep"), "of")
+    reps = known.groupBy("set_key").agg(F.min("doc").alias("rep"))
+    of = stored(known.select("doc", "set_key").join(reps, "set_key"), "of", (feat,))
     several = of.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     links = stored(of.join(several, "doc").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-                   .where("a < b").distinct(), "links")
+                   .where("a < b").distinct(), "links", (of,))
     labels = None
-    heads = reps.select(F.col("rep").alias("doc"), "set_key")
+    heads = of.where("doc = rep").select("doc", "set_key")
+
+    def headed(of_level):
+        """Those of the signed rows that stand for a set, each once."""
+        return of_level.join(heads, ["doc", "set_key"], "left_semi").dropDuplicates(["doc", "set_key"])
 
-    def grown(links, labels, pairs):
+    def grown(links, labels, pairs, source):
         """Links and labels after the pairs were confirmed; both stay as they are if no link is new."""
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs, "pairs", (source,))
         found = None if pairs.isEmpty() else _confirmed(docs, pairs, k, percent)
         if found is None or found.isEmpty():
             return links, components(links) if labels is None else labels
-        more = stored(links.union(found), "links")
+        more = stored(links.union(found), "links", (links, found))
         discard(pairs, found, links, *([labels] if labels is not None else []))
         return more, components(more)
 
-    nodes = known.join(heads, ["doc", "set_key"], "left_semi")
+    nodes = stored(headed(known), "nodes", (feat,))
     for level in range(len(LEVELS)):
-        rows = stored(_regions(nodes, level), "regions")
+        rows = stored(_regions(nodes, level), "regions", (nodes,))
         near = (rows.repartitionByRange("region", "sorted_by", "doc").sortWithinPartitions("region", "sorted_by", "doc")
                 .select("region", "doc", "n").mapInArrow(_neighbours(percent), "a long, b long"))
         star = rows.where("lead < doc").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
-        links, labels = grown(links, labels, near.where("a < b").union(star).distinct())
-        named = (rows.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
-                 .select("region", "doc", "n", F.coalesce("component", "doc").alias("component")))
-        split = (named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                 .where("low < high").select("region"))
-        left = stored(named.join(split, "region", "left_semi").distinct(), "left")
-        pairs, dense = _across(left, nodes, docs, k, level, percent)
-        deeper = stored(dense, "dense")
-        links, labels = grown(links, labels, pairs)
-        discard(rows, left)
+        links, labels = grown(links, labels, near.where("a < b").union(star).distinct(), rows)
+        split = _split(rows, labels, level)
+        deeper = stored(split.where("dense").select("doc").distinct(), "dense", (split,))
+        links, labels = grown(links, labels, _across(split, nodes, docs, k, level, percent), rows)
+        discard(rows, split)
         if deeper.isEmpty():
-            discard(deeper)
+            discard(deeper, nodes)
             break
-        nodes = stored(docs.join(deeper, "doc", "left_semi").mapInArrow(_signed(k, level + 1), signed)
-                       .join(heads, ["doc", "set_key"], "left_semi"), "signed")
+        above, nodes = nodes, stored(headed(docs.join(deeper, "doc", "left_semi").mapInArrow(
+            _signed(k, level + 1), signed)), "nodes", (nodes, deeper))
+        discard(above)
     whole = of.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(
         F.min("component").alias("component"))
