@@ -31,7 +31,8 @@ BLOCK = 4096
 SEGMENT_IDS = 4_000_000  # a segment closes with the document that reaches so many
 _HEAD = np.dtype([("bits", "<u4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8")])
 _RUN = 2_000_000
-CACHED = 1_000_000
+#: Words kept between runs; beyond so many, only those that the run at hand needs.
+CACHED = 800_000
 _SIGNS = b".,;:!?"
 _CODERS: dict[str, "WordCoder"] = {}
 
@@ -111,8 +112,7 @@ class WordCoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.letters = byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
 
     def _run_of_letters(self, word: bytes) -> str | None:
         """A word that the normalizer leaves alone and that is one piece, in the model's byte letters."""
@@ -136,12 +136,12 @@ class WordCoder:
                 ids += [t.id for t in tokenize(piece)]
                 ends.append(4 * len(ids))
         raw = np.array(ids, "<u4").tobytes()
-        self.stems.update((w, raw[a:b]) for w, a, b in zip(known, ends, ends[1:]))
+        self.words.update(zip(known, [raw[a:b] for a, b in zip(ends, ends[1:])]))
         plain = [x for x in rest if b"<|" not in x]
-        self.stems.update(zip(plain, self._ids(plain)))
+        self.words.update(zip(plain, self._ids(plain)))
         for x in rest:
             if b"<|" in x:
-                self.stems[x] = next(self._ids([x]))
+                self.words[x] = next(self._ids([x]))
 
     def _ids(self, words: list[bytes]) -> Iterator[bytes]:
         for a in range(0, len(words), 256):
@@ -155,19 +155,23 @@ class WordCoder:
                 yield ids[i:j].tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        stems = []
+        """Words by their stem and the signs behind it, both words themselves."""
+        whole, parts = [], []
         for w in words:
-            s = w.rstrip(_SIGNS)
-            stems.append((s, w[len(s):]) if s and s[-1:].isalnum() and b"<|" not in w else (w, b""))
-        new = list({x for pair in stems for x in pair if x and x not in self.stems})
-        self._stems(new)
-        self.stems.setdefault(b"", b"")
-        self.words.update((w, self.stems[s] + self.stems[t]) for w, (s, t) in zip(words, stems))
+            if w.isalpha():
+                whole.append(w)
+                continue
+            stem = w.rstrip(_SIGNS)
+            if stem and len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                parts.append((w, stem, w[len(stem):]))
+            else:
+                whole.append(w)
+        known = self.words
+        self._stems(list({x for _, *pair in parts for x in pair if x not in known}.union(whole)))
+        known.update([(w, known[stem] + known[signs]) for w, stem, signs in parts])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) + len(self.stems) > CACHED:
-            self.words, self.stems = {}, {}
         split = []
         for t in texts:
             raw = t.encode()
@@ -175,9 +179,13 @@ class WordCoder:
                 split.append([w if b"<|" in w else w.lower() for w in raw.split()])
             else:
                 split.append(raw.lower().split())
-        self._learn(list(set().union(*split).difference(self.words)))
+        need = set().union(*split)
+        if len(self.words) > CACHED:
+            self.words = {b"": b""} | {w: self.words[w] for w in need.intersection(self.words)}
+        known = self.words
+        self._learn(list(need.difference(known)))
         for words in split:
-            yield b"".join([self.words[w] for w in words])
+            yield b"".join([known[w] for w in words])
 
 
 def coder(path: str) -> WordCoder:
