@@ -95,6 +95,19 @@ def test_word_coder():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_word_coder_keeps_what_a_run_needs(monkeypatch):
+    """Words at hand are not encoded again when the cache is full; a stem is kept once, as a word."""
+    coder = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "CACHED", 0)
+    asked, plain = [], coder._stems
+    monkeypatch.setattr(coder, "_stems", lambda words: asked.append(sorted(words)) or plain(words))
+    got = [list(coder.encode([t])) for t in ("some words, été!", "words, some other", "some other")]
+    assert asked == [sorted([b"some", b"words", b",", "été!".encode()]), [b"other"], []]
+    assert set(coder.words) == {b"", b"some", b"other"}
+    fresh = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert got[1] == list(fresh.encode(["words, some other"]))
+
+
 def test_substring_dedup(docs, none):
     order = sorted(((d is None, d or 0, t is None, t or ""), d, t) for d, t in DOCS)
     seen, want = set(), []
@@ -320,6 +333,20 @@ def test_bpe(spark, docs, none):
     assert bpe.encode(none, path).count() == 0
 
 
+def test_bpe_keeps_what_a_run_needs(monkeypatch):
+    """Chunks at hand are not learned again when the cache is full, and give the same ids and bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = bpe.Vocabulary(path)
+    monkeypatch.setattr(bpe, "CACHED", 0)
+    asked, plain = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda chunks: asked.extend(chunks) or plain(chunks))
+    first = list(coder.encode(["some words, été zqxj"]))
+    asked.clear()
+    assert list(coder.encode(["some words, été zqxj"])) == first and asked == []
+    assert list(coder.encode(["some other"])) == list(bpe.vocabulary(path).encode(["some other"]))
+    assert asked == [" other"] and set(coder.chunks[0]) == {"other"} == set(coder.chunks[1])
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 700
     items = [(1, "http://a", big), (2, None, big), (3, "b\r\nX: y", None), (4, "c", ""), (5, "d", "small"), (6, "e", "small"),

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .words import give_back
 
 RUN_CHARS = 1_000_000
-#: Chunks kept between runs, at most so many in all; then the caches start anew.
-CACHED = 250_000
+#: Chunks kept between runs; beyond so many in all, only those that the run at hand needs.
+CACHED = 600_000
 _SPACE = r"\p{White_Space}"
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|"
@@ -80,8 +80,9 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.awkward = regex.compile(rf" {_SPACE}|{_SPACE} |^ | $")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.chunks: dict[str, list[int]] = {}
-        self.first: dict[str, list[int]] = {}
+        #: Of each chunk the ids joined by commas, and the bytes that they decode to.
+        self.chunks: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.first: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def _edge(self, side: np.ndarray, made: np.ndarray) -> tuple[list, list]:
         """For each depth the outermost piece of every token, and the rank of the merge that takes it up."""
@@ -217,8 +218,6 @@ class Vocabulary:
         A text is cut at single spaces between other characters, where no word can lie across, so
         that a chunk is looked up once and kept; other texts are cut into words as a whole.
         """
-        if len(self.chunks) + len(self.first) > CACHED:
-            self.chunks, self.first = {}, {}
         plans, inner, outer = [], set(), set()
         for t in texts:
             plan = []
@@ -236,22 +235,37 @@ class Vocabulary:
                         outer.update(cut)
                         plan.append((cut, ()))
             plans.append(plan)
-        new = list(inner.difference(self.chunks))
-        self.chunks.update(zip(new, self.learn([" " + c for c in new])))
-        new = list(outer.difference(self.first))
-        self.first.update(zip(new, self.learn(new)))
+        if len(self.chunks[0]) + len(self.first[0]) > CACHED:
+            self.chunks, self.first = (tuple({c: of[c] for c in need.intersection(of)} for of in kept)
+                                       for need, kept in ((inner, self.chunks), (outer, self.first)))
+        self._keep(self.chunks, inner, " ")
+        self._keep(self.first, outer, "")
+        (chunk_ids, chunk_bytes), (first_ids, first_bytes) = self.chunks, self.first
         for plan in plans:
-            got = []
+            ids, raw = [], []
             for head, rest in plan:
                 if head is None:
-                    got.append([self.added[rest]])
+                    ids.append(self.decimal[self.added[rest]])
+                    raw.append(self.bytes[self.added[rest]])
                 elif isinstance(head, list):
-                    got += [self.first[c] for c in head]
+                    ids += [first_ids[c] for c in head]
+                    raw += [first_bytes[c] for c in head]
                 else:
-                    got.append(self.first[head])
-                    got += [self.chunks[c] for c in rest]
-            ids = list(chain.from_iterable(got))
-            yield ",".join([self.decimal[i] for i in ids]), len(ids), b"".join([self.bytes[i] for i in ids])
+                    if head:
+                        ids.append(first_ids[head])
+                        raw.append(first_bytes[head])
+                    ids += [chunk_ids[c] for c in rest]
+                    raw += [chunk_bytes[c] for c in rest]
+            one = ",".join(ids)
+            yield one, one.count(",") + 1 if one else 0, b"".join(raw)
+
+    def _keep(self, kept: tuple[dict[str, str], dict[str, bytes]], chunks: set[str], before: str) -> None:
+        """Learn the chunks that are not yet kept; each is encoded with ``before`` ahead of it."""
+        new = list(chunks.difference(kept[0]))
+        found = self.learn([before + c for c in new])
+        decimal, letters = self.decimal, self.bytes
+        kept[0].update(zip(new, [",".join([decimal[i] for i in ids]) for ids in found]))
+        kept[1].update(zip(new, [b"".join([letters[i] for i in ids]) for ids in found]))
 
 
 def vocabulary(path: str) -> Vocabulary:
