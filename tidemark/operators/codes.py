@@ -21,10 +21,11 @@ def promo_redeemable(codes: DataFrame, now: Column) -> DataFrame:
     return codes.withColumn("redeemable", ok)
 
 
-def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame) -> DataFrame:
+def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame,
+                  width: int | None = None) -> DataFrame:
     """P16. Accepted redemptions in arrival order: one per (code, user), within each cap.
 
-    ``attempts``: ``(seq, user_id, typed_code, at_ts)``; ``past``: ``(code_key, user_id)``.
+    ``attempts``: ``(seq, user_id, typed_code, at_ts)``; ``past``: ``(code_key, user_id)``; ``width``: of `cut`.
     """
     keyed = attempts.withColumn("code_key", F.lower("typed_code"))
     known = codes.withColumn("code_key", F.lower("code")).select(
@@ -35,7 +36,7 @@ def redeem_promos(attempts: DataFrame, codes: DataFrame, past: DataFrame) -> Dat
     j = attach_small(once, known.join(done, "code_key", "left"), ["code_key"])
     open_now = F.col("is_active") & (
         F.col("expires_at").isNull() | (F.col("at_ts") < F.col("expires_at")))
-    queued = number_rows(j.where(open_now), ["code_key"], ["seq"], cut(attempts, "seq"), "_n")
+    queued = number_rows(j.where(open_now), ["code_key"], ["seq"], cut(attempts, "seq", width), "_n")
     room = F.col("max_redemptions").isNull() | (
         F.col("_n") + F.coalesce("redeemed", F.lit(0)) <= F.col("max_redemptions"))
     return queued.where(room).select("seq", "code", "user_id", "campaign")

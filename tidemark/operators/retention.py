@@ -16,12 +16,12 @@ DAY = 86_400_000
 FRESH_DAYS = 90
 
 
-def upsert_heads(reports: DataFrame) -> DataFrame:
+def upsert_heads(reports: DataFrame, width: int | None = None) -> DataFrame:
     """H1. Stored head per device: a report below the stored seq is refused, an equal one
     replaces it. The stored seq is the running maximum, so accepted reports are those not
-    below it and the last of them wins.
+    below it and the last of them wins. ``width`` is that of `cut`.
     """
-    led = running(reports, ["vault_id", "device"], ["arrival"], cut(reports, "arrival"),
+    led = running(reports, ["vault_id", "device"], ["arrival"], cut(reports, "arrival", width),
                   [Running("_top", "max", F.col("head_seq"))])
     kept = led.where("head_seq >= _top")
     return kept.groupBy("vault_id", "device").agg(
