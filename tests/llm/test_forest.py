@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import forest
+from tidemark.llm import common, forest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_shingles string, component string, region string, kept string"
@@ -103,6 +103,41 @@ def test_small_tables_have_few_files(spark, monkeypatch):
     assert len(files) > 5 and max(files) <= 24
 
 
+def test_texts_that_are_not_asked_for_stay(spark, monkeypatch):
+    """Also where no side is small enough to broadcast, whole texts are not dealt out to be compared with ids."""
+    plans, plain = {}, forest.stored
+
+    def seen(df, label, *args):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label, *args)
+
+    monkeypatch.setattr(forest, "stored", seen)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = corpus(6, 120)
+        assert result(spark, rows) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plans["sets"] and not any("Join" in p for p in plans["sets"])
+    assert plans["sketch"] and all(p.count("ArrowEvalPython") >= 2 for p in plans["sketch"])
+
+
+def test_among(spark):
+    """All wanted rows pass, repeated ones too, hardly any other, and no null; many ids are joined."""
+    rows = spark.range(-20_000, 20_000).selectExpr("id as doc", "cast(id as string) as text")
+    rows = rows.union(rows.where("doc % 1000 = 7")).union(spark.sql("select cast(null as long), 'x'"))
+    want = spark.range(-20_000, 20_000, 10).selectExpr("id as doc").union(spark.sql("select cast(7 as long)"))
+    for name, value in (("ONE_TASK", 4001), ("ONE_TASK", 0), ("MOST_BITS", 1000)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, name, value)
+            got = [r.doc for r in common.among(common.stored(want, "ids"), "doc")(rows).collect()]
+        assert None not in got and sorted(d for d in got if d % 10 == 0 or d == 7) == sorted([*range(-20_000, 20_000, 10), 7, 7])
+        assert len(got) < 4002 + 400
+    none = common.stored(want.where("false"), "ids")
+    assert common.among(none, "doc")(rows).count() == 0
+
+
 def test_no_rows(spark):
     assert result(spark, []) == []
     assert result(spark, [(1, None), (2, " ")]) == [(1, 0, 1, True), (2, 0, 2, True)]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A small stored table is written by a task for each so many bytes of its inputs, but at least so many tasks.
 PART_BYTES, LEAST_PARTS = 1 << 20, 24
+#: Bits of `among` for each id, places of an id, and bits in all (16 MB); for more ids rows are joined instead.
+ID_BITS, ID_PLACES, MOST_BITS = 16, 4, 1 << 27
+#: Up to so many ids are read by one task there, which spares a shuffle.
+ONE_TASK = 100_000
 #: Folders made by this process that `release` may remove.
 _WORK: set[str] = set()
 
@@ -84,6 +91,39 @@ def _remove(spark: SparkSession, folder: str) -> None:
     _WORK.discard(folder)
 
 
+def among(ids: DataFrame, key: str) -> Callable[[DataFrame], DataFrame]:
+    """Takes from a table the rows whose ``key`` is in ``ids``, a stored table of distinct long ``key``, and few others.
+
+    Rows stay where they are, also with millions of ids, as a Bloom filter of the ids is broadcast: about one in
+    400 of the other rows passes too, so a caller that minds them joins what is left. Null keys never pass.
+    """
+    n = ids.count()
+    if n * ID_BITS > MOST_BITS:
+        return lambda df: df.join(ids.select(key), key, "left_semi")
+    bits, low = max(64, n * ID_BITS), F.lit(0xFFFFFFFF).cast("long")
+    h = F.xxhash64(key)
+    place = F.explode(F.array(*[(h.bitwiseAND(low) + F.lit(i).cast("long") * F.shiftrightunsigned(h, 32)) % F.lit(bits)
+                                for i in range(ID_PLACES)])).alias("place")
+    placed = ids.where(F.col(key).isNotNull()).select(place)
+    found = ((placed.coalesce(1) if n <= ONE_TASK else placed).groupBy(F.shiftright("place", 6).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")).toArrow())
+    words = np.zeros(-(-bits // 64), np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    held = ids.sparkSession.sparkContext.broadcast(words)
+
+    def passes(hashed: pa.Array) -> pa.Array:
+        x = hashed.to_numpy(zero_copy_only=False).view(np.uint64)
+        one, step = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+        out = np.ones(len(x), bool)
+        for i in range(ID_PLACES):
+            at = (one + np.uint64(i) * step) % np.uint64(bits)
+            out &= (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pa.array(out)
+
+    passes.__annotations__ = {"hashed": pa.Array, "return": pa.Array}
+    return lambda df: df.where(F.col(key).isNotNull()).where(F.arrow_udf(passes, "boolean")(h))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

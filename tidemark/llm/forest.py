@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, stored
+from .common import among, discard, stored
 from .components import components
 
 #: (depth of a region, trees, minhashes a tree is sorted by) of each level, for a similarity of 0.85.
@@ -146,7 +146,7 @@ def _neighbours(percent: int):
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar enough."""
     need = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "need", (pairs,))
-    of = stored(docs.join(need, "doc", "left_semi").select("doc", "text")
+    of = stored(among(need, "doc")(docs).select("doc", "text")
                 .mapInArrow(_members(k), "doc long, members binary"), "sets")
     a, b = (of.select(F.col("doc").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
     found = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b")
@@ -252,9 +252,10 @@ def _across(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, level: i
     """
     compared = min(COMPARED, LEVELS[level][1] * LEVELS[level][2])
     of = rows.where("not dense")
-    sketch = (nodes.select("doc", F.substring("signature", 1, 2 * compared).alias("signature"))
-              .join(of.select("doc"), "doc", "left_semi")
-              .join(docs.join(of.where(F.col("n") <= SMALL).select("doc"), "doc", "left_semi")
+    here = stored(of.groupBy("doc").agg(F.min("n").alias("least")), "here", (rows,))
+    among_here = among(here, "doc")
+    sketch = (among_here(nodes.select("doc", F.substring("signature", 1, 2 * compared).alias("signature")))
+              .join(among_here(docs).join(here.where(F.col("least") <= SMALL).select("doc"), "doc", "left_semi")
                     .mapInArrow(_members(k), "doc long, members binary").repartition("doc")
                     .dropDuplicates(["doc", "members"]), "doc", "left"))
     some = of.join(stored(sketch, "sketch", (nodes,)), "doc")
@@ -321,8 +322,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         if deeper.isEmpty():
             discard(deeper, nodes)
             break
-        above, nodes = nodes, stored(headed(docs.join(deeper, "doc", "left_semi").mapInArrow(
-            _signed(k, level + 1), signed)), "nodes", (nodes, deeper))
+        above, nodes = nodes, stored(headed(
+            among(deeper, "doc")(docs).join(deeper, "doc", "left_semi").mapInArrow(_signed(k, level + 1), signed)),
+            "nodes", (nodes, deeper))
         discard(above)
     whole = of.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(
