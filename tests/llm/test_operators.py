@@ -347,6 +347,20 @@ def test_bpe_keeps_what_a_run_needs(monkeypatch):
     assert asked == [" other"] and set(coder.chunks[0]) == {"other"} == set(coder.chunks[1])
 
 
+def test_bpe_keeps_what_came_again(monkeypatch):
+    """A full cache drops chunks that came once, not those that runs have in common, and stays within its bound."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = bpe.Vocabulary(path)
+    monkeypatch.setattr(bpe, "CACHED", 40)
+    asked, plain = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda chunks: asked.extend(chunks) or plain(chunks))
+    for i in range(30):
+        text = " ".join(["top", *(["often", "zqxj"] if i % 2 else []), *[f"n{i}x{j}" for j in range(10)]])
+        assert list(coder.encode([text])) == list(bpe.vocabulary(path).encode([text]))
+        assert len(coder.chunks[0]) + len(coder.first[0]) <= 40 + 13
+    assert asked.count(" often") == 1 and asked.count(" n3x4") == 1
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 700
     items = [(1, "http://a", big), (2, None, big), (3, "b\r\nX: y", None), (4, "c", ""), (5, "d", "small"), (6, "e", "small"),

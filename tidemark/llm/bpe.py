@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from .words import give_back
 
 RUN_CHARS = 1_000_000
-#: Chunks kept between runs; beyond so many in all, only those that the run at hand needs.
-CACHED = 600_000
+#: Chunks kept between runs; beyond so many in all, only those that came again since, and those that the run at hand needs.
+CACHED = 300_000
 _SPACE = r"\p{White_Space}"
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|"
            rf"{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+")
 _SHORT = 64  # bytes of a word up to which it is merged together with others, not on its own with a heap
-_TOGETHER = 20_000
+_TOGETHER = 5_000
 _NEVER = np.iinfo(np.int32).max
 _SIGNS = tuple(".,:;!?")
 _LOADED: dict[str, "Vocabulary"] = {}
@@ -83,6 +83,8 @@ class Vocabulary:
         #: Of each chunk the ids joined by commas, and the bytes that they decode to.
         self.chunks: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.first: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        #: Those of the two that a later run needed again.
+        self.again: tuple[set[str], set[str]] = (set(), set())
 
     def _edge(self, side: np.ndarray, made: np.ndarray) -> tuple[list, list]:
         """For each depth the outermost piece of every token, and the rank of the merge that takes it up."""
@@ -236,8 +238,14 @@ class Vocabulary:
                         plan.append((cut, ()))
             plans.append(plan)
         if len(self.chunks[0]) + len(self.first[0]) > CACHED:
-            self.chunks, self.first = (tuple({c: of[c] for c in need.intersection(of)} for of in kept)
-                                       for need, kept in ((inner, self.chunks), (outer, self.first)))
+            stay = [need.intersection(kept[0]) for need, kept in ((inner, self.chunks), (outer, self.first))]
+            if len(stay[0] | self.again[0]) + len(stay[1] | self.again[1]) <= CACHED:
+                stay = [a | b for a, b in zip(stay, self.again)]
+            self.chunks, self.first = (tuple({c: of[c] for c in some} for of in kept)
+                                       for some, kept in zip(stay, (self.chunks, self.first)))
+            self.again = set(), set()
+        for again, need, kept in zip(self.again, (inner, outer), (self.chunks, self.first)):
+            again.update(need.intersection(kept[0]))
         self._keep(self.chunks, inner, " ")
         self._keep(self.first, outer, "")
         (chunk_ids, chunk_bytes), (first_ids, first_bytes) = self.chunks, self.first
@@ -304,6 +312,7 @@ def _coded(path: str, with_ids: bool):
                     names.append("ids")
                 yield pa.record_batch(columns, names)
                 a += len(part)
+                give_back()
 
     return coded
 
