@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lines
 from tidemark.operators import merge, text
+from tidemark.plans import runs
+from tidemark.plans.folds import fold_sorted
 
 CONF = "vault_id string, file_id string, path string, ms long, cnt long, node string, blob_ref string, tombstone boolean"
 
@@ -294,6 +296,29 @@ def test_shared_history(spark):
     assert {r.file_id: r.shares for r in merge.shares_history(df).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_join_and_text_are_dealt_out_packed(spark, monkeypatch):
+    """Two copies of 30 000 characters are dealt out, and kept, as a few blocks."""
+    dealt = []
+    monkeypatch.setattr(text, "fold_sorted", lambda rows, *a: (dealt.append(rows.count()), fold_sorted(rows, *a))[1])
+    seed = text.seed_sequence(spark.createDataFrame([(1, "ab" * 15_000)], "file_id long, text string"))
+    gone = seed.withColumn("deleted", F.col("cnt") == 2)
+    joined = text.sequence_join(seed, gone)
+    assert joined.count() == 30_000
+    assert text.sequence_text(joined).head().text == "a" + "ab" * 14_999
+    assert len(dealt) == 2 and max(dealt) <= 8
+
+
+@pytest.mark.parametrize("most", [20, 1 << 20])
+def test_large_files_are_read_out_by_joins(spark, monkeypatch, most):
+    """Whether a file is read out by one task or by joins, its text is the same; a chain, too."""
+    monkeypatch.setattr(text, "MOST_CHAIN", most)
+    monkeypatch.setattr(text, "MOST_TREE", most)
+    trees = {i: random_tree(i, n, i) for i, n in ((1, 10), (2, 50))}
+    trees[3] = [(3, 0, i, "seed", *((0, i - 1, "seed") if i > 1 else (None,) * 3), "R", chr(96 + i), i == 2) for i in range(1, 26)]
+    df = spark.createDataFrame([r for rows in trees.values() for r in rows], SEQ)
+    assert {r.file_id: r.text for r in text.sequence_text(df).collect()} == {k: walk(v) for k, v in trees.items()}
+
+
 def test_edit_plan(spark):
     df = spark.createDataFrame([(1, "a", "a"), (2, "", "b"), (3, "a", "x" * 3000), (4, "ab", "ac")],
                                "file_id long, old string, new string")
