@@ -296,6 +296,26 @@ def test_shared_history(spark):
     assert {r.file_id: r.shares for r in merge.shares_history(df).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_digest_of_entries(spark, monkeypatch):
+    """Counters in any order, twice and null, values of several letters; a text goes as blocks, not as characters."""
+    dealt = []
+    monkeypatch.setattr(text, "fold_sorted", lambda rows, *a: (dealt.append(rows.count()), fold_sorted(rows, *a))[1])
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([None, 1, 2, 3, 70_000, 140_000]), rnd.choice([None, 1]), rnd.choice(["ab", "c", None, "é😀"]))
+            for _ in range(80)] + [(3, 1, None, None)]
+    df = spark.createDataFrame(rows, "file_id long, cnt long, p_cnt long, value string").repartition(3)
+    got = {r.file_id: tuple(r)[1:] for r in text.sequence_digest(df).collect()}
+    for f in (1, 2, 3, None):
+        own = sorted(((-1 if c is None else c, p, v or "") for g, c, p, v in rows if g == f), key=lambda r: (r[0], r[2]))
+        cnts = [c for c, _, _ in own if c >= 0]
+        value = hashlib.sha256("".join(v for _, _, v in own).encode()).hexdigest() if f != 3 else None
+        assert got[f] == (len(own), min(cnts), max(cnts), sum(p is None for _, p, _ in own), value)
+    dealt.clear()
+    seed = text.seed_sequence(spark.createDataFrame([(1, "ab" * 15_000)], "file_id long, text string"))
+    assert tuple(text.sequence_digest(seed).head()) == (1, 30_000, 1, 30_000, 1, hashlib.sha256(b"ab" * 15_000).hexdigest())
+    assert dealt and max(dealt) <= 4
+
+
 def test_join_and_text_are_dealt_out_packed(spark, monkeypatch):
     """Two copies of 30 000 characters are dealt out, and kept, as a few blocks."""
     dealt = []
