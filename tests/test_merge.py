@@ -296,6 +296,32 @@ def test_shared_history(spark):
     assert {r.file_id: r.shares for r in merge.shares_history(df).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_shared_history_is_dealt_out_packed(spark, monkeypatch):
+    """M8: two versions of 30 000 characters meet as a few blocks; before, each character was a row of the shuffle."""
+    dealt = []
+    monkeypatch.setattr(merge, "fold_sorted", lambda rows, *a: (dealt.append(rows.count()), fold_sorted(rows, *a))[1])
+    texts = spark.createDataFrame([(1, 0, "ab" * 15_000), (1, 1, "ab" * 14_999 + "ac")], "file_id long, version long, text string")
+    df = texts.select("file_id", "version", F.posexplode(F.split("text", "")).alias("dot", "val"))
+    assert [tuple(r) for r in merge.shares_history(df).collect()] == [(1, False)]
+    assert [tuple(r) for r in merge.shares_history(df.where("dot < 29999")).collect()] == [(1, True)]
+    assert dealt and max(dealt) <= 8
+
+
+@pytest.mark.parametrize("held", [2, 1 << 20])
+def test_shared_history_of_any_rows(spark, monkeypatch, held):
+    """M8: nulls, rows in any order, dots that are structs, against an aggregate of plain rows."""
+    monkeypatch.setattr(runs, "MOST_HELD", held)
+    rnd = random.Random(held)
+    rows = [(rnd.choice([None, *range(12)]), rnd.choice([None, 0, 1, 1 << 40, -5]), rnd.choice([None, -1, 0, 1, 70_000]),
+             rnd.choice([None, "x", "x", "y"])) for _ in range(260)]
+    df = spark.createDataFrame(rows, "file_id long, version long, dot long, val string").repartition(3)
+    dots = df.withColumn("dot", F.when(F.col("dot") != 1, F.struct("dot", F.lit("n").alias("node"))))
+    for x in (df, dots):
+        per_dot = x.groupBy("file_id", "dot").agg((F.min("version") < F.max("version")).alias("a"), (F.min("val") < F.max("val")).alias("b"))
+        want = per_dot.groupBy("file_id").agg((F.max("a") & ~F.max(F.col("a") & F.col("b"))).alias("shares"))
+        assert sorted(map(repr, merge.shares_history(x).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_digest_of_entries(spark, monkeypatch):
     """Counters in any order, twice and null, values of several letters; a text goes as blocks, not as characters."""
     dealt = []

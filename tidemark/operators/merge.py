@@ -7,15 +7,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, pairwise
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hlc import hlc
 from ..functions.lines import merge3
 from ..functions.paths import classify_text, conflict_copy_path
+from ..plans import runs
 from ..plans.folds import fold_sorted
 from ..plans.skew import attach
 from ..session import settle
@@ -260,12 +264,60 @@ def resolution_report(outcomes: DataFrame) -> DataFrame:
 
 
 def shares_history(entries: DataFrame) -> DataFrame:
-    """M8. Per file: versions share a dot, and no shared dot has two values."""
-    per_dot = entries.groupBy("file_id", "dot").agg(
-        (F.min("version") < F.max("version")).alias("_shared"),
-        (F.min("val") < F.max("val")).alias("_split"))
-    return per_dot.groupBy("file_id").agg(
-        (F.max("_shared") & ~F.max(F.col("_shared") & F.col("_split"))).alias("shares"))
+    """M8. Per file: versions share a dot, and no shared dot has two values.
+
+    Entries are dealt out packed, by file and page of dots, so a large file meets in many tasks.
+    """
+    kinds = entries.schema
+    split = {c: runs.leaves(F.col(c), kinds[c].dataType, f"_{c}") for c in ("dot", "version", "val")}
+    lean = entries.select("file_id", runs.page(F.col("dot"), kinds["dot"].dataType).alias("_page"), *sum(split.values(), []))
+    at, most_held = [0, *accumulate(map(len, split.values()))], runs.MOST_HELD
+
+    def ids(c: Sequence[runs.Column]) -> np.ndarray:
+        """A number for each value, -1 for null."""
+        if len(c) == 1:
+            return runs.ranked(c[0])
+        order, starts = runs.sorted_groups([runs.ranked(x) for x in c])
+        out = np.zeros(len(order), np.int64)
+        out[starts[1:]] = 1
+        out[order] = np.cumsum(out)
+        return np.where(c[0].values != 0, out, -1)
+
+    def bounds(c: list[runs.Column]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Of each dot the least and the last version and value, as numbers; the rows that have them."""
+        dot, version, val = (ids(c[a:b]) for a, b in pairwise(at))
+        order, starts = runs.sorted_groups([dot])
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(order)]))
+        found, kept = [], []
+        for x in (version[order], val[order]):
+            low = np.minimum.reduceat(np.where(x < 0, np.iinfo(np.int64).max, x), starts)
+            for bound in (low, np.maximum.reduceat(x, starts)):
+                hits = np.flatnonzero(x == bound[group])
+                kept.append(hits[np.unique(group[hits], return_index=True)[1]])
+                found.append(bound)
+        return found, order[np.unique(np.concatenate(kept))]
+
+    def fold(rows: Iterator[dict[str, Any]]) -> dict[str, Any]:
+        blocks, n = [], 0
+        for row in rows:
+            blocks.append(runs.decoded(row["_block"]))
+            n += row["_n"]
+            if n > most_held and len(blocks) > 1:
+                c = runs.gathered(blocks)
+                kept = bounds(c)[1]
+                blocks, n = [[x.take(kept) for x in c]], 0
+        low, high, least, most = bounds(runs.gathered(blocks))[0]
+        shared, divided, known, told = low < high, least < most, high >= 0, most >= 0
+        both = shared & divided
+        # As in SQL: false and null is false, true and null is null; a maximum leaves nulls out.
+        sure = (known & told) | (known & ~shared) | (told & ~divided)
+        return {"file_id": row["file_id"], "_shared": bool(shared.any()) if known.any() else None,
+                "_both": bool(both.any()) if sure.any() else None}
+
+    schema = StructType([kinds["file_id"], *StructType.fromDDL("_shared boolean, _both boolean").fields])
+    with runs.small_rows(entries.sparkSession):
+        pages = settle(fold_sorted(runs.packed(lean, ["file_id", "_page"]), ["file_id", "_page"], [], fold, schema))
+    return pages.groupBy("file_id").agg((F.max("_shared") & ~F.max("_both")).alias("shares"))
 
 
 def text_strategy(conflicts: DataFrame, readable: DataFrame, shares: DataFrame) -> DataFrame:
