@@ -194,6 +194,19 @@ def test_rate_limit_window_slides(spark):
     assert got == {3: 4, 4: 4}
 
 
+def test_rate_limit_counts_in_time_linear_in_the_calls(spark):
+    """Ties, windows over two pieces, calls that lie apart and calls without a time; no frame is counted again for each row."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), i, rnd.choice([0, 1, 2, 999_999, 1_000_000, rnd.randrange(9_000_000)])) for i in range(300)]
+    nulls = [("a", 300, None), ("a", 301, None)]
+    df = spark.createDataFrame(rows + nulls, "connection string, event_id long, us long").withColumn("ts", F.timestamp_micros("us"))
+    out = ev.rate_violations_batch(df, 3)
+    got = {r.event_id: r.calls for r in out.collect()}
+    want = {i: sum(d == c and u - 1_000_000 < v <= u for d, _, v in rows) for c, i, u in rows}
+    assert got == {i: n for i, n in {**want, 300: 4, 301: 4}.items() if n > 3}
+    assert "RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     rows = [(1, at(0)), (2, at(3600)), (3, at(7200)), (4, at(60)), (5, at(7300))]
     df = spark.createDataFrame([(i, n, t, 0, 0) for n, (i, t) in enumerate(rows)],

@@ -272,18 +272,23 @@ def rate_violations_batch(calls: DataFrame, limit: int = 200, window_us: int = 1
     """E9, batch twin, exact: calls that are over the limit in the window ending at them.
 
     A window reaches back one window length, so rows are cut into pieces of that length and
-    each piece also gets the one before it; no task sees a whole connection.
+    each piece also gets the one before it; no task sees a whole connection. A call counts from its time
+    until it leaves the window, so the count is a running sum: what the piece before brought, and one more or less at
+    each of these times. Calls without a time stay in one piece, twice, as they do not leave.
     """
     from pyspark.sql import Window
 
     us = F.unix_micros("ts")
     piece = F.floor(us / window_us).cast("long")
-    rows = calls.select("connection", "event_id", us.alias("us"), F.explode(F.array(
-        F.struct(piece.alias("p"), F.lit(True).alias("own")),
-        F.struct((piece + 1).alias("p"), F.lit(False).alias("own")))).alias("_x"))
-    rows = rows.select("connection", "event_id", "us", "_x.p", "_x.own")
-    w = Window.partitionBy("connection", "p").orderBy("us").rangeBetween(-window_us + 1, 0)
-    return rows.withColumn("calls", F.count(F.lit(1)).over(w)).where(
+    rows = calls.select("connection", "event_id", F.explode(F.array(
+        F.struct(piece.alias("p"), F.lit(True).alias("own"), us.alias("at")),
+        F.struct((piece + 1).alias("p"), F.lit(False).alias("own"), (us + window_us).alias("at")))).alias("_x"))
+    rows = rows.select("connection", "event_id", "_x.p", "_x.own", "_x.at")
+    whole = Window.partitionBy("connection", "p")
+    so_far = whole.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.sum(F.when(F.col("own"), 1).otherwise(-1)).over(so_far) + F.count_if(~F.col("own")).over(whole)
+    held = F.when(F.col("at").isNull(), F.count(F.lit(1)).over(whole)).otherwise(held)
+    return rows.withColumn("calls", held).where(
         F.col("own") & (F.col("calls") > limit)).select("connection", "event_id", "calls")
 
 
