@@ -342,6 +342,23 @@ def test_digest_of_entries(spark, monkeypatch):
     assert dealt and max(dealt) <= 4
 
 
+@pytest.mark.parametrize("held", [2, 1 << 20])
+def test_join_of_any_entries(spark, monkeypatch, held):
+    """Nulls and dots with several parents, against an aggregate of plain rows."""
+    monkeypatch.setattr(runs, "MOST_HELD", held)
+    rnd = random.Random(held)
+    pick = lambda *x: rnd.choice([None, *x])
+    rows = [(pick(1, 2), rnd.choice([0, 0, 5, 1 << 40]), rnd.choice([1, 2, 3]), rnd.choice("ab"), pick(0, 0), pick(0, 1, 2), pick("a", "a", "b"),
+             pick("R", "R", "L"), pick("x", "é", "ab"), pick(True, False)) for _ in range(400)]
+    a = spark.createDataFrame(rows[:200], SEQ).repartition(2)
+    b = spark.createDataFrame(rows[200:], SEQ)
+    want = a.unionByName(b).groupBy("file_id", "ms", "cnt", "node").agg(
+        F.min(F.struct("p_ms", "p_cnt", "p_node", "side", "value")).alias("e"), F.max("deleted").alias("deleted"))
+    want = want.select("file_id", "ms", "cnt", "node", "e.*", "deleted")
+    got = text.sequence_join(a, b)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_join_and_text_are_dealt_out_packed(spark, monkeypatch):
     """Two copies of 30 000 characters are dealt out, and kept, as a few blocks."""
     dealt = []
