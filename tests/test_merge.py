@@ -382,6 +382,14 @@ def test_large_files_are_read_out_by_joins(spark, monkeypatch, most):
     assert {r.file_id: r.text for r in text.sequence_text(df).collect()} == {k: walk(v) for k, v in trees.items()}
 
 
+def test_tree_entries_that_come_twice_stand_side_by_side(spark):
+    """Rows of one dot share its place; before, they made the tour endless."""
+    rows = [r for r in random_tree(4, 30) if not r[9]]
+    df = spark.createDataFrame(rows + rows, SEQ)
+    once = text.sequence_text(spark.createDataFrame(rows, SEQ)).head().text
+    assert text.sequence_text(df).head().text == "".join(c * 2 for c in once)
+
+
 def test_edit_plan(spark):
     df = spark.createDataFrame([(1, "a", "a"), (2, "", "b"), (3, "a", "x" * 3000), (4, "ab", "ac")],
                                "file_id long, old string, new string")
